@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ColumnLike, col, let, matches, one_of, text_or_blank
+from .text import ColumnLike, col, let, matches, one_of, record, text_or_blank
 
 
 def size_rank(is_portal: Column, is_large: Column, is_group_source: Column, is_mid: Column,
@@ -83,7 +83,7 @@ def company_tier(company: ColumnLike, title: ColumnLike, group: Column, rank: Co
         .when((emp == 0) & (sal == 0) & in_mid_list, mid)
         .otherwise(rest)
     )
-    return F.struct(tier.alias("tier"), F.when(~proxy, group).alias("group"))
+    return record(tier=tier, group=F.when(~proxy, group))
 
 
 def compare_salary(salary: Column, base: Column, margin: float = 0.05) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ColumnLike, all_matches, col, first_match, let, matches, rx, text_or_blank
+from .text import ColumnLike, all_matches, col, first_match, let, matches, record, rx, text_or_blank
 
 
 def ko_dates(c: ColumnLike) -> Column:
@@ -69,15 +69,10 @@ def parse_deadline(block: ColumnLike, today: Column) -> Column:
                 .when(matches(b, fixed.DUE_TODAY, True), today)
             )
             kind = F.when(v["rolling"], "rolling").when(day.isNotNull(), "dated").otherwise("unknown")
-            return F.struct(kind.alias("kind"), day.alias("date"))
+            return record(kind=kind, date=day)
 
         return let(
-            F.struct(
-                matches(b, fixed.ROLLING_WORDING).alias("rolling"),
-                _range_end_date(end, today).alias("end"),
-                until.alias("until"),
-                left.alias("left"),
-            ),
+            record(rolling=matches(b, fixed.ROLLING_WORDING), end=_range_end_date(end, today), until=until, left=left),
             decide,
         )
 

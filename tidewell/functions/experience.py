@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ColumnLike, all_matches, first_match, last_match, let, matches, squeeze, substitute, text_or_blank
+from .text import ColumnLike, all_matches, first_match, last_match, let, matches, record, squeeze, substitute, text_or_blank
 
 
 def parse_exp(block: ColumnLike) -> Column:
@@ -17,8 +17,7 @@ def parse_exp(block: ColumnLike) -> Column:
     null_int = F.lit(None).cast("int")
 
     def result(label: Column, years: Column, new_only: bool) -> Column:
-        return F.struct(label.alias("label"), years.cast("int").alias("min_years"),
-                        F.lit(new_only).alias("new_grad_only"))
+        return record(label=label, min_years=years.cast("int"), new_grad_only=F.lit(new_only))
 
     def decide(v: Column) -> Column:
         b, span, least = v["b"], v["span"], v["least"]
@@ -38,7 +37,7 @@ def parse_exp(block: ColumnLike) -> Column:
     b = text_or_blank(block)
     span = F.coalesce(first_match(b, fixed.EXP_RANGE_LABELLED), first_match(b, fixed.EXP_RANGE))
     least = F.coalesce(first_match(b, fixed.EXP_MIN_LABELLED, 1), first_match(b, fixed.EXP_MIN, 1))
-    return let(F.struct(b.alias("b"), span.alias("span"), least.alias("least")), decide)
+    return let(record(b=b, span=span, least=least), decide)
 
 
 def official_exp(c: ColumnLike) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ColumnLike, col, first_match, let, rx, text_or_blank
+from .text import ColumnLike, col, first_match, let, record, rx, text_or_blank
 
 
 def normalize_org(c: ColumnLike, level: str = "posting") -> Column:
@@ -54,7 +54,7 @@ def org_mentions(c: ColumnLike) -> Column:
     raw = F.lower(F.regexp_replace(F.split(text_or_blank(c), "→", 2)[0], rx(fixed.LEGAL_BASIC + r"|\s"), ""))
     names = F.filter(F.array_union(org_variants(c), F.array(raw)), lambda x: F.length(x) >= 2)
     return F.transform(
-        F.array_sort(F.transform(names, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))),
+        F.array_sort(F.transform(names, lambda x: record(n=-F.length(x), x=x))),
         lambda s: s["x"],
     )
 

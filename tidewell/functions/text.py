@@ -32,6 +32,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def record(**fields: Column) -> Column:
+    """Struct whose field names survive inside lambdas and generators."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def matches(c: ColumnLike, pattern: str, ignore_case: bool = False) -> Column:
     """True/False, never NULL: a missing text matches nothing."""
     return F.coalesce(col(c).rlike(rx(pattern, ignore_case)), F.lit(False))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.links import representative_score, site_label
 from ..functions.orgs import org_variants
-from ..functions.text import blank_to_null, one_of
+from ..functions.text import blank_to_null, one_of, record
 from ..functions.titles import (
     bare_title, base_tokens, hiring_name, is_agency, residual_tokens, title_core, title_fields, title_tokens, token_cover,
 )
@@ -101,7 +101,7 @@ def _cover_pairs(left: DataFrame, right: DataFrame, cols: list[str], words: str,
 
 def _anchor(words: Column) -> Column:
     """Longest word: the rarest one as a rule, and known without counting."""
-    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return F.array_max(F.transform(words, lambda w: record(n=F.length(w), w=w)))["w"]
 
 
 def _word_keys(df: DataFrame, words: str, side: str) -> DataFrame:
@@ -113,7 +113,7 @@ def _word_keys(df: DataFrame, words: str, side: str) -> DataFrame:
     def forms(w: Column) -> Column:
         whole, heads = F.array(w), _heads(w)
         own, other = (whole, F.slice(heads, 1, F.greatest(F.size(heads) - 1, F.lit(0)))) if side == "l" else (heads, whole)
-        tag = lambda arr, t: F.transform(arr, lambda x: F.struct(F.lit(t).alias("form"), x.alias("word")))
+        tag = lambda arr, t: F.transform(arr, lambda x: record(form=F.lit(t), word=x))
         return F.concat(tag(own, 0), tag(other, 1))
 
     if side == "l":

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import record
+
 
 def drop_histogram(judged: DataFrame, source: str = "source") -> DataFrame:
     """Rows per source and drop reason."""
@@ -58,8 +60,8 @@ def health_problems(health: DataFrame, limits: HealthLimits) -> DataFrame:
         F.count_if(is_api & F.col("ok")).alias("ok_api"), F.count_if(is_api).alias("n_api"), key_state.alias("key"))
 
     def problem(name: str, cond: Column, good: Column, total: Column) -> Column:
-        return F.when(F.coalesce(cond, F.lit(False)), F.struct(
-            F.lit(name).alias("problem"), good.cast("long").alias("good"), total.cast("long").alias("total")))
+        return F.when(F.coalesce(cond, F.lit(False)), record(
+            problem=F.lit(name), good=good.cast("long"), total=total.cast("long")))
 
     share = lambda a, b: F.try_divide(F.col(a), F.col(b))
     key = F.col("key")

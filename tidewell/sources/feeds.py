@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, matches, squeeze, strip_tags
+from ..functions.text import blank_to_null, matches, record, squeeze, strip_tags
 from ..operators.groups import first_by
 
 Read = Callable[[Column], Column]
@@ -132,7 +132,7 @@ def ordered_unique(texts: Column, sep: str = ", ") -> Column:
 
 def stable_first(texts: Column, first_pattern: str, sep: str = ", ") -> Column:
     """Sorted unique texts with the matching ones in front."""
-    keyed = F.transform(F.array_distinct(texts), lambda x: F.struct((~matches(x, first_pattern)).alias("late"), x.alias("x")))
+    keyed = F.transform(F.array_distinct(texts), lambda x: record(late=~matches(x, first_pattern), x=x))
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["x"]), sep)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed  # noqa: F401  (re-exported defaults)
-from ..functions.text import col, html_to_text, let, matches, rx, squeeze, static_html, strip_tags
+from ..functions.text import col, html_to_text, let, matches, record, rx, squeeze, static_html, strip_tags
 
 _ANCHOR = r"(?is)<a\b[^>]*>.*?(?=<a\b|$)"
 _ELEMENT = r"(?is)<(?:li|tr|article|div|p|section)\b[^>]*>(?:(?!<(?:li|tr|article|div|section)\b).)*?</(?:li|tr|article|div|p|section)>"
@@ -27,8 +27,7 @@ def _anchors(html: Column, net: str) -> Column:
         href = F.coalesce(
             F.nullif(F.regexp_extract(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"", 1), F.lit("")),
             F.regexp_extract(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'", 1))
-        return F.struct(own.alias("title"), href.alias("href"),
-                        let(around, lambda a: F.when(F.length(a) <= 700, a).otherwise(own)).alias("block"))
+        return record(title=own, href=href, block=let(around, lambda a: F.when(F.length(a) <= 700, a).otherwise(own)))
 
     found = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), 0), read)
     fits = F.filter(found, lambda a: F.length(a["title"]).between(4, 220) & matches(a["title"], net, True))
@@ -41,9 +40,9 @@ def _elements(html: Column, net: str) -> Column:
         head = squeeze(strip_tags(F.coalesce(
             F.nullif(F.regexp_extract(piece, _HEADING, 2), F.lit("")), F.regexp_extract(piece, _HEADING, 3))))
         text = strip_tags(piece)
-        return F.struct(
-            let(text, lambda t: F.when(head != "", F.substring(head, 1, 200)).otherwise(F.substring(t, 1, 120))).alias("title"),
-            F.lit("").alias("href"), text.alias("block"))
+        return record(
+            title=let(text, lambda t: F.when(head != "", F.substring(head, 1, 200)).otherwise(F.substring(t, 1, 120))),
+            href=F.lit(""), block=text)
 
     pieces = F.filter(F.regexp_extract_all(html, F.lit(_ELEMENT), 0), lambda p: p.rlike(_LIST_LIKE))
     found = F.transform(pieces, read)
@@ -63,8 +62,8 @@ def page_candidates(pages: DataFrame, net: str, html: str = "html") -> DataFrame
 
     def distinct_anchors(items: Column) -> Column:
         """Same text and link counts once, whatever surrounds it."""
-        keys = F.transform(items, lambda a: F.struct(a["title"], a["href"]))
-        return F.filter(items, lambda a, i: F.array_position(keys, F.struct(a["title"], a["href"])) == i + 1)
+        keys = F.transform(items, lambda a: record(t=a["title"], h=a["href"]))
+        return F.filter(items, lambda a, i: F.array_position(keys, record(t=a["title"], h=a["href"])) == i + 1)
 
     items = let(distinct_anchors(_anchors(F.col("_bare"), net)),
                 lambda a: F.when(F.size(a) > 0, a).otherwise(_elements(F.col("_bare"), net)))
