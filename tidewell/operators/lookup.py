@@ -41,10 +41,9 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame,
         .filter(F.length("_n") >= shortest).distinct().withColumn("_g", F.substring("_n", 1, gram)))
 
     def grams(t: Column) -> Column:
+        """Distinct windows of each length; a look-ahead yields them in one pass."""
         return F.array_distinct(F.flatten(F.array(*[
-            F.when(F.length(t) >= w, F.transform(F.sequence(F.lit(1), F.length(t) - w + 1),
-                                                 lambda i, w=w: F.substring(t, i, F.lit(w))))
-            .otherwise(F.array().cast("array<string>")) for w in range(shortest, gram + 1)])))
+            F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in range(shortest, gram + 1)])))
 
     candidates = texts.select(id_col, F.explode(grams(lowered)).alias("_g")).join(dictionary, "_g").select(id_col, "name", "_n")
     hit = texts.select(id_col, lowered.alias("_t")).join(candidates, id_col).filter(F.contains("_t", F.col("_n")))

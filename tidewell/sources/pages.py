@@ -63,10 +63,9 @@ def page_candidates(pages: DataFrame, net: str, html: str = "html") -> DataFrame
     def distinct_anchors(items: Column) -> Column:
         """Same text and link counts once, whatever surrounds it."""
         keys = F.transform(items, lambda a: record(t=a["title"], h=a["href"]))
-        return F.filter(items, lambda a, i: F.array_position(keys, record(t=a["title"], h=a["href"])) == i + 1)
+        return let(keys, lambda k: F.filter(items, lambda a, i: F.array_position(k, record(t=a["title"], h=a["href"])) == i + 1))
 
-    items = let(distinct_anchors(_anchors(F.col("_bare"), net)),
-                lambda a: F.when(F.size(a) > 0, a).otherwise(_elements(F.col("_bare"), net)))
+    items = let(let(_anchors(F.col("_bare"), net), distinct_anchors), lambda a: F.when(F.size(a) > 0, a).otherwise(_elements(F.col("_bare"), net)))
     return (
         pages.withColumn("_bare", bare)
         .select(*keep, F.posexplode(items).alias("pos", "item"))
