@@ -17,7 +17,7 @@ from .postings import (
     RULES, RUN_DATE, customer_registry, day, line_batch, order_candidates, order_sources, order_state, part_postings, table,
 )
 
-MERGE_DAY = "2001-07-15"
+MERGE_DAY = "2031-07-15"
 
 
 # C, D: judging ---------------------------------------------------------------
@@ -242,7 +242,7 @@ def budget_topn(spark: SparkSession, sf: str) -> DataFrame:
     """The check budget is the feature"""
     st = order_state(spark, sf).withColumn("verify_tried_at", F.when(F.col("status") == "open", F.col("last_seen")))
     jobs = st.select("id", "link", "first_seen")
-    return verify.eligible_for_check(jobs, st, "2001-07-30", RULES, [F.col("first_seen").desc(), F.col("id")]).select("id", "first_seen")
+    return verify.eligible_for_check(jobs, st, "2031-07-30", RULES, [F.col("first_seen").desc(), F.col("id")]).select("id", "first_seen")
 
 
 def budget_per_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +266,7 @@ def view_order_topk(spark: SparkSession, sf: str) -> DataFrame:
 def tab_counts(spark: SparkSession, sf: str) -> DataFrame:
     """C19, E16"""
     st = order_state(spark, sf).withColumn("mark", F.when(F.col("rel_score") > 0.8, "관심"))
-    return view.tab_counts(view.with_tabs(st, "2001-01-10"))
+    return view.tab_counts(view.with_tabs(st, "2031-01-10"))
 
 
 def report_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,7 +295,7 @@ def snapshot_merge(spark: SparkSession, sf: str) -> DataFrame:
 def stale_close(spark: SparkSession, sf: str) -> DataFrame:
     """H10, H11"""
     failed = order_sources(spark, sf).filter("type = 'api'").select(F.col("name").alias("source"))
-    out = merge.close_stale(state.conform_state(order_state(spark, sf)), "2000-03-01", failed)
+    out = merge.close_stale(state.conform_state(order_state(spark, sf)), "2030-03-01", failed)
     return out.select("id", "status")
 
 
@@ -315,7 +315,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     again = runs.filter("new > 5").withColumn("sources_ok", F.lit(4).cast("long"))
     log = state.append_run(runs, again)
     v = o.select(F.when(F.col("o_orderstatus") == "P", F.date_format(day("o_orderdate"), "yyyy-MM-dd")).alias("first_seen"))
-    return view.export_meta(v, log, "1999-01-01")
+    return view.export_meta(v, log, "2029-01-01")
 
 
 def redacted_copy(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,14 +334,14 @@ def verified_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """C14, C15"""
-    st = view.retained(state.conform_state(order_state(spark, sf)), "1998-06-01")
+    st = view.retained(state.conform_state(order_state(spark, sf)), "2028-06-01")
     return st.select("id", view.export_reason(RULES).alias("why"))
 
 
 def published_rows(spark: SparkSession, sf: str) -> DataFrame:
     """C14-C18, D3, J17, J18"""
     st = state.conform_state(order_state(spark, sf))
-    out = view.publish(st, RULES, customer_registry(spark, sf), "1998-06-01")
+    out = view.publish(st, RULES, customer_registry(spark, sf), "2028-06-01")
     return out.select("id", "status", "co_tier", "group", "size", "exp", "fit", "link", F.array_join("sec", ",").alias("sec"), "size_rank")
 
 
@@ -398,7 +398,7 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     counts = score.term_counts(d, "doc_id", F.col("text"))
     idf = score.idf_weights(counts, d.agg(F.count(F.lit(1)).alias("n")))
     return idf.groupBy("block", F.length("term").alias("len")).agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"), F.round(F.sum("idf"), 3).alias("sum_idf"))
+        F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"), F.round(F.sum("idf"), 2).alias("sum_idf"))
 
 
 def word_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,7 +422,7 @@ def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
 def model_gate(spark: SparkSession, sf: str) -> DataFrame:
     """K7, K8, E3"""
     e = table(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_type") != "view", F.col("value") / 100).alias("p"), F.when(F.col("event_type") == "error", "off_topic").alias("drop_reason"),
+        "event_id", F.when(F.col("event_type") != "view", F.floor(F.col("value")) / 512).alias("p"), F.when(F.col("event_type") == "error", "off_topic").alias("drop_reason"),
         F.when(F.col("event_type") == "click", F.array(F.lit("환경"), F.lit("안전"))).otherwise(F.array(F.lit("환경"))).alias("sec"))
     return score.gate(e, RULES).select("event_id", "rel_score", "tier", "drop_reason", F.array_join("sec", ",").alias("sec"))
 

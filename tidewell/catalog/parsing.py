@@ -14,7 +14,7 @@ from .postings import day, table
 
 def anchor_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """A2, A3"""
-    found = pages.page_candidates(table(spark, sf, "pages"), "e")
+    found = pages.page_candidates(table(spark, sf, "pages"), "[aeiou]")
     return found.select("page_id", "title", "href")
 
 
@@ -75,7 +75,7 @@ def script_feed(spark: SparkSession, sf: str) -> DataFrame:
         schema=f"items array<{ITEM}>", pattern=r"window\.x=(\{.*?\});</script>", items=lambda d: d["items"],
         is_open=lambda r, now: dates.open_now(dates.compact_date(r["start"]), dates.compact_date(r["end"]), now),
         roles=lambda r: r["roles"], role_name=lambda x: x, role_net="role [AR]|status O")
-    return feeds.normalize_feed(raw, spec, F.lit("1999-01-01").cast("date")).select(
+    return feeds.normalize_feed(raw, spec, F.lit("2029-01-01").cast("date")).select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "title", "href", "company", "block")
 
 
@@ -299,7 +299,7 @@ def linked_data(spark: SparkSession, sf: str) -> DataFrame:
     ld = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
     graph = F.concat(F.lit('{"@graph":[{"@type":"WebPage"},'), F.to_json(posting), F.lit("]}"))
     html = F.concat(ld(F.lit('{"@type":"WebSite"}')), F.when(F.col("o_orderstatus") == "O", ld(graph)).otherwise(ld(F.to_json(posting))))
-    return linked_data_detail(o.select("o_orderkey", html.alias("html")), "1998-01-01").select(
+    return linked_data_detail(o.select("o_orderkey", html.alias("html")), "2028-01-01").select(
         "o_orderkey", "title_full", "company_full", "start", "deadline", "deadline_time", "exp", "emp_type", "location", "closed")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rules import Profile, RuleSet
 
-RUN_DATE = "1998-06-15"
+RUN_DATE = "2028-06-15"
 
 RULES = RuleSet(
     candidate_pattern="환경|안전|EHS",
@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def day(c: str) -> F.Column:
-    return F.col(c).cast("date")
+    """Day of a table's timestamp, thirty years on: cards name years of this century."""
+    return F.add_months(F.col(c).cast("date"), 360)
 
 
 def order_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +95,7 @@ def order_state(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_mktsegment") == "MACHINERY", "계약직").when(F.col("c_mktsegment") == "BUILDING", "정규직·계약직").alias("emp_type"),
         F.when(F.col("c_mktsegment") == "AUTOMOBILE", "고용형태: 파견").alias("duty_evidence"),
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", 1).when(F.col("c_mktsegment") == "FURNITURE", 4).otherwise(2).alias("size_rank"),
-        F.lit("중견").alias("size"), F.round(F.col("c_acctbal") / 10000, 3).alias("rel_score"),
+        F.lit("중견").alias("size"), (F.col("c_acctbal") / 10000).alias("rel_score"),
         F.when(F.col("c_acctbal") > 5000, "추천").otherwise("검토").alias("tier"))
 
 

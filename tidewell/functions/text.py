@@ -139,7 +139,7 @@ def html_to_text(c: ColumnLike) -> Column:
     out = F.regexp_replace(text_or_blank(c), r"(?s)<script.*?</script>|<style.*?</style>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</p>|</li>|</div>|</tr>", "\n")
     out = unescape(F.regexp_replace(out, r"<[^>]+>", " "))
-    return F.trim(F.regexp_replace(out, "[ \\t\\r\\f\\x0B\\u00a0]+", " "))
+    return F.btrim(F.regexp_replace(out, "[ \\t\\r\\f\\x0B\\u00a0]+", " "), F.lit(" \n"))
 
 
 def static_html(c: ColumnLike, url: ColumnLike) -> Column:

@@ -15,7 +15,8 @@ from ..functions.text import (
 from .groups import budget, first_by
 from .rules import RuleSet
 
-_OPEN_DUTY = r"(?<!\(\s{0,9}마감\s{0,9}\)\s{0,9}\S{0,8})(?:" + fixed.DUTY + ")"
+# a duty word that no "(closed)" mark precedes; the cheap look-ahead comes first
+_OPEN_DUTY = f"(?={fixed.DUTY})" + r"(?<!\(\s{0,9}마감\s{0,9}\)\s{0,9}\S{0,8})" + f"(?:{fixed.DUTY})"
 _EDGE = r"^[ \-·•▶■□○◦*:,]+|[ \-·•▶■□○◦*:,]+$"
 
 
@@ -53,7 +54,7 @@ def duty_check(rows: DataFrame, title: str = "title", body: str = "body", scope_
 
     pieces = F.split(cut, rx(r"(?<=\n)|(?<=[.。!?]\s)"))
     staged = rows.withColumn("_title_hit", title_hit).withColumn("_body", F.array_join(F.transform(pieces, keep_sentence), ""))
-    windows = all_matches("_body", rf"(?=([\s\S]{{0,400}}))(?:{fixed.DUTY_SECTION})", 1, True)
+    windows = all_matches("_body", rf"(?={fixed.DUTY_SECTION})(?=([\s\S]{{0,400}}))(?:{fixed.DUTY_SECTION})", 1, True)
     whole = F.col("_body") if scope_limit is None else F.substring("_body", 1, scope_limit)
     staged = staged.withColumn("_scope", let(windows, lambda w: F.when(F.size(w) > 0, F.array_join(w, "\n")).otherwise(whole)))
     lines = F.filter(F.split(F.col("_scope"), rx(r"\n|(?<=[.。])\s")), lambda s: F.length(F.trim(s)) > 2)

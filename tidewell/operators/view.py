@@ -140,7 +140,7 @@ def export_meta(view: DataFrame, runs: DataFrame, run_date: str) -> DataFrame:
 def wrong_tails(state: DataFrame, rules: RuleSet) -> DataFrame:
     """Open rows of aggregators whose title passes only because of its last bracket (C20)."""
     tail = r"\s*\((?:" + fixed.BLOCK_FIELD + r")\)\s*$"
-    rows = state.filter((F.col("status") == "open") & (F.contains("source", F.lit("(검색)")) | F.endswith("source", F.lit("대조)")))
+    rows = state.filter((F.col("status") == "open") & (F.contains("source", F.lit("(검색)")) | F.contains("source", F.lit("대조)")))
                         & matches("title", tail, True))
     staged = rows.withColumn("_base", substitute("title", tail, "", True))
     return staged.filter(~sections_loose(rules, "_base", "company") & ~is_generic("_base", "company")).drop("_base")
