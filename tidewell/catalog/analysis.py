@@ -22,13 +22,14 @@ MERGE_DAY = "2031-07-15"
 
 # C, D: judging ---------------------------------------------------------------
 
-def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    return judge(join_sources(order_candidates(spark, sf), order_sources(spark, sf)), RULES, F.lit(RUN_DATE).cast("date"), customer_registry(spark, sf))
+def _judged(spark: SparkSession, sf: str, parse_dropped: bool = False) -> DataFrame:
+    return judge(join_sources(order_candidates(spark, sf), order_sources(spark, sf)), RULES, F.lit(RUN_DATE).cast("date"),
+                 customer_registry(spark, sf), parse_dropped)
 
 
 def judged_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict of every candidate"""
-    return _judged(spark, sf).select("o_orderkey", "company", "title", "track", "exp", "posted", "deadline", "size_rank", "affiliate_of",
+    return _judged(spark, sf, True).select("o_orderkey", "company", "title", "track", "exp", "posted", "deadline", "size_rank", "affiliate_of",
                                      F.array_join("sec", ",").alias("sec"), "drop_reason")
 
 

@@ -12,7 +12,8 @@ from .text import ColumnLike, all_matches, col, first_match, let, matches, recor
 def ko_dates(c: ColumnLike) -> Column:
     """Year/month/day words to dotted dates."""
     full = F.regexp_replace(col(c), rx(fixed.KO_FULL_DATE), "$1.$2.$3")
-    return F.regexp_replace(full, rx(fixed.KO_SHORT_DATE), "$1.$2")
+    dotted = F.regexp_replace(full, rx(fixed.KO_SHORT_DATE), "$1.$2")
+    return F.when(F.contains(col(c), F.lit("월")), dotted).otherwise(col(c))
 
 
 def guess_year(month: Column, today: Column) -> Column:
@@ -53,28 +54,19 @@ def parse_deadline(block: ColumnLike, today: Column) -> Column:
     """``struct(kind, date)`` with kind in rolling / dated / unknown.
 
     Order: rolling wording, end of a range, dated closing, days left, today.  A
-    range end that is no calendar day falls through to the next rule.
+    date that is no calendar day falls through to the next rule.
     """
+    def dated(b: Column) -> Column:
+        return F.coalesce(  # short-circuit: later patterns run only where earlier ones found nothing
+            let(first_match(b, fixed.RANGE_END), lambda p: F.when(p.isNotNull(), _range_end_date(p, today))),
+            let(first_match(b, fixed.DATED_UNTIL), lambda p: F.when(p.isNotNull(), _leading_date(p))),
+            F.date_add(today, first_match(b, fixed.D_MINUS, 1).cast("int")),
+            F.when(matches(b, fixed.DUE_TODAY, True), today))
+
     def build(b: Column) -> Column:
-        end = first_match(b, fixed.RANGE_END)
-        until = first_match(b, fixed.DATED_UNTIL)
-        left = first_match(b, fixed.D_MINUS, 1)
-
-        def decide(v: Column) -> Column:
-            day = (
-                F.when(v["rolling"], F.lit(None).cast("date"))
-                .when(v["end"].isNotNull(), v["end"])
-                .when(v["until"].isNotNull(), _leading_date(v["until"]))
-                .when(v["left"].isNotNull(), F.date_add(today, v["left"].cast("int")))
-                .when(matches(b, fixed.DUE_TODAY, True), today)
-            )
-            kind = F.when(v["rolling"], "rolling").when(day.isNotNull(), "dated").otherwise("unknown")
-            return record(kind=kind, date=day)
-
-        return let(
-            record(rolling=matches(b, fixed.ROLLING_WORDING), end=_range_end_date(end, today), until=until, left=left),
-            decide,
-        )
+        rolling = record(kind=F.lit("rolling"), date=F.lit(None).cast("date"))
+        read = let(dated(b), lambda d: record(kind=F.when(d.isNotNull(), "dated").otherwise("unknown"), date=d))
+        return F.when(matches(b, fixed.ROLLING_WORDING), rolling).otherwise(read)
 
     return let(ko_dates(text_or_blank(block)), build)
 
@@ -93,15 +85,11 @@ def is_dated(c: ColumnLike) -> Column:
 def parse_posted(block: ColumnLike, today: Column) -> Column:
     """Day a posting went up: range start, days ago, today, dated."""
     def build(b: Column) -> Column:
-        start = first_match(b, fixed.RANGE_START)
-        ago = first_match(b, fixed.DAYS_AGO, 1)
-        on = first_match(b, fixed.POSTED_ON)
-        return (
-            F.when(start.isNotNull(), _leading_date(start))
-            .when(ago.isNotNull(), F.date_sub(today, ago.cast("int")))
-            .when(matches(b, fixed.POSTED_TODAY), today)
-            .when(on.isNotNull(), _leading_date(on))
-        )
+        return F.coalesce(
+            let(first_match(b, fixed.RANGE_START), lambda p: F.when(p.isNotNull(), _leading_date(p))),
+            F.date_sub(today, first_match(b, fixed.DAYS_AGO, 1).cast("int")),
+            F.when(matches(b, fixed.POSTED_TODAY), today),
+            let(first_match(b, fixed.POSTED_ON), lambda p: F.when(p.isNotNull(), _leading_date(p))))
 
     return let(ko_dates(text_or_blank(block)), build)
 

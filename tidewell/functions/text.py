@@ -43,8 +43,8 @@ def matches(c: ColumnLike, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def first_match(c: ColumnLike, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
-    """First match of a group, NULL where there is none."""
-    return F.nullif(F.regexp_extract(col(c), rx(pattern, ignore_case), group), F.lit(""))
+    """First match of a group, NULL where there is none; the pattern runs once."""
+    return let(F.regexp_extract(col(c), rx(pattern, ignore_case), group), lambda v: F.when(v != "", v))
 
 
 def all_matches(c: ColumnLike, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:

@@ -38,59 +38,67 @@ def augmented_title(rules: RuleSet, title: Column, block: Column, src: Column) -
     return F.when(wanted, F.concat(title, F.lit(" ("), hit, F.lit(")"))).otherwise(title)
 
 
-def judge(candidates: DataFrame, rules: RuleSet, run_date: Column, aliases: DataFrame | None = None) -> DataFrame:
+def judge(candidates: DataFrame, rules: RuleSet, run_date: Column, aliases: DataFrame | None = None,
+          parse_dropped: bool = True) -> DataFrame:
     """Verdict per candidate: posting columns and ``drop_reason`` (NULL = kept).
 
     Input: ``title, href, block, company`` and the struct ``src``.  ``aliases``
-    is the (alias, group) table of registered affiliates (D3, D4).  Apart from
-    that equality join the judge is one narrow pass; parsed values are staged so
-    that each pattern runs once per row.
+    is the (alias, group) table of registered affiliates (D3, D4).  Cheap rules
+    come first.  With ``parse_dropped=False`` the dear parsers run only on rows
+    those leave alive and the columns of early dropped rows are NULL; the
+    verdicts are the same.  Apart from the equality join with the affiliates the
+    judge is one narrow pass; rows that need no lookup get keys of their own and
+    do not pile up on one.
     """
     src = F.col("src")
     title, block, href = text_or_blank("title"), text_or_blank("block"), text_or_blank("href")
     is_api, is_search = src["type"] == "api", src["type"] == "search"
+    every = F.lit(parse_dropped)
 
     named = (
         candidates
         .withColumn("_title", augmented_title(rules, title, block, src))
-        .withColumn("_found", F.when(is_search, find_company(rules, block)))
+        .withColumn("_loose", sections_loose(rules, F.col("_title"), src["company"]))
+        .withColumn("_first", F.when(~F.col("_loose"), "off_topic").otherwise(
+            F.when(~is_api, not_a_posting(F.col("_title"), href, block))))
+        .withColumn("_found", F.when(is_search & (F.col("_first").isNull() | every), find_company(rules, block)))
         .withColumn("company", F.when(is_search, F.col("_found"))
                     .when(is_api, F.coalesce(blank_to_null("company"), src["company"]))
                     .otherwise(src["company"]))
     )
     if aliases is not None:
-        keyed = named.withColumn("_alias", normalize_org("company", "affiliate"))
+        no_key = F.concat(F.lit("\u0000"), F.hash("title", "href", "block").cast("string"))
+        wanted = (F.col("_first").isNull() | every) & F.col("company").isNotNull()
+        keyed = named.withColumn("_alias", F.when(wanted, normalize_org("company", "affiliate")).otherwise(no_key))
         named = keyed.join(aliases.select(F.col("alias").alias("_alias"), F.col("group").alias("affiliate_of")),
                            "_alias", "left").drop("_alias")
     else:
         named = named.withColumn("affiliate_of", F.lit(None).cast("string"))
 
     company = F.col("company")
+    large = named_large(rules, company) | F.col("affiliate_of").isNotNull()
+    groups_only = is_api & F.coalesce(src["groups_only"], F.lit(False))
+    headhunted = matches(F.concat_ws(" ", company, F.col("_title")), fixed.HEADHUNT_BIG, True)
+    size_filter = is_api & F.coalesce(src["size_filter"], F.lit(False))
+    staged = named.withColumn("_large", F.when(F.col("_first").isNull() | every, large)).withColumn(
+        "_early", F.when(F.col("_first").isNotNull(), F.col("_first"))
+        .when(is_search & F.col("_found").isNull(), "unlisted_company")
+        .when(size_filter & ~F.col("_large") & find_company(rules, company).isNull(), "unlisted_company")
+        .when(groups_only & F.col("affiliate_of").isNull() & ~headhunted, "not_group_affiliate"))
+    alive = F.col("_early").isNull() | every
     staged = (
-        named
-        .withColumn("_loose", sections_loose(rules, F.col("_title"), src["company"]))
-        .withColumn("_no_posting", F.when(~is_api, not_a_posting(F.col("_title"), href, block)))
-        .withColumn("_exp", parse_exp(block))
-        .withColumn("_deadline", parse_deadline(block, run_date))
-        .withColumn("_large", named_large(rules, company) | F.col("affiliate_of").isNotNull())
-        .withColumn("_listed", F.when(is_api & F.coalesce(src["size_filter"], F.lit(False)),
-                                      find_company(rules, company).isNotNull() | F.col("_large")))
-        .withColumn("size_rank", size_rank(
+        staged
+        .withColumn("_exp", F.when(alive, parse_exp(block)))
+        .withColumn("_deadline", F.when(alive, parse_deadline(block, run_date)))
+        .withColumn("size_rank", F.when(alive, size_rank(
             src["type"] == "portal", F.col("_large"), F.coalesce(src["group"] == "대기업 계열", F.lit(False)),
-            named_mid(rules, company), src["default_rank"], company))
+            named_mid(rules, company), src["default_rank"], company)))
+        .withColumn("sec", F.when(alive, sections(rules, F.col("_title"), company, F.col("size_rank"))))
     )
-    staged = staged.withColumn("sec", sections(rules, F.col("_title"), company, F.col("size_rank")))
-
     exp, deadline = F.col("_exp"), F.col("_deadline")
-    groups_only = is_api & F.coalesce(src["groups_only"], F.lit(False))
-    headhunted = matches(F.concat_ws(" ", company, F.col("_title")), fixed.HEADHUNT_BIG, True)
     closed = matches(block, fixed.CLOSED_WORDING, True) & ~matches(block, fixed.CLOSING_DATE_WORDING)
     reason = (
-        F.when(~F.col("_loose"), "off_topic")
-        .when(F.col("_no_posting").isNotNull(), F.col("_no_posting"))
-        .when(is_search & F.col("_found").isNull(), "unlisted_company")
-        .when(~F.coalesce(F.col("_listed"), F.lit(True)), "unlisted_company")
-        .when(groups_only & F.col("affiliate_of").isNull() & ~headhunted, "not_group_affiliate")
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(F.coalesce(exp["min_years"] > rules.max_min_years, F.lit(False)), "min_years")
         .when(exp["new_grad_only"] & ~F.col("_large"), "new_grad_small")
         .when(F.coalesce(deadline["date"] < run_date, F.lit(False)), "past_deadline")
@@ -103,14 +111,14 @@ def judge(candidates: DataFrame, rules: RuleSet, run_date: Column, aliases: Data
     keep = [c for c in candidates.columns if c not in ("title", "block", "href", "company", "src")]
     return staged.select(
         *keep, company, normalize_title("_title").alias("title"),
-        F.when(exp["new_grad_only"], fixed.NEW_GRAD).otherwise(fixed.EXPERIENCED).alias("track"),
+        F.when(exp["new_grad_only"], fixed.NEW_GRAD).when(alive, fixed.EXPERIENCED).alias("track"),
         exp["label"].alias("exp"), exp["min_years"].alias("min_years"),
-        F.date_format(parse_posted(block, run_date), "yyyy-MM-dd").alias("posted"),
+        F.when(alive, F.date_format(parse_posted(block, run_date), "yyyy-MM-dd")).alias("posted"),
         deadline_text(deadline).alias("deadline"),
         F.coalesce(blank_to_null(href), src["url"]).alias("link"),
         F.substring(block, 1, 300).alias("snippet"),
         "size_rank", size_label(F.col("size_rank")).alias("size"), "affiliate_of", "sec",
-        doubt.alias("check_company"), reason.alias("drop_reason"),
+        F.when(alive, doubt).alias("check_company"), reason.alias("drop_reason"),
     )
 
 

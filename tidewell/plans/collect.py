@@ -79,7 +79,7 @@ def run(candidates: DataFrame, fetches: DataFrame, sources: DataFrame, state: Da
     written once because verdicts feed both the merge and the metrics.
     """
     day = F.lit(run_date).cast("date")
-    judged = judge(join_sources(candidates, sources), rules, day, aliases)
+    judged = judge(join_sources(candidates, sources), rules, day, aliases, parse_dropped=False)
     judged = judged.withColumn("row_id", F.concat_ws("|", "source", "pos", "link", "title"))
     if model is not None:
         judged = score(judged, model, "row_id")
