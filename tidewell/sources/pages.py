@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed  # noqa: F401  (re-exported defaults)
-from ..functions.text import col, html_to_text, let, matches, record, rx, squeeze, static_html, strip_tags
+from ..functions.text import col, first_match, html_to_text, let, matches, record, rx, squeeze, static_html, strip_tags
 
 _ANCHOR = r"(?is)<a\b[^>]*>.*?(?=<a\b|$)"
 _ELEMENT = r"(?is)<(?:li|tr|article|div|p|section)\b[^>]*>(?:(?!<(?:li|tr|article|div|section)\b).)*?</(?:li|tr|article|div|p|section)>"
@@ -25,8 +25,9 @@ def _anchors(html: Column, net: str) -> Column:
         own = strip_tags(F.regexp_extract(piece, r"(?is)^<a\b[^>]*>(.*?)</a>", 1))
         around = strip_tags(piece)
         href = F.coalesce(
-            F.nullif(F.regexp_extract(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"", 1), F.lit("")),
-            F.regexp_extract(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'", 1))
+            first_match(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"", 1),
+            first_match(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'", 1),
+            F.regexp_extract(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*([^\s\"'>]+)", 1))
         return record(title=own, href=href, block=let(around, lambda a: F.when(F.length(a) <= 700, a).otherwise(own)))
 
     found = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), 0), read)

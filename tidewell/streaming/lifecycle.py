@@ -18,11 +18,15 @@ def lifecycles(sightings: DataFrame, key: str, ts: str, failed: Column | None =
     source keep it open for ``stale_failed``.  A new sighting after that opens a
     new period.
     """
-    gap = F.when(F.coalesce(failed, F.lit(False)), F.lit(stale_failed)).otherwise(F.lit(stale)) if failed is not None else F.lit(stale)
-    timed = sightings.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness)
+    down = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    timed = sightings.withColumn("_down", down).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness)
+    gap = F.when(F.col("_down"), F.lit(stale_failed)).otherwise(F.lit(stale))
+    until = F.col("_ts") + F.when(F.col("_down"), F.expr(f"INTERVAL '{stale_failed}'")).otherwise(F.expr(f"INTERVAL '{stale}'"))
+    # closes_at is an aggregate, not the end of the window: a filter on a grouping key would be
+    # pushed below the merging of sessions and cut them short
     return timed.groupBy(F.session_window("_ts", gap).alias("period"), key).agg(
-        F.min("_ts").alias("first_seen"), F.max("_ts").alias("last_seen"), F.count(F.lit(1)).alias("n_seen"),
-    ).select(key, "first_seen", "last_seen", "n_seen", F.col("period.end").alias("closes_at"))
+        F.min("_ts").alias("first_seen"), F.max("_ts").alias("last_seen"), F.count(F.lit(1)).alias("n_seen"), F.max(until).alias("closes_at"),
+    ).select(key, "first_seen", "last_seen", "n_seen", "closes_at")
 
 
 def first_sightings(sightings: DataFrame, keys: list[str], ts: str, lateness: str = "12 hours") -> DataFrame:
