@@ -6,7 +6,7 @@ to every row with key k on the other, it is enough to tie all of them to one hub
 node, because the components are the same.  Rows that are equal in everything
 that is compared are first folded into one signature.  Real pairs are formed
 only for the word-cover rule with two or more words, and there only between
-signatures that share the longest word, the company and the field set.
+signatures that share the rarest word of one of them, the company and the field set.
 """
 
 from __future__ import annotations
@@ -99,13 +99,17 @@ def _cover_pairs(left: DataFrame, right: DataFrame, cols: list[str], words: str,
     return pairs.filter(token_cover(F.col("_lw"), F.col("_rw"))).select(F.col("sig").alias("u"), F.col("_rsig").alias("v"))
 
 
-def _anchor(words: Column) -> Column:
-    """Longest word: the rarest one as a rule, and known without counting."""
-    return F.array_max(F.transform(words, lambda w: record(n=F.length(w), w=w)))["w"]
+def _with_anchor(sets: DataFrame, group: list[str], words: str) -> DataFrame:
+    """Rarest word of each set inside its group as ``anchor``; a word all sets share anchors only sets of such words."""
+    exploded = sets.select("sig", *group, F.explode(words).alias("_w"))
+    counts = exploded.groupBy(*group, "_w").agg(F.count(F.lit(1)).alias("_c"))
+    best = exploded.join(counts, [*group, "_w"]).groupBy("sig", *group).agg(
+        F.min_by("_w", F.struct("_c", -F.length("_w"), F.col("_w"))).alias("anchor"))
+    return sets.join(best, ["sig", *group])
 
 
 def _word_keys(df: DataFrame, words: str, side: str) -> DataFrame:
-    """Word keys: left rows by their longest word, right rows by all words.
+    """Word keys: left rows by their anchor word, right rows by all words.
 
     Word x meets word y when one is a head of the other: x equals a head of y
     (form 0) or y equals a proper head of x (form 1).
@@ -117,7 +121,7 @@ def _word_keys(df: DataFrame, words: str, side: str) -> DataFrame:
         return F.concat(tag(own, 0), tag(other, 1))
 
     if side == "l":
-        keys = forms(_anchor(F.col(words)))
+        keys = forms(F.col("anchor"))
     else:
         keys = F.array_distinct(F.flatten(F.transform(F.col(words), forms)))
     return df.filter(F.size(words) > 0).withColumn("_wk", F.explode(keys)).withColumn("form", F.col("_wk.form")).withColumn(
@@ -155,9 +159,10 @@ def duplicate_edges(sigs: DataFrame) -> DataFrame:
     same = ["status", "company", "fields", "words"]
     ties = full.select(F.col("sig").alias("u"), _key("=set", *same[:3], F.array_join("words", "\u0002")).alias("v"))
     sets = cut_lineage(full.groupBy(*same, "name", "exact").agg(F.min("sig").alias("sig")))
+    sets = cut_lineage(_with_anchor(sets, ["status", "fields", "name"], "words"))
     left, right = _word_keys(sets, "words", "l"), _word_keys(sets, "words", "r")
     cols = ["status", "fields", "name", "form", "word"]
-    # one word: hubs; two and more: pairs that share the longest word
+    # one word: hubs; two and more: pairs that share the rarest word
     word_hubs = _two_way(left.filter(F.size("words") == 1), right, "word", cols)
     pairs = _cover_pairs(left, right, cols, "words", True)
     return _hub_edges(core_hubs.unionByName(word_hubs)).unionByName(ties).unionByName(pairs).distinct()
@@ -201,14 +206,15 @@ def sibling_edges(rows: DataFrame) -> DataFrame:
     first = long_bare.filter(F.col("bare") != F.col("title")).groupBy(*group).agg(F.min("pos").alias("_first"))
     bracket = shared(long_bare.join(first, group).filter(F.col("pos") >= F.col("_first")), "bare", "bare")
 
-    left, right = _word_keys(plain, "words", "l"), _word_keys(plain, "words", "r")
+    # equal word sets are tied by a hub, so only distinct sets are compared
+    equal_sets = shared(plain.filter(F.size("words") > 0), "set", F.array_join("words", "\u0002"))
+    sets = plain.filter(F.size("words") > 0).groupBy("status", "name", "words").agg(F.min("sig").alias("sig"))
+    sets = cut_lineage(_with_anchor(sets, ["status", "name"], "words"))
+    left, right = _word_keys(sets, "words", "l"), _word_keys(sets, "words", "r")
     cols = ["status", "name", "form", "word"]
     hub = _key("=base", *cols)
     one_word = _hub_edges(_sides(left.filter(F.size("words") == 1), "l", hub).unionByName(_sides(right, "r", hub)))
-    # equal word sets are tied by a hub, so only distinct sets are compared
-    equal_sets = shared(plain.filter(F.size("words") >= 2), "set", F.array_join("words", "\u0002"))
-    sets = plain.filter(F.size("words") > 0).groupBy("status", "name", "words").agg(F.min("sig").alias("sig"))
-    pairs = _cover_pairs(_word_keys(sets, "words", "l"), _word_keys(sets, "words", "r"), cols, "words", False)
+    pairs = _cover_pairs(left, right, cols, "words", False)
     out = link
     for part in (hiring, rest, bracket, one_word, equal_sets, pairs):
         out = out.unionByName(part)

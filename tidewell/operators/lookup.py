@@ -30,28 +30,32 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame,
                  gram: int = 4, shortest: int = 1, boundary: bool = False) -> DataFrame:
     """Longest dictionary name inside each text, for a dictionary of any size.
 
-    A name can only occur where its first ``gram`` signs occur, so the distinct
-    grams of a text meet the dictionary in an equality join and only those
-    candidates are looked for in the text.  Names under ``gram`` signs are their
-    own gram; ``shortest`` is the least name length that exists.
+    Every place of a text is cut to the longest name's length; places whose head
+    starts no name go out in an equality join on that head, the others are cut
+    to the name lengths that occur with the head and meet the whole names in a
+    second equality join.  No text meets more names than it has places and
+    lengths, however many names share a head.  ``shortest`` is the least name
+    length that counts.
     """
-    lowered = F.lower(text_or_blank(text_col))
     dictionary = (
         names.select(F.col(name_col).alias("name"), F.lower(name_col).alias("_n"))
-        .filter(F.length("_n") >= shortest).distinct().withColumn("_g", F.substring("_n", 1, gram)))
-
-    def grams(t: Column) -> Column:
-        """Distinct windows of each length; a look-ahead yields them in one pass."""
-        return F.array_distinct(F.flatten(F.array(*[
-            F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{w}}}))"), 1) for w in range(shortest, gram + 1)])))
-
-    candidates = texts.select(id_col, F.explode(grams(lowered)).alias("_g")).join(dictionary, "_g").select(id_col, "name", "_n")
-    hit = texts.select(id_col, lowered.alias("_t")).join(candidates, id_col).filter(F.contains("_t", F.col("_n")))
+        .filter(F.length("_n") >= shortest).groupBy("_n").agg(F.min("name").alias("name")))
+    longest = dictionary.agg(F.max(F.length("_n"))).first()[0]  # one number
+    if longest is None:
+        return texts.withColumn("name", F.lit(None).cast("string"))
+    head = min(gram, shortest)
+    lengths = dictionary.groupBy(F.substring("_n", 1, head).alias("_g")).agg(
+        F.array_sort(F.collect_set(F.length("_n"))).alias("_lengths"))  # at most `longest` numbers
+    framed = F.concat(F.lit("\u0000"), F.lower(text_or_blank(text_col)), F.lit("\u0000"))
+    # the sign before a place, the place, one sign more; a look-ahead yields all of them in one pass
+    windows = F.array_distinct(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{shortest + 1},{longest + 2}}}))"), 1))
+    places = texts.select(id_col, F.explode(windows).alias("_w")).withColumn("_g", F.substring("_w", 2, head))
+    cut = places.join(lengths, "_g").select(id_col, "_w", F.explode("_lengths").alias("_len")).filter(
+        F.length("_w") > F.col("_len")).withColumn("_n", F.substring(F.col("_w"), F.lit(2), F.col("_len")))
     if boundary:
-        n = F.col("_n")
-        hit = hit.filter(F.rlike(F.col("_t"), F.concat(
-            F.when(n.rlike("^[a-z0-9]"), F.lit("(?<![a-z])")).otherwise(F.lit("")), F.lit("\\Q"), n, F.lit("\\E"),
-            F.when(n.rlike("[a-z0-9]$"), F.lit("(?![a-z])")).otherwise(F.lit("")))))
+        before, after = F.substring("_w", 1, 1), F.substring(F.col("_w"), F.col("_len") + 2, F.lit(1))
+        cut = cut.filter(~(before.rlike("[a-z]") & F.col("_n").rlike("^[a-z0-9]")) & ~(after.rlike("[a-z]") & F.col("_n").rlike("[a-z0-9]$")))
+    hit = cut.select(id_col, "_n").join(dictionary, "_n")
     best = hit.groupBy(id_col).agg(F.min_by("name", F.struct(-F.length("_n"), F.col("_n"))).alias("name"))
     return texts.join(best, id_col, "left")
 
@@ -59,9 +63,11 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame,
 def affiliate_group(rows: DataFrame, aliases: DataFrame, names: list[str], out: str = "group") -> DataFrame:
     """Group of the first name that equals a registered alias (D3)."""
     found = rows
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string"))  # rows without a name do not pile up on one key
     for i, name in enumerate(names):
         side = aliases.select(F.col("alias").alias(f"_a{i}"), F.col("group").alias(f"_g{i}"))
-        found = found.withColumn(f"_a{i}", normalize_org(name, "affiliate")).join(side, f"_a{i}", "left").drop(f"_a{i}")
+        found = found.withColumn(
+            f"_a{i}", F.coalesce(F.nullif(normalize_org(name, "affiliate"), F.lit("")), own)).join(side, f"_a{i}", "left").drop(f"_a{i}")
     return found.withColumn(out, F.coalesce(*[f"_g{i}" for i in range(len(names))])).drop(*[f"_g{i}" for i in range(len(names))])
 
 
@@ -100,23 +106,58 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def _segments(k: Column, tau: float) -> Column:
+    """A title key cut into one part more than the edits its partners may need."""
+    n = F.length(k)
+    parts = F.floor(n * (1 - tau) / tau + 1e-9).cast("int") + 1
+    cuts = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(
+        k, (F.floor(i * n / parts) + 1).cast("int"), (F.floor((i + 1) * n / parts) - F.floor(i * n / parts)).cast("int")))
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(cuts))
+
+
+def _pieces(k: Column, tau: float) -> Column:
+    """Substrings of a title key as long as the segments of any partner."""
+    n = F.length(k)
+    partner = F.sequence(F.ceil(n * tau - 1e-9).cast("int"), F.floor(n / tau + 1e-9).cast("int"))
+
+    def spans(m: Column) -> Column:
+        parts = F.floor(m * (1 - tau) / tau + 1e-9) + 1
+        return F.array(F.floor(m / parts).cast("int"), F.ceil(m / parts).cast("int"))
+
+    def windows(w: Column) -> Column:
+        return F.when((w >= 1) & (w <= n), F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substring(k, i, w)))
+
+    widths = F.array_distinct(F.flatten(F.transform(partner, spans)))
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(
+        F.array_distinct(F.flatten(F.array_compact(F.transform(widths, windows)))))
+
+
 def link_records(left: DataFrame, right: DataFrame, block: list[str], title_left: str, title_right: str, id_left: str,
-                 id_right: str, accept: float, company_bonus: Column | None = None) -> DataFrame:
+                 id_right: str, accept: float, company_bonus: Column | None = None, most_bonus: float = 0.0) -> DataFrame:
     """Best partner by title similarity inside a block.
 
-    Equal titles are compared once: both sides are first reduced to distinct
-    (block, title) with their least id, so copies do not multiply the work.
-    Titles that name different months never match (J22).
+    Only titles that can reach the needed similarity meet: if two keys differ by
+    at most k edits and one is cut into k + 1 segments, some segment survives
+    whole in the other, so the join is an equality of block and segment instead
+    of all pairs of a block, and it loses nothing.  Equal titles are compared
+    once.  Titles that name different months never match (J22).
+    ``most_bonus`` is the largest value ``company_bonus`` may add.
     """
+    tau = accept - most_bonus
+    if not 0.5 < tau <= 1:
+        raise ValueError("the needed similarity must lie between 0.5 and 1")
+
     def reduced(df: DataFrame, title: str, id_col: str, tag: str) -> DataFrame:
         keyed = df.select(*block, F.col(title).alias(f"_t{tag}"), title_key(title).alias(f"_k{tag}"), F.col(id_col).alias(f"_id{tag}"))
         return keyed.groupBy(*block, f"_t{tag}", f"_k{tag}").agg(F.min(f"_id{tag}").alias(f"_id{tag}"))
 
     a, b = reduced(left, title_left, id_left, "a"), reduced(right, title_right, id_right, "b")
+    near = a.withColumn("_s", F.explode(_pieces(F.col("_ka"), tau))).join(
+        b.withColumn("_s", F.explode(_segments(F.col("_kb"), tau))), [*block, "_s"])
+    pairs = near.select(*block, "_ta", "_ka", "_tb", "_kb", "_idb").distinct().filter(same_month("_ta", "_tb"))
     sim = similarity(F.col("_ka"), F.col("_kb")) + (company_bonus if company_bonus is not None else F.lit(0.0))
-    pairs = a.join(b, block).filter(same_month("_ta", "_tb")).withColumn("score", F.round(sim, 6))
-    best = first_by(pairs.filter(F.col("score") >= accept).select(*block, "_ta", "_idb", "score"),
-                    [*block, "_ta"], F.struct(-F.col("score"), F.col("_idb")))
+    scored = pairs.withColumn("score", F.round(sim, 6)).filter(F.col("score") >= accept)
+    best = first_by(scored.select(*block, "_ta", "_idb", "score"), [*block, "_ta"], F.struct(-F.col("score"), F.col("_idb")))
     renamed = best.select(*block, F.col("_ta").alias(title_left), F.col("_idb").alias(f"{id_right}_match"), "score")
     return left.join(renamed, [*block, title_left], "left")
 

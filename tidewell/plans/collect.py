@@ -17,7 +17,7 @@ from ..operators.merge import merge_snapshot
 from ..operators.rules import RuleSet
 from ..operators.score import RelevanceModel, gate, score
 from ..sources.feeds import net_filter
-from ..sources.pages import page_candidates, page_stats
+from ..sources.pages import is_blocked, page_candidates, page_stats
 from ..functions.bands import compare_salary, compare_size
 from ..functions.orgs import normalize_org
 from ..session import cut_lineage
@@ -37,8 +37,9 @@ class Run:
 
 def candidates_of(pages: DataFrame, feed_rows: DataFrame | None, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
     """Candidates and fetch states of landed pages (source, url, html) and normalised feed rows."""
-    stats = page_stats(pages, rules.block_page_pattern).select("source", "text_len", "ok", "error")
-    usable = pages.join(stats.filter("ok").select("source").distinct(), "source", "left_semi")
+    stats = page_stats(pages, rules.block_page_pattern).groupBy("source").agg(
+        F.sum("text_len").alias("text_len"), F.max("ok").alias("ok"), F.min(F.when(~F.col("ok"), F.col("error"))).alias("error"))
+    usable = pages.filter(~is_blocked(F.col("html"), rules.block_page_pattern))  # row by row: pages are never shuffled
     found = page_candidates(usable, rules.candidate_pattern).select(
         "source", "title", "href", "block", F.lit(None).cast("string").alias("company"), "pos")
     if feed_rows is not None:

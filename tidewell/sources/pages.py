@@ -74,12 +74,22 @@ def page_candidates(pages: DataFrame, net: str, html: str = "html") -> DataFrame
     )
 
 
+def is_blocked(html: Column, block_pattern: str | None) -> Column:
+    """Little text and the wording of a bot check (A5)."""
+    if not block_pattern:
+        return F.lit(False)
+    return let(_body_text(html), lambda t: (F.length(t) < 2000) & matches(t, block_pattern, True))
+
+
+def _body_text(html: Column) -> Column:
+    body = F.coalesce(first_match(html, r"(?is)<body\b[^>]*>(.*)</body>", 1), html)
+    return squeeze(html_to_text(F.regexp_replace(body, r"(?s)<!--.*?-->", " ")))
+
+
 def page_stats(pages: DataFrame, block_pattern: str | None = None, html: str = "html") -> DataFrame:
     """Text length, anchor count and fetch state per page (A4, A5)."""
     keep = [c for c in pages.columns if c != html]
-    body = F.coalesce(F.nullif(F.regexp_extract(F.col(html), r"(?is)<body\b[^>]*>(.*)</body>", 1), F.lit("")), F.col(html))
-    text = squeeze(html_to_text(F.regexp_replace(body, r"(?s)<!--.*?-->", " ")))
-    staged = pages.select(*keep, text.alias("_text"),
+    staged = pages.select(*keep, _body_text(F.col(html)).alias("_text"),
                           F.size(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\b"), 0)).alias("anchors"))
     length = F.length("_text")
     blocked = (length < 2000) & matches("_text", block_pattern, True) if block_pattern else F.lit(False)
@@ -92,4 +102,4 @@ def static_pages(pages: DataFrame, html: str = "html", url: str = "url") -> Data
     return pages.withColumn(html, static_html(col(html), col(url)))
 
 
-__all__ = ["page_candidates", "page_stats", "static_pages", "rx"]
+__all__ = ["page_candidates", "page_stats", "is_blocked", "static_pages", "rx"]
