@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources import feeds, state
 from ..streaming import lifecycle
 from .postings import (
-    RULES, RUN_DATE, customer_registry, day, line_batch, order_candidates, order_sources, order_state, part_postings, table,
+    RULES, RUN_DATE, customer_registry, day, landed, line_batch, order_candidates, order_sources, order_state, part_postings, table,
 )
 
 MERGE_DAY = "2031-07-15"
@@ -46,7 +46,7 @@ def source_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_health(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     return d.groupBy("source").agg(
         F.count(F.lit(1)).alias("found"), (F.count_if(F.contains("text", F.lit("tion"))) % 3 == 0).alias("ok"), F.min("n_chars").alias("text_len"),
     ).select("source", "found", "ok", (F.col("ok") & (F.col("text_len") < 20)).alias("suspicious"), F.when(F.col("source") < "src15", "api").otherwise("company").alias("type"),
@@ -80,20 +80,20 @@ DOC_RULES = R.RuleSet(
 
 def include_exclude_sections(spark: SparkSession, sf: str) -> DataFrame:
     """C2, C3, C4"""
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     rank = F.when(F.col("source") < "src15", 1).otherwise(4)
     return d.select("doc_id", F.array_join(R.sections(DOC_RULES, "text", "source", rank), ",").alias("sec"), R.sections_loose(DOC_RULES, "text", "source").alias("loose"))
 
 
 def section_counts(spark: SparkSession, sf: str) -> DataFrame:
     """E7"""
-    d = table(spark, sf, "documents").select(F.when(F.col("lang") != "es", "open").otherwise("closed").alias("status"), R.sections(DOC_RULES, "text", "source").alias("sec"))
+    d = landed(spark, sf, "documents").select(F.when(F.col("lang") != "es", "open").otherwise("closed").alias("status"), R.sections(DOC_RULES, "text", "source").alias("sec"))
     return view.section_counts(d)
 
 
 def rule_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """E10"""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = landed(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return R.confusion(d, F.col("quality") == 1, R.include_exclude("text", "source", "tion|ung|ment", "quest"))
 
 
@@ -106,7 +106,7 @@ def feed_recall(spark: SparkSession, sf: str) -> DataFrame:
 def longest_name_match(spark: SparkSession, sf: str) -> DataFrame:
     """Longest benchmark word inside each whole document"""
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0)).alias("name")).distinct()
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = landed(spark, sf, "documents").select("doc_id", "text")
     return lookup.mention_join(d, "doc_id", "text", words, "name", gram=8, shortest=8).select("doc_id", "name")
 
 
@@ -361,7 +361,7 @@ def wrong_tails(spark: SparkSession, sf: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """A17, H12"""
-    d = table(spark, sf, "documents").select(job_id("source", "text").alias("id"), "doc_id", "source")
+    d = landed(spark, sf, "documents").select(job_id("source", "text").alias("id"), "doc_id", "source")
     return d.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
@@ -395,7 +395,7 @@ def member_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     """K2, K3: document frequencies and weights of all terms, per block and length"""
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     counts = score.term_counts(d, "doc_id", F.col("text"))
     idf = score.idf_weights(counts, d.agg(F.count(F.lit(1)).alias("n")))
     return idf.groupBy("block", F.length("term").alias("len")).agg(
@@ -404,7 +404,7 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def word_weights(spark: SparkSession, sf: str) -> DataFrame:
     """K3: unit-length weights per document, word block"""
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     counts = score.term_counts(d, "doc_id", F.col("text"), chars=False)
     w = score.tfidf(counts, score.idf_weights(counts, d.agg(F.count(F.lit(1)).alias("n"))), "doc_id")
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("x"), 6).alias("max_weight"))
@@ -412,7 +412,7 @@ def word_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
     """K1-K8: trained on the labelled documents, applied to all"""
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     train = d.join(table(spark, sf, "labels"), "doc_id").select(F.col("text").alias("title"), F.col("source").alias("company"), F.col("quality").alias("label"))
     model = score.fit(train, max_iter=30)
     rows = d.select("doc_id", "text", "source", F.lit(None).cast("string").alias("drop_reason"), F.array(F.lit("환경")).alias("sec"))

@@ -9,30 +9,30 @@ from ..functions import bands, dates, experience, links, orgs, text, titles
 from ..operators.groups import forward_fill
 from ..operators.verify import duty_check, labelled_detail, linked_data_detail
 from ..sources import feeds, pages, registry, state
-from .postings import day, table
+from .postings import day, landed, table
 
 
 def anchor_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """A2, A3"""
-    found = pages.page_candidates(table(spark, sf, "pages"), "[aeiou]")
+    found = pages.page_candidates(landed(spark, sf, "pages"), "[aeiou]")
     return found.select("page_id", "title", "href")
 
 
 def page_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A4, A5"""
-    return pages.page_stats(table(spark, sf, "pages"), "que|the").select(
+    return pages.page_stats(landed(spark, sf, "pages"), "que|the").select(
         "page_id", F.col("text_len").cast("long").alias("text_len"), F.col("anchors").cast("long").alias("anchors"), "ok")
 
 
 def html_text_stats(spark: SparkSession, sf: str) -> DataFrame:
     """J10"""
     t = text.html_to_text("html")
-    return table(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.size(F.split(t, "\n")).cast("long").alias("n_lines"))
+    return landed(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.size(F.split(t, "\n")).cast("long").alias("n_lines"))
 
 
 def static_pages(spark: SparkSession, sf: str) -> DataFrame:
     """J11"""
-    return pages.static_pages(table(spark, sf, "pages")).select("page_id", F.md5("html").alias("digest"))
+    return pages.static_pages(landed(spark, sf, "pages")).select("page_id", F.md5("html").alias("digest"))
 
 
 CANON = [("org", r"example\.org/[a-z]{2}/(\d+)"), ("net", r"example\.net/[a-z]{2}/(\d+)"), ("com", r"example\.com/[a-z]{2}/(\d+)")]
@@ -40,7 +40,7 @@ CANON = [("org", r"example\.org/[a-z]{2}/(\d+)"), ("net", r"example\.net/[a-z]{2
 
 def url_canonical_key(spark: SparkSession, sf: str) -> DataFrame:
     """H13, J24, C17"""
-    return table(spark, sf, "pages").select(
+    return landed(spark, sf, "pages").select(
         "page_id", links.canon_key("url", CANON).alias("canon"), links.host_of("url").alias("host"),
         links.link_kind("url", ("example.net",), ("spam-farm.example.org", "cheap-pills.example.com"), r"example\.org/[a-z]{2}/(\d+)").alias("kind"),
         links.web_link("url").alias("link"))
@@ -49,7 +49,7 @@ def url_canonical_key(spark: SparkSession, sf: str) -> DataFrame:
 def cards_feed(spark: SparkSession, sf: str) -> DataFrame:
     """A7"""
     spec = feeds.cards_feed("nav", r"<li>(.*?)</li>", r'href="(/[^"]*)"', r">(.*?)</a>", "https://x.example")
-    raw = table(spark, sf, "pages").select("page_id", F.col("html").alias("payload"))
+    raw = landed(spark, sf, "pages").select("page_id", F.col("html").alias("payload"))
     return feeds.normalize_feed(raw, spec).select("page_id", "rec_key", "title", "href")
 
 
@@ -58,7 +58,7 @@ ITEM = "struct<no:bigint,name:string,roles:array<string>,start:string,end:string
 
 def script_feed(spark: SparkSession, sf: str) -> DataFrame:
     """A8, A9, A10, A13, A15"""
-    x = table(spark, sf, "lineitem")
+    x = landed(spark, sf, "lineitem")
     item = F.struct(
         F.col("l_partkey").alias("no"),
         F.concat(F.when(F.col("l_linenumber") > 4, F.concat(F.lit("[Sup "), F.col("l_suppkey").cast("string"), F.lit("] "))).otherwise(""), F.lit("part "), F.col("l_partkey").cast("string")).alias("name"),
@@ -90,7 +90,7 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """A6"""
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     rows = d.filter(F.col("text").rlike("tionier")).select("source", F.col("lang").alias("title"), F.col("text").alias("block"))
     return feeds.feed_counts(d, rows).select("source", "anchors", "text_len", "error")
 
@@ -125,7 +125,7 @@ def detail_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_union(spark: SparkSession, sf: str) -> DataFrame:
     """A17"""
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("href"), F.col("lang").alias("title"), "text")
+    d = landed(spark, sf, "documents").select("doc_id", F.md5("text").alias("href"), F.col("lang").alias("title"), "text")
     parts = [d.filter(F.contains("text", F.lit(k))).select("href", "title", F.lit(k).alias("keyword"), F.col("doc_id").alias("pos")) for k in ("tion", "que", "ing", "der")]
     return feeds.keyword_union(parts).select("href", "title", "keyword", F.col("pos").alias("doc_id"))
 
@@ -190,7 +190,7 @@ def deadline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         .when(p == "4-NOT SPECIFIED", F.when(F.col("o_orderstatus") == "O", F.lit("상시 채용")).when(F.col("o_orderstatus") == "F", F.lit("오늘마감")).otherwise("경력 3년"))
         .otherwise("경력 2~7년 D-20"))
     found = dates.parse_deadline(written, run)
-    return table(spark, sf, "orders").select("o_orderkey", found.alias("f")).select(
+    return landed(spark, sf, "orders").select("o_orderkey", found.alias("f")).select(
         "o_orderkey", F.col("f.kind").alias("kind"), F.date_format("f.date", "yyyy-MM-dd").alias("deadline"))
 
 
@@ -273,7 +273,7 @@ def size_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """J12"""
-    o = table(spark, sf, "orders")
+    o = landed(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
     html = F.concat(
         F.lit('<meta property="og:description" content="Company '), F.col("o_custkey").cast("string"), F.lit(', Order &amp; '), key, F.lit('"><a href="/company-info/view?csn=C'), key,
@@ -287,7 +287,7 @@ def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def linked_data(spark: SparkSession, sf: str) -> DataFrame:
     """J13"""
-    o = table(spark, sf, "orders")
+    o = landed(spark, sf, "orders")
     months = F.pmod("o_orderkey", F.lit(100)).cast("int")
     posting = F.struct(
         F.lit("JobPosting").alias("@type"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
@@ -305,7 +305,7 @@ def linked_data(spark: SparkSession, sf: str) -> DataFrame:
 
 def duty_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict over whole texts"""
-    d = table(spark, sf, "documents")
+    d = landed(spark, sf, "documents")
     body = F.when(F.col("lang") == "de", F.concat("text", F.lit("\n담당업무 (마감)위험물 "))).when(F.col("lang") == "es", F.concat("text", F.lit("\n아파트 건설현장 안전관리"))).otherwise(F.col("text"))
     rows = d.select("doc_id", F.when(F.col("lang") == "fr", "안전 관리자").otherwise("title").alias("title"), body.alias("body"))
     return duty_check(rows).select("doc_id", "duty", "duty_flag")

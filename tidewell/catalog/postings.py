@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import Profile, RuleSet
+from ..session import spread
 
 RUN_DATE = "2028-06-15"
 
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def landed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Table whose rows are parsed as texts: enough tasks even for a single file."""
+    return spread(table(spark, sf, name))
+
+
 def day(c: str) -> F.Column:
     """Day of a table's timestamp, thirty years on: cards name years of this century."""
     return F.add_months(F.col(c).cast("date"), 360)
@@ -51,7 +57,7 @@ def order_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Every order as a candidate card."""
-    o = table(spark, sf, "orders").join(
+    o = landed(spark, sf, "orders").join(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     years = F.pmod("o_orderkey", F.lit(12))
     work = F.when(years == 0, F.lit("신입")).otherwise(F.concat(F.lit("경력 "), years.cast("string"), F.lit("년 이상")))
@@ -74,7 +80,7 @@ def customer_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_state(spark: SparkSession, sf: str) -> DataFrame:
     """Every order as a stored posting."""
-    o = table(spark, sf, "orders").join(
+    o = landed(spark, sf, "orders").join(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "c_acctbal"), "o_custkey")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
     price, key, status = F.col("o_totalprice"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
@@ -101,7 +107,7 @@ def order_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_batch(spark: SparkSession, sf: str, run: str) -> DataFrame:
     """Every order line as a posting of today's batch: known numbers and new postings."""
-    x = table(spark, sf, "lineitem")
+    x = landed(spark, sf, "lineitem")
     key, part = F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
     fresh = F.col("l_discount") > 0.08

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import ColumnLike, all_matches, first_match, last_match, let, matches, record, squeeze, substitute, text_or_blank
+from .text import ColumnLike, all_matches, first_match, last_match, let, matches, record, squeeze, text_or_blank
 
 
 def parse_exp(block: ColumnLike) -> Column:
@@ -51,6 +51,3 @@ def official_exp(c: ColumnLike) -> Column:
 def years_cap(c: ColumnLike, cap: int) -> Column:
     """True when the minimum stays within the cap or is unknown."""
     return F.coalesce(parse_exp(c)["min_years"], F.lit(0)) <= cap
-
-
-__all__ = ["parse_exp", "official_exp", "years_cap", "substitute"]

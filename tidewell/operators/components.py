@@ -29,8 +29,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def _is_stars(edges: DataFrame) -> bool:
     """Every node points at one root and no root points anywhere."""
-    two_roots = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return two_roots.isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+    two_roots = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+    inner = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return two_roots.unionByName(inner).isEmpty()
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:

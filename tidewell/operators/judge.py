@@ -127,6 +127,3 @@ def drop_label(reason: Column, min_years: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in fixed.DROP_LABELS.items() for x in kv])
     return F.when(reason == "min_years", F.concat(F.lit(fixed.DROP_LABELS["min_years"] + " "), min_years.cast("string"), F.lit("년"))) \
         .otherwise(F.try_element_at(table, reason))
-
-
-__all__ = ["judge", "join_sources", "augmented_title", "drop_label", "SOURCE_COLUMNS"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import same_month
 from ..functions.links import canon_key
 from ..functions.orgs import normalize_org
-from ..functions.text import import_title_key, rx, text_or_blank, title_key
+from ..functions.text import import_title_key, text_or_blank, title_key
 from .groups import first_by
 
 
@@ -201,6 +201,3 @@ def semi_flag(rows: DataFrame, members: DataFrame, key: str, out: str) -> DataFr
     """Membership in another list as a flag."""
     return rows.join(members.select(key).distinct().withColumn(out, F.lit(True)), key, "left").withColumn(
         out, F.coalesce(out, F.lit(False)))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["rx"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.links import host_of
 from ..functions.text import (
-    ColumnLike, all_matches, col, has_any_name, longest_name, matches, substitute, text_or_blank,
+    ColumnLike, all_matches, has_any_name, longest_name, matches, substitute, text_or_blank,
 )
 
 
@@ -174,6 +174,3 @@ def confusion(predicted: DataFrame, keep: Column, got: Column) -> DataFrame:
         F.count_if(got & ~keep).alias("false_admits"), F.count_if(keep & ~got).alias("misses"),
         F.count_if(keep & got).alias("hits"),
     ).withColumn("failed", F.col("misses") > 0)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["col"]

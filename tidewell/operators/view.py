@@ -10,7 +10,7 @@ from ..functions.bands import company_tier, fit_band, form_rank, repaired_size
 from ..functions.dates import is_dated
 from ..functions.experience import years_cap
 from ..functions.links import web_link
-from ..functions.text import blank_to_null, matches, shorten, substitute, text_or_blank
+from ..functions.text import alternation, matches, shorten, substitute, text_or_blank
 from ..functions.titles import is_generic
 from .lookup import affiliate_group
 from .rules import RuleSet, not_a_posting, sections, sections_loose
@@ -56,7 +56,6 @@ def publish(state: DataFrame, rules: RuleSet, aliases: DataFrame, run_date: str,
     mids = [m for m in rules.mid_companies if len(m) >= 2]
     in_mid = F.lit(False)
     if mids:
-        from ..functions.text import alternation
         in_mid = matches(F.lower(text_or_blank("company")), alternation(mids, boundary=False))
     rows = rows.withColumn("_tier", company_tier("company", "title", group, F.col("size_rank"), "size", F.col("employees"),
                                                  F.col("avg_salary"), "company_form", in_mid))
@@ -144,6 +143,3 @@ def wrong_tails(state: DataFrame, rules: RuleSet) -> DataFrame:
                         & matches("title", tail, True))
     staged = rows.withColumn("_base", substitute("title", tail, "", True))
     return staged.filter(~sections_loose(rules, "_base", "company") & ~is_generic("_base", "company")).drop("_base")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["blank_to_null"]

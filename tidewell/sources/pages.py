@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed  # noqa: F401  (re-exported defaults)
-from ..functions.text import col, first_match, html_to_text, let, matches, record, rx, squeeze, static_html, strip_tags
+from ..functions.text import col, first_match, html_to_text, let, matches, record, squeeze, static_html, strip_tags
 
 _ANCHOR = r"(?is)<a\b[^>]*>.*?(?=<a\b|$)"
 _ELEMENT = r"(?is)<(?:li|tr|article|div|p|section)\b[^>]*>(?:(?!<(?:li|tr|article|div|section)\b).)*?</(?:li|tr|article|div|p|section)>"
@@ -100,6 +99,3 @@ def page_stats(pages: DataFrame, block_pattern: str | None = None, html: str = "
 
 def static_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     return pages.withColumn(html, static_html(col(html), col(url)))
-
-
-__all__ = ["page_candidates", "page_stats", "is_blocked", "static_pages", "rx"]

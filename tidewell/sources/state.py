@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fixed
 from ..functions.text import blank_to_null
 from ..operators.groups import first_by
 
@@ -181,6 +180,3 @@ def with_verification(jobs: DataFrame, results: DataFrame, key: str = "id") -> D
     """Input rows with their verification as one nested column."""
     rest = [c for c in results.columns if c != key]
     return jobs.join(results.select(key, F.struct(*rest).alias("verified")), key, "left")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["fixed"]
