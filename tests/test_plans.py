@@ -61,6 +61,17 @@ def test_collect_export_report(spark, rules):
     assert [r["problem"] for r in problems.collect()] == ["overall"] and [r["source"] for r in failed.collect()] == ["막힘"]
 
 
+def test_scored_run_gates_survivors(spark, rules):
+    rows = [("환경안전 담당 채용", "한빛전자", 1), ("EHS 엔지니어", "대솔", 1), ("신입사원 채용 (안전환경)", "HB", 1), ("울산 환경안전 경력 채용", "HB", 1),
+            ("회계 담당", "한빛전자", 0), ("생산 신입", "HB", 0), ("조리사 모집", "누리", 0), ("영업 담당", "대솔", 0)]
+    model = score.fit(spark.createDataFrame(rows, "title string, company string, label int"), max_iter=30)
+    result, _ = _run(spark, rules, spark.createDataFrame([], STATE_SCHEMA), "2031-05-05", model=model)
+    judged = result.judged.collect()
+    assert {r["title"] for r in result.state.collect()} == KEEP
+    assert all((r["p"] is None) == (r["drop_reason"] not in (None, "low_score")) for r in judged)
+    assert all(r["tier"] == "추천" and r["rel_score"] > 0.3 for r in result.state.collect())
+
+
 def test_profiles_and_lookups(spark, rules):
     batch = spark.createDataFrame([("(주)한빛", "https://a.example", 1), ("대솔", "https://a.example", 2), ("모름", "https://a.example", 3), ("낡음", "file://x", 4)], "company string, link string, batch_pos int")
     from tidewell.sources.state import PROFILE_SCHEMA

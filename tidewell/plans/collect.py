@@ -15,7 +15,7 @@ from ..operators.judge import join_sources, judge
 from ..operators.lookup import fresh_profile
 from ..operators.merge import merge_snapshot
 from ..operators.rules import RuleSet
-from ..operators.score import RelevanceModel, gate, score
+from ..operators.score import RelevanceModel, feature_text, gate, score
 from ..sources.feeds import net_filter
 from ..sources.pages import is_blocked, page_candidates, page_stats
 from ..functions.bands import compare_salary, compare_size
@@ -81,12 +81,15 @@ def run(candidates: DataFrame, fetches: DataFrame, sources: DataFrame, state: Da
     """
     day = F.lit(run_date).cast("date")
     judged = judge(join_sources(candidates, sources), rules, day, aliases, parse_dropped=False)
-    judged = judged.withColumn("row_id", F.concat_ws("|", "source", "pos", "link", "title"))
-    if model is not None:
-        judged = score(judged, model, "row_id")
+    no_score = F.lit(None).cast("double").alias("p")
+    if model is not None:  # only survivors are scored, and each distinct text once
+        judged = cut_lineage(judged)
+        alive = judged.filter("drop_reason is null").withColumn("text_id", F.md5(F.encode(feature_text("title", "company"), "UTF-8")))
+        judged = cut_lineage(score(alive, model, "text_id")).drop("text_id").unionByName(
+            judged.filter("drop_reason is not null").select("*", no_score))
+        judged = gate(judged, rules)
     else:
-        judged = judged.withColumn("p", F.lit(None).cast("double"))
-    judged = cut_lineage(gate(judged, rules))
+        judged = cut_lineage(gate(judged.select("*", no_score), rules))
     batch = judged.filter("drop_reason is null").withColumn("batch_pos", F.struct("source", "pos", "title"))
     if verify is not None:
         batch = verify(batch.withColumn("id", job_id("company", "title"))).drop("id")
