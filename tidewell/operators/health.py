@@ -23,7 +23,7 @@ def source_health(judged: DataFrame, fetches: DataFrame, source: str = "source",
         fetches.join(counts, source, "left")
         .withColumn("found", F.coalesce("found", F.lit(0)).cast("long"))
         .withColumn("kept", F.coalesce("kept", F.lit(0)).cast("long"))
-        .withColumn("suspicious", F.col("ok") & (F.col("text_len") < thin))
+        .withColumn("suspicious", F.coalesce(F.col("ok") & (F.col("text_len") < thin), F.lit(False)))
     )
 
 

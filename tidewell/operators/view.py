@@ -128,12 +128,14 @@ def section_counts(rows: DataFrame) -> DataFrame:
 
 def export_meta(view: DataFrame, runs: DataFrame, run_date: str) -> DataFrame:
     """One row: run date from the newest first sighting, figures of the latest run."""
-    latest = runs.agg(F.max_by(F.struct("run_at", "new", "open", "sources_ok", "sources_total"), "run_at").alias("r"), F.lit(1).alias("_k"))
-    newest = view.agg(F.max("first_seen").alias("_first"), F.lit(1).alias("_k"))
-    return newest.join(latest, "_k", "left").select(
+    figures = ("run_at", "new", "open", "sources_ok", "sources_total")
+    run = F.struct(*[F.col(c) for c in figures])
+    seen = view.select("first_seen")
+    both = seen.unionByName(runs.select(run.alias("r")), allowMissingColumns=True)
+    return both.agg(F.max("first_seen").alias("_first"), F.max_by("r", F.col("r.run_at")).alias("r")).select(
         F.coalesce("_first", F.substring("r.run_at", 1, 10), F.lit(run_date)).alias("run_date"),
         F.substring("r.run_at", 12, 5).alias("run_time"), F.col("r.run_at").alias("run_at"),
-        *[F.coalesce(f"r.{c}", F.lit(0)).alias(c) for c in ("new", "open", "sources_ok", "sources_total")])
+        *[F.coalesce(f"r.{c}", F.lit(0)).alias(c) for c in figures[1:]])
 
 
 def wrong_tails(state: DataFrame, rules: RuleSet) -> DataFrame:

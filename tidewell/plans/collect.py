@@ -103,6 +103,10 @@ def run(candidates: DataFrame, fetches: DataFrame, sources: DataFrame, state: Da
 
 def run_row(result: Run, run_at: str) -> DataFrame:
     """Row of the run log."""
-    figures = result.state.agg(F.count_if("is_new").alias("new"), F.count_if(F.col("status") == "open").alias("open"), F.lit(1).alias("_k"))
-    return figures.join(result.totals.withColumn("_k", F.lit(1)), "_k").select(
-        F.lit(run_at).alias("run_at"), "new", "open", "sources_ok", "sources_total")
+    postings = result.state.select(F.col("is_new"), (F.col("status") == "open").alias("is_open"))
+    sources = result.health.select((F.col("ok") & ~F.col("suspicious")).alias("fine"))
+    both = postings.unionByName(sources, allowMissingColumns=True)
+    return both.agg(
+        F.count_if("is_new").alias("new"), F.count_if("is_open").alias("open"),
+        F.count_if("fine").alias("sources_ok"), F.count("fine").alias("sources_total"),
+    ).select(F.lit(run_at).alias("run_at"), "new", "open", "sources_ok", "sources_total")
