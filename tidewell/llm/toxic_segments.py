@@ -102,6 +102,19 @@ class ToxicModel:
         return [s for s in segments(self.token_scores(words, {})) if self.decay * s[2] > base]
 
 
+def _specific(found: list[tuple[str, int, float, float]]) -> dict[str, tuple[float, float]]:
+    """Terms without the toxic beginnings that only a longer, more toxic one of theirs has made so."""
+    bad = {t: (n, odds) for t, n, odds, _ in found}
+    blurred: set[str] = set()
+    for term, (n, odds) in bad.items():
+        letters = term.rstrip("*")
+        for size in STEMS:
+            short = letters[:size] + "*"
+            if size < len(letters) and short in bad and n >= 0.75 * bad[short][0] and 0 < bad[short][1] < odds - 0.3:
+                blurred.add(short)
+    return {t: (odds, z) for t, _, odds, z in found if t not in blurred}
+
+
 def _decay(counts: dict[float, int]) -> float:
     """The positive root of sum p(s) e^(decay s) = 1 for token scores s of clean texts (negative on average).
 
@@ -131,12 +144,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        rows_per_class: int = 8000, prior_weight: float = 1000.0, least_z: float = 4.0, most_terms: int = 20_000) -> ToxicModel:
+        rows_per_class: int = 8000, prior_share: float = 0.02, least_z: float = 2.5, least_odds: float = 1.5, most_terms: int = 20_000) -> ToxicModel:
     """Learn from labelled rows whose fold is not 0.
 
     At most about ``rows_per_class`` rows of each label are used, chosen by a
-    hash of the id.  Only terms whose log-odds are ``least_z`` standard errors
-    from 0 enter the model, the ``most_terms`` most certain ones.  Without both
+    hash of the id.  The Dirichlet prior is ``prior_share`` of a term's overall
+    count.  Only terms whose log-odds are ``least_z`` standard errors
+    from 0 and at least ``least_odds`` enter the model, the ``most_terms`` most certain ones.  Without both
     labels the model has no terms and gives every text the same low score.
     """
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
@@ -168,12 +182,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms = cut_lineage(terms)
     whole = terms.filter(~F.col("term").endswith("*")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     n_bad, n_good = float(whole["bad"] or 0), float(whole["good"] or 0)
-    prior = prior_weight * (F.col("bad") + F.col("good")) / (n_bad + n_good + 1)
-    odds = lambda y, n: F.log((F.col(y) + prior) / F.greatest(n + prior_weight - F.col(y) - prior, F.lit(1.0)))
+    prior = prior_share * (F.col("bad") + F.col("good"))
+    all_prior = prior_share * (n_bad + n_good)
+
+    def odds(y: str, n: float) -> Column:
+        return F.log((F.col(y) + prior) / F.greatest(n + all_prior - F.col(y) - prior, F.lit(1.0)))
+
     log_odds = odds("bad", n_bad) - odds("good", n_good)
     z = log_odds / F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
-    chosen = terms.select("term", log_odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "term").limit(most_terms)
-    model = ToxicModel({r["term"]: (float(np.clip(r["odds"], -6, 8)), r["z"]) for r in chosen.collect()})
+    chosen = terms.select("term", "bad", log_odds.alias("odds"), z.alias("z")).filter((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds)).orderBy(F.desc(F.abs("z")), "term").limit(most_terms)
+    model = ToxicModel(_specific([(r["term"], r["bad"], float(np.clip(r["odds"], -6, 8)), r["z"]) for r in chosen.collect()]))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
