@@ -161,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("_toxic") == 1, rows_per_class / sizes[1]).otherwise(rows_per_class / sizes[0])
     picked = marks.filter((fold("_id") != 0) & (draw < share))
-    sample = cut_lineage(rows.join(picked, "_id").select("_toxic", "_text"))
+    # at most three times rows_per_class small rows, so the texts need not be shuffled to meet them
+    sample = cut_lineage(rows.join(F.broadcast(picked.select("_id", "_toxic").limit(3 * rows_per_class)), "_id").select("_toxic", "_text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
