@@ -30,6 +30,8 @@ MINIMA, BAND, BITS = 128, 4, 4
 """32 bands of 4: a pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**4)**32 = 5e-8."""
 SLACK = 0.2
 """A pair is confirmed if its estimate reaches the similarity less this: more than five standard errors at 0.8."""
+FINE, FINE_SLACK = 1024, 0.07
+"""Minima of the second, longer signature that only candidates get, and its slack: more than five standard errors again."""
 BLOCK = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -39,8 +41,8 @@ _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(1, 2 ** 63, 256, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2 ** 64))
-_FACTORS = (_rng.integers(1, 2 ** 31, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
-_TERMS = _rng.integers(0, 2 ** 32, MINIMA, np.uint64).astype(np.uint32)
+_FACTORS = (_rng.integers(1, 2 ** 31, FINE, np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+_TERMS = _rng.integers(0, 2 ** 32, FINE, np.uint64).astype(np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,21 +89,22 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The ``MINIMA`` least values of a set under as many hash functions."""
+def minima(hashes: np.ndarray, number: int = MINIMA) -> np.ndarray:
+    """The least values of a set under each of ``number`` hash functions."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(MINIMA, 2 ** 32 - 1, np.uint32)
-    for start in range(0, len(short), 1024):
-        x = np.multiply.outer(_FACTORS, short[start:start + 1024])
-        x += _TERMS[:, None]
+    least = np.full(number, 2 ** 32 - 1, np.uint32)
+    step = max(1, (1 << 17) // number)
+    for start in range(0, len(short), step):
+        x = np.multiply.outer(_FACTORS[:number], short[start:start + step])
+        x += _TERMS[:number, None]
         x ^= x >> np.uint32(15)
         np.minimum(least, x.min(axis=1), out=least)
     return least
 
 
-def digest(hashes: np.ndarray) -> bytes:
-    """Name of a shingle set."""
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def digest(hashes: np.ndarray) -> int:
+    """64-bit name of a shingle set; among n sets the chance that any two share one is n**2 / 2**65."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def packed(least: np.ndarray) -> np.ndarray:
@@ -134,27 +137,28 @@ def features(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
                     bits.append(packed(least) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    pa.array(names, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                     names=["doc_id", "text_key", "n_shingles", "cls", "bands", "bits"])
                 at += len(texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, cls binary, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, cls long, bands array<long>, bits array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, shingles) of the wanted classes, from the text of each one's first document."""
+    """(cls, shingles, fine) of the wanted classes, from the text of each one's first document; ``fine``: bits of the longer signature."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_batches(batch.column(0), 1 << 19):
-                sets = shingle_sets(texts, n)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()),
-                                                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles"])
+                sets = [s for s in shingle_sets(texts, n) if len(s)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([packed(minima(s, FINE)) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles", "fine"])
 
-    found = rows.join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "cls binary, shingles array<long>")
+    found = rows.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text").mapInArrow(run, "cls long, shingles array<long>, fine array<long>")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -197,34 +201,39 @@ def _apart_in_buckets(members: DataFrame, similarity: int) -> DataFrame:
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     spread = members.join(size, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = spread.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "cls", "root", "n_shingles", "bits")
+    cells = spread.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "cls", "root", "n_shingles", "bits", "bands", "fine")
+
+    def near(bits: np.ndarray, i: int, rest: np.ndarray, number: int, slack: float) -> np.ndarray:
+        d = bits[rest] ^ bits[i]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
+        chance = 1.0 / (1 << BITS)
+        return rest[(1 - differ / number - chance) / (1 - chance) >= similarity / 100 - slack]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        bits = np.asarray(table.column("bits").combine_chunks().flatten(), np.int64).reshape(len(table), -1).view(np.uint64)
-        n = np.asarray(table.column("n_shingles"))
-        roots = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1].reshape(-1)
+        words = {c: np.asarray(table.column(c).combine_chunks().flatten(), np.int64).reshape(len(table), -1) for c in ("bits", "fine", "bands")}
+        bits, fine, bands = words["bits"].view(np.uint64), words["fine"].view(np.uint64), words["bands"]
+        key, roots, n = table.column("key")[0].as_py(), np.asarray(table.column("root")), np.asarray(table.column("n_shingles"))
         own = np.asarray(table.column("_own"))
-        two = own != own[0] if (own != own[0]).any() else None
-        left = np.arange(len(own)) if two is None else np.flatnonzero(~two)
-        right = left if two is None else np.flatnonzero(two)
+        left = np.flatnonzero(own == own[0])
+        right = np.flatnonzero(own != own[0])  # empty for the members of one block among themselves
         a: list[int] = []
         b: list[int] = []
-        chance = 1.0 / (1 << BITS)
         for p, i in enumerate(left.tolist()):
-            rest = right[p + 1:] if two is None else right
+            rest = right if len(right) else left[p + 1:]
             rest = rest[(roots[rest] != roots[i]) & (100 * np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]))]
-            d = bits[rest] ^ bits[i]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            differ = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1)
-            rest = rest[(1 - differ / MINIMA - chance) / (1 - chance) >= similarity / 100 - SLACK]
-            a += [i] * len(rest)
-            b += rest.tolist()
+            rest = near(bits, i, rest, MINIMA, SLACK)
+            if len(rest):  # a pair is given by the first band it shares; a bucket of two is settled by its pivot
+                rest = rest[bands[i, (bands[rest] == bands[i]).argmax(axis=1)] == key]
+                rest = near(fine, i, rest, FINE, FINE_SLACK)
+                a += [i] * len(rest)
+                b += rest.tolist()
         names = table.column("cls")
         return pa.table({"a": names.take(pa.array(a, pa.int64())), "b": names.take(pa.array(b, pa.int64()))})
 
-    pairs = cells.groupBy("key", "_i", "_j").applyInArrow(run, "a binary, b binary")
+    pairs = cells.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -240,30 +249,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, id_col: s
     get equal results.  ``text_key`` is Spark's xxhash64 of the text.  Other columns are not read.
     """
     rows = cut_lineage(features(docs, n, id_col, text_col))
-    named = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("_ids"))
-    named = cut_lineage(named)
-    picked = named.select("cls", F.col("rep").alias("doc_id"))
-    full = rows.filter(F.col("cls").isNotNull()).join(picked.withColumnRenamed("cls", "_cls"), (F.col("_cls") == F.col("cls")) & F.col("_cls").isNotNull()
-                     & rows["doc_id"].eqNullSafe(picked["doc_id"])).select("cls", rows["doc_id"], "n_shingles", "bands", "bits")
-    buckets = full.select("cls", "n_shingles", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.countDistinct("cls").alias("_m")).filter("_m > 1")
-    members = cut_lineage(buckets.join(shared, "key").select("key", "cls", "_m").distinct())
+    # rows of a class are alike in all that is taken first
+    named = cut_lineage(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    buckets = named.select("cls", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    members = cut_lineage(buckets.join(shared, "key"))
     weights = members.groupBy("cls").agg(F.sum(F.col("_m") - 1).alias("weight"))
-    classes = cut_lineage(full.join(weights, "cls").select("cls", "doc_id", "n_shingles", "bits", "weight").dropDuplicates(["cls"]))
+    classes = cut_lineage(named.join(weights, "cls").select("cls", F.col("rep").alias("doc_id"), "n_shingles", "bits", "bands", "weight"))
     sets = cut_lineage(sets_of(docs, classes, n, id_col, text_col))
 
-    weighed = members.join(classes.select("cls", "weight"), "cls")
+    weighed = cut_lineage(members.join(classes.select("cls", "weight"), "cls"))
     links = _confirmed(_pairs_with_pivot(weighed, "weight"), classes, sets, similarity)
     for last in (False, True):
         roots = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
         rooted = weighed.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("_m").alias("_n")).filter("_lo <> _hi AND _n > 2")
-        left = cut_lineage(rooted.join(open_keys.select("key"), "key").join(classes.select("cls", "n_shingles", "bits"), "cls")
-                           .select("key", "cls", "root", "weight", "n_shingles", "bits"))
+        left = cut_lineage(rooted.join(open_keys.select("key"), "key").select("key", "cls", "root", "weight"))
         if left.isEmpty():
             break
         if last:
-            pairs = _apart_in_buckets(left, similarity)
+            pairs = _apart_in_buckets(left.join(classes.select("cls", "n_shingles", "bits", "bands"), "cls").join(sets.select("cls", "fine"), "cls"), similarity)
         else:  # heaviest member outside the largest part of the bucket
             parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("_c", "root")).alias("_main"))

@@ -18,7 +18,7 @@ import unicodedata
 
 import numpy as np
 
-WORDS_KEPT = 700_000
+WORDS_KEPT = 1_000_000
 """Entries of each of a worker's two tables; a full table is emptied."""
 
 _GAP = re.compile(r" (?=\S)")
