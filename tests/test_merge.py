@@ -17,53 +17,68 @@ def _id(spark, company, title):
     return spark.createDataFrame([(company, title)], "c string, t string").select(job_id("c", "t")).first()[0]
 
 
+SEEN, LONG_AGO = "2031-04-27", "2031-02-02"
+
+
+def _stored(i, **changed):
+    """A stored posting of its own company; only what a situation needs differs."""
+    row = dict(id=i, company=f"회사{i}", title=f"직무 {i}", track="경력", exp="", posted="", deadline="상시", link=f"https://keep.example/{i}", source="steady",
+               first_seen=SEEN, last_seen=SEEN, status="open", verify="", verified_at="")
+    return {**row, **changed}
+
+
+def _found(pos, **changed):
+    row = dict(company=None, title=None, exp="경력", deadline="", link="", source="steady", posted=None, verify=None, verified_at=None, v_deadline=None,
+               closed=False, sec=None, batch_pos=pos)
+    return {**row, **changed}
+
+
+def _frame(spark, rows, schema):
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+
 def _state(spark):
-    old = "2031-04-20"
-    ver = _id(spark, "대솔", "PSM 경력")
-    rows = [
-        ("s-dup", "HB", "환경 경력", "경력", "3년", "", "2031-05-30", SR + "11", "A", old, old, "open", "", ""),
-        (ver, "대솔", "PSM 경력", "경력", "경력 3~7년", "2031-04-01", "2031-05-20", SR + "22", "A", old, old, "open", "원문 확인", "2031-05-09"),
-        ("s-cls", "NX", "안전 경력", "경력", "", "", "", SR + "33", "A", old, old, "closed", "마감됨 · 원문 확인", "2031-05-09"),
-        ("s-fail", "누리", "환경", "경력", "", "", "상시", "https://x.example/1", "bad", old, old, "open", "", ""),
-        ("s-gone", "한빛", "환경", "경력", "", "", "상시", "https://x.example/2", "good", old, old, "open", "", ""),
-        ("s-old", "한빛", "수질", "경력", "", "", "상시", "https://x.example/3", "bad", "2031-01-01", "2031-04-01", "open", "", ""),
-        ("s-due", "한빛", "보건", "경력", "", "", "2031-05-09", "https://x.example/4", "bad", old, "2031-05-09", "open", "", ""),
-        ("s-ptr", "한빛", "중복", "경력", "", "", "", SR + "44", "A", old, old, "closed", "중복: s-dup", ""),
-        ("s-shut", "한빛", "종료", "경력", "", "", "", SR + "55", "A", old, "2031-05-09", "open", "", ""),
-        ("s-rev", "한빛", "재개", "경력", "", "", "", SR + "66", "A", old, old, "closed", "마감됨", "2031-05-01"),
-    ]
-    return spark.createDataFrame(rows, STATE)
+    checked = _id(spark, "솔빛정유", "방류수 분석")
+    return _frame(spark, [
+        _stored("number", exp="2년", deadline="2031-06-14", link=SR + "7001"),
+        _stored(checked, company="솔빛정유", title="방류수 분석", exp="경력 5~9년", posted="2031-03-21", deadline="2031-05-28", link=SR + "7002",
+                verify="원문 확인", verified_at="2031-05-08"),
+        _stored("ended", link=SR + "7003", status="closed", verify="마감됨 · 원문 확인", verified_at="2031-05-08"),
+        _stored("silent", source="broken"), _stored("vanished"), _stored("forgotten", source="broken", first_seen=LONG_AGO, last_seen="2031-03-30"),
+        _stored("overdue", source="broken", deadline="2031-05-09", last_seen="2031-05-09"),
+        _stored("pointer", link=SR + "7004", status="closed", verify="중복: number"),
+        _stored("ending", link=SR + "7005", last_seen="2031-05-09"), _stored("returning", link=SR + "7006", status="closed", verify="마감됨", verified_at="2031-04-30"),
+    ], STATE)
 
 
 def _batch(spark):
-    rows = [
-        ("HB", "[HB] 환경 경력직 채용", "경력", "", SR + "11&a=1", "A", "2031-05-01", None, None, None, False, ["환경"], 1),
-        ("HB", "다른 제목", "신입", "2031-06-01", SR + "11", "A", None, None, None, None, False, None, 2),
-        ("대솔", "PSM 경력", "경력", "2031-05-11", "https://www.saramin.co.kr/search?x", "B", None, None, None, None, False, None, 3),
-        ("NX", "안전 경력", "경력", "", SR + "33", "A", None, None, None, None, False, None, 4),
-        ("새회사", "환경 담당", "경력", "2031-06-02", "https://n.example/1", "A", None, None, None, None, False, ["환경", "안전"], 5),
-        ("새회사", "닫힌 공고", "경력", "", "https://n.example/2", "A", None, "마감됨", RUN, None, True, None, 6),
-        ("한빛", "종료", "경력", "", SR + "55", "A", None, "마감됨", RUN, None, True, None, 7),
-        ("한빛", "재개", "경력", "", SR + "66", "A", None, "원문 확인 05.10", RUN, "2031-06-30", False, None, 8),
-        ("새회사", "환경-담당", "신입", "", SR + "99", "A", None, None, None, None, False, None, 9),
-    ]
-    return spark.createDataFrame(rows, BATCH)
+    return _frame(spark, [
+        _found(1, company="다른 표기", title="[급구] 고친 제목", link=SR + "7001&ref=mail", posted="2031-05-02", sec=["환경"]),
+        _found(2, company="다른 표기", title="같은 번호의 둘째 줄", exp="신입", deadline="2031-07-01", link=SR + "7001"),
+        _found(3, company="솔빛정유", title="방류수 분석", deadline="2031-05-12", link="https://www.saramin.co.kr/search?q=1", source="second"),
+        _found(4, company="회사ended", title="직무 ended", link=SR + "7003"),
+        _found(5, company="첫눈상사", title="토양 조사", deadline="2031-06-20", link="https://first.example/a", sec=["환경", "안전"]),
+        _found(6, company="첫눈상사", title="이미 닫힘", link="https://first.example/b", verify="마감됨", verified_at=RUN, closed=True),
+        _found(7, company="회사ending", title="직무 ending", link=SR + "7005", verify="마감됨", verified_at=RUN, closed=True),
+        _found(8, company="회사returning", title="직무 returning", link=SR + "7006", verify="원문 확인 05.10", verified_at=RUN, v_deadline="2031-07-07"),
+        _found(9, company="첫눈상사", title="토양-조사", exp="신입", link=SR + "7009"),
+    ], BATCH)
 
 
 def test_merge_rules(spark):
-    state, failed = _state(spark), spark.createDataFrame([("bad",)], "source string")
+    state, failed = _state(spark), spark.createDataFrame([("broken",)], "source string")
     merged = merge_snapshot(state, _batch(spark), RUN, failed).cache()
     got = {r["id"]: r for r in merged.collect()}
-    ver, new = _id(spark, "대솔", "PSM 경력"), _id(spark, "새회사", "환경 담당")
-    assert set(got) == {r["id"] for r in state.collect()} | {new}
-    assert [r[0] for r in new_ids(merged).collect()] == [new]
-    dup = got["s-dup"]
-    assert (dup["status"], dup["exp"], dup["deadline"], dup["posted"], dup["last_seen"], dup["sec"]) == ("open", "경력", "2031-05-30", "2031-05-01", RUN, "환경")
-    assert (got[ver]["link"], got[ver]["deadline"], got[ver]["exp"], got[ver]["source"]) == (SR + "22", "2031-05-20", "경력 3~7년", "B")
-    assert got["s-cls"]["status"] == "closed"
-    assert {k: got[k]["status"] for k in ("s-fail", "s-gone", "s-old", "s-due", "s-shut")} == {
-        "s-fail": "open", "s-gone": "closed", "s-old": "closed", "s-due": "closed", "s-shut": "closed"}
-    assert (got["s-rev"]["status"], got["s-rev"]["deadline"], got["s-rev"]["verified_at"]) == ("open", "2031-06-30", RUN)
+    checked, new = _id(spark, "솔빛정유", "방류수 분석"), _id(spark, "첫눈상사", "토양 조사")
+    assert set(got) == {r["id"] for r in state.collect()} | {new} and [r[0] for r in new_ids(merged).collect()] == [new]
+    first = got["number"]
+    assert (first["status"], first["exp"], first["deadline"], first["posted"], first["last_seen"], first["sec"]) == ("open", "경력", "2031-06-14", "2031-05-02", RUN, "환경")
+    official = got[checked]
+    assert (official["link"], official["deadline"], official["exp"], official["source"]) == (SR + "7002", "2031-05-28", "경력 5~9년", "second")
+    assert {k: got[k]["status"] for k in ("ended", "silent", "vanished", "forgotten", "overdue", "ending")} == {
+        "ended": "closed", "silent": "open", "vanished": "closed", "forgotten": "closed", "overdue": "closed", "ending": "closed"}
+    assert (got["returning"]["status"], got["returning"]["deadline"], got["returning"]["verified_at"]) == ("open", "2031-07-07", RUN)
     assert (got[new]["first_seen"], got[new]["sec"], got[new]["exp"]) == (RUN, "환경,안전", "경력")
     # same batch again: nothing new, nothing moves
     again = merge_snapshot(merged.drop("is_new"), _batch(spark), RUN, failed)
@@ -72,10 +87,10 @@ def test_merge_rules(spark):
 
 
 def test_pointer_hop(spark):
-    batch = _batch(spark).filter("batch_pos = 1").withColumn("link", F.lit(SR + "44"))
+    batch = _batch(spark).filter("batch_pos = 1").withColumn("link", F.lit(SR + "7004"))
     # the number belongs to a closed duplicate, so the row it points to is updated
     got = {r["id"]: r for r in merge_snapshot(_state(spark), batch, RUN).collect()}
-    assert got["s-dup"]["last_seen"] == RUN and got["s-ptr"]["last_seen"] == "2031-04-20"
+    assert got["number"]["last_seen"] == RUN and got["pointer"]["last_seen"] == SEEN
 
 
 def test_collapse_canon(spark):
@@ -97,9 +112,9 @@ def test_collapse_canon(spark):
 def test_import_new(spark):
     state = _state(spark)
     schema = "id string, company string, title string, link string, size string, fit string, deadline string, reason string, track string, status string"
-    rows = [("s-dup", "x", "y", "", "", "", "", "", "", ""), ("n1", "(주)HB", "환경  경력", "", "", "", "", "", "", ""), ("n2", "다른", "z", SR + "33", "", "", "", "", "", ""),
-            ("n3", "대솔소재(울산)", "PSM 경력", "", "", "", "", "", "", ""), ("n4", "누", "[급] 환경", "", "", "", "", "", "", ""),
-            ("n5", "솔대", "PSM 경력", "", "중견(코스닥)", "상", "2031-06-01", "r", "", ""), ("n6", "", "PSM 경력", "", "외국계 대기업", "하", "곧", "r", "신입", "closed")]
+    rows = [("number", "x", "y", "", "", "", "", "", "", ""), ("n1", "(주)회사silent", "직무  silent", "", "", "", "", "", "", ""), ("n2", "다른", "z", SR + "7003", "", "", "", "", "", ""),
+            ("n3", "솔빛정유(울산)", "방류수 분석", "", "", "", "", "", "", ""), ("n4", "회사vanished", "[급] 직무 vanished", "", "", "", "", "", "", ""),
+            ("n5", "정유", "새 분석", "", "중견(코스닥)", "상", "2031-06-01", "r", "", ""), ("n6", "", "방류수 분석", "", "외국계 대기업", "하", "곧", "r", "신입", "closed")]
     got = to_import_rows(import_new(spark.createDataFrame(rows, schema), state)).collect()
     got = {r["id"]: r for r in got}
     assert set(got) == {"n5", "n6"}

@@ -10,21 +10,21 @@ from tidewell.operators.rules import RuleSet
 from tidewell.plans import collect, export, report, verify
 from tidewell.operators.health import HealthLimits
 from tidewell.session import scratch_path
-from tidewell.sources.state import STATE_SCHEMA
+from tidewell.sources.state import STATE_SCHEMA, conform_state
 from tidewell.streaming import lifecycle
 
-SOURCES = [("한빛 목록", "company", "https://hb.example/jobs", "한빛전자"), ("포털", "portal", "https://portal.example", "HB"), ("모음", "search", "https://find.example", None),
-           ("막힘", "company", "https://blocked.example", "대솔")]
+SOURCES = [("표", "company", "https://table.example/open", "대솔"), ("줄", "portal", "https://rows.example", "누리소재"), ("찾기", "search", "https://seek.example", None),
+           ("문", "company", "https://door.example", "HB")]
 PAGES = [
-    ("한빛 목록", '<ul><li><a href="/1">2031년 신입사원 채용 (안전환경)</a><span>신입</span><span>~5.14</span></li><li><a href="/2">2031년 신입사원 채용 (재무)</a></li>'
-              '<li><a href="/3">환경안전 담당 경력사원</a><span>경력 3년↑</span></li><li><a href="/4">환경안전팀장</a><span>경력 12년↑</span></li></ul>'),
-    ("포털", '<div><div class="item" onclick="go(1)"><strong>[HB소재] 울산 환경안전 경력 채용</strong><p>경력 2~7년 · 2031.05.03 ~ 2031.05.17</p></div>'
-           '<div class="item" onclick="go(2)"><strong>[HB온] 생산 신입</strong><p>안전한 일터</p></div></div>'),
-    ("모음", '<div><a href="/r/1">울산공장 환경안전 담당자 모집</a><div>NX케미칼 · 경력 3~10년 · ~5.25</div></div><div><a href="/r/2">환경안전 신입 채용</a><div>작은회사(주) · 신입</div></div>'
-           '<div><a href="/r/3">EHS 엔지니어</a><div>누리소재 · 신입·경력 · 상시채용</div></div><div><a href="/r/4">환경안전 경력직</a><div>대솔 · 경력 5년↑ · ~04.20 (마감)</div></div>'),
-    ("막힘", "<body>사람인지 확인 <a href=/x>환경안전 채용</a></body>"),
+    ("표", "<table><tr><td><a href='/p/9'>수처리 환경안전 담당자 채용</a></td><td>경력 4년↑</td><td>2031.05.02 ~ 2031.05.21</td></tr>"
+          "<tr><td><a href='/p/10'>전산 개발 채용</a></td></tr><tr><td><a href='/p/11'>보건 안전 책임 채용</a></td><td>경력 9~12년</td></tr></table>"),
+    ("줄", "<table><tr onclick='open(3)'><td><b>공정안전 PSM 담당 모집</b></td><td>경력 1~5년 · 2031.05.04 ~ 2031.05.30</td></tr>"
+          "<tr onclick='open(4)'><td><b>구내식당 조리 모집</b></td><td>안전한 일터</td></tr></table>"),
+    ("찾기", "<p><a href='/q/5'>수질 EHS 담당 모집</a> <i>HB · 경력 3년↑ · ~5.28</i></p><p><a href='/q/6'>환경 안전 담당 모집</a> <i>어딘가상사 · 경력 2년↑</i></p>"
+            "<p><a href='/q/7'>안전 보건 담당 채용</a> <i>대솔 · 경력 · 2031.04.01 ~ 2031.04.22</i></p>"),
+    ("문", "<body>Access Denied <a href=/x>환경안전 채용</a></body>"),
 ]
-KEEP = {"2031년 신입사원 채용 (안전환경)", "환경안전 담당 경력사원", "울산 환경안전 경력 채용", "울산공장 환경안전 담당자 모집", "EHS 엔지니어"}
+KEEP = {"수처리 환경안전 담당자 채용", "공정안전 PSM 담당 모집", "수질 EHS 담당 모집"}
 
 
 def _run(spark, rules, state, run_date, **kw):
@@ -39,30 +39,30 @@ def test_collect_export_report(spark, rules):
     first = result.state.cache()
     assert {r["title"] for r in first.collect()} == KEEP and first.filter("is_new").count() == len(KEEP)
     reasons = {r["title"]: r["drop_reason"] for r in result.judged.collect() if r["drop_reason"]}
-    assert reasons == {"환경안전팀장": "min_years", "환경안전 신입 채용": "unlisted_company", "환경안전 경력직": "past_deadline", "생산 신입": "off_topic"}
+    assert reasons == {"보건 안전 책임 채용": "min_years", "환경 안전 담당 모집": "unlisted_company", "안전 보건 담당 채용": "past_deadline", "구내식당 조리 모집": "off_topic"}
     health = {r["source"]: r for r in result.health.collect()}
-    assert not health["막힘"]["ok"] and (health["모음"]["found"], health["모음"]["kept"]) == (4, 2)
+    assert not health["문"]["ok"] and (health["찾기"]["found"], health["찾기"]["kept"]) == (3, 1)
     assert tuple(result.totals.first()) == (0, 4)
     row = collect.run_row(result, "2031-05-05T08:00").first()
-    assert (row["new"], row["open"], row["sources_total"]) == (5, 5, 4)
+    assert (row["new"], row["open"], row["sources_total"]) == (3, 3, 4)
     # next day: nothing new, all seen again
     again, _ = _run(spark, rules, first.drop("is_new"), "2031-05-06")
     assert again.state.filter("is_new").count() == 0 and {r["last_seen"] for r in again.state.collect()} == {"2031-05-06"}
     aliases = spark.createDataFrame([], "alias string, `group` string")
     out = export.export(first.drop("is_new"), rules, aliases, spark.createDataFrame([row]), "2031-05-05")
     jobs = {r["title"]: r for r in out["jobs"].collect()}
-    assert set(jobs) == KEEP and jobs["EHS 엔지니어"]["co_tier"] == "우량 중견" and jobs["울산공장 환경안전 담당자 모집"]["co_tier"] == "대기업"
+    assert set(jobs) == KEEP and jobs["수처리 환경안전 담당자 채용"]["co_tier"] == "우량 중견" and jobs["수질 EHS 담당 모집"]["co_tier"] == "대기업"
     assert out["meta"].first()["run_date"] == "2031-05-05"
-    rep = report.report(first.drop("is_new"), first.filter("is_new"), result.health, sources, "2031-05-12")
+    rep = report.report(first.drop("is_new"), first.filter("is_new"), result.health, sources, "2031-05-19")
     tiles = rep["tiles"].first()
-    assert (tiles["tab_new"], tiles["tab_open"], tiles["tab_due"]) == (5, 5, 1)
-    assert {r["name"] for r in rep["shortcuts"].collect()} == {"포털", "모음"}
+    assert (tiles["tab_new"], tiles["tab_open"], tiles["tab_due"]) == (3, 3, 1)
+    assert {r["name"] for r in rep["shortcuts"].collect()} == {"줄", "찾기"}
     problems, failed = report.health_gate(result.health, HealthLimits())
-    assert [r["problem"] for r in problems.collect()] == ["overall"] and [r["source"] for r in failed.collect()] == ["막힘"]
+    assert [r["problem"] for r in problems.collect()] == ["overall"] and [r["source"] for r in failed.collect()] == ["문"]
 
 
 def test_scored_run_gates_survivors(spark, rules):
-    rows = [("환경안전 담당 채용", "한빛전자", 1), ("EHS 엔지니어", "대솔", 1), ("신입사원 채용 (안전환경)", "HB", 1), ("울산 환경안전 경력 채용", "HB", 1),
+    rows = [("환경안전 담당자 채용", "대솔", 1), ("공정안전 PSM 담당", "누리소재", 1), ("수질 EHS 담당 모집", "HB", 1), ("수처리 환경 담당", "대솔", 1),
             ("회계 담당", "한빛전자", 0), ("생산 신입", "HB", 0), ("조리사 모집", "누리", 0), ("영업 담당", "대솔", 0)]
     model = score.fit(spark.createDataFrame(rows, "title string, company string, label int"), max_iter=30)
     result, _ = _run(spark, rules, spark.createDataFrame([], STATE_SCHEMA), "2031-05-05", model=model)
@@ -72,6 +72,24 @@ def test_scored_run_gates_survivors(spark, rules):
     assert all(r["tier"] == "추천" and r["rel_score"] > 0.3 for r in result.state.collect())
 
 
+def test_sources_without_a_page_have_failed(spark, rules):
+    """A feed whose payload is missing and a source without a page count as failed, and their postings stay open."""
+    sources = spark.createDataFrame([*SOURCES[:1], ("빈곳", "company", "https://none.example", "HB"), ("새벽", "api", "https://feed1.example", None),
+                                     ("저녁", "api", "https://feed2.example", None)], "name string, type string, url string, company string")
+    feed = spark.createDataFrame([("새벽", "환경안전 담당 채용", "https://feed1.example/1", "경력 3년↑ ~5.30", "HB", 0)],
+                                 "source string, title string, href string, block string, company string, pos int")
+    kept = spark.createDataFrame([(n, n, "환경 담당", s, "2031-04-20", "2031-04-24", "open") for n, s in (("a", "빈곳"), ("b", "저녁"), ("c", "새벽"))],
+                                 "id string, company string, title string, source string, first_seen string, last_seen string, status string")
+    pages = spark.createDataFrame(PAGES[:1], "source string, html string")
+    cand, fetches = collect.candidates_of(pages, feed, rules)
+    result = collect.run(cand, fetches, sources, conform_state(kept), rules, "2031-05-05")
+    health = {r["source"]: (r["ok"], r["error"]) for r in result.health.collect()}
+    assert health == {"표": (True, None), "빈곳": (False, "NOT FETCHED"), "새벽": (True, None), "저녁": (False, "NOT FETCHED")}
+    assert result.totals.first()["sources_total"] == 4
+    status = {r["id"]: r["status"] for r in result.state.filter("id in ('a', 'b', 'c')").collect()}
+    assert status == {"a": "open", "b": "open", "c": "closed"}
+
+
 def test_profiles_and_lookups(spark, rules):
     batch = spark.createDataFrame([("(주)한빛", "https://a.example", 1), ("대솔", "https://a.example", 2), ("모름", "https://a.example", 3), ("낡음", "file://x", 4)], "company string, link string, batch_pos int")
     from tidewell.sources.state import PROFILE_SCHEMA

@@ -29,27 +29,30 @@ def test_sections(evaluate, rules):
 
 
 def test_not_a_posting(evaluate):
-    cases = [
-        ("안전관리자", "https://www.saramin.co.kr/list?cat=1", "안전관리자", "not_posting_link"),
-        ("안전관리자 모집", "https://www.saramin.co.kr/v?rec_idx=1", "", None),
-        ("산업안전 관련 업무", "", "산업안전 관련 업무", "not_posting_text"),
-        ("환경", "", "환경 담당업무 법규 이행과 점검, 목표 관리와 실적 정리, 자격요건 전공 무관, 우대사항 기사 자격증 보유자", None),
-        ("복지 소개", "https://careers.example/env", "복지 소개", "not_posting_text"),
-        ("EHS Engineer", None, "EHS Engineer", None),
-    ]
+    """Links of known boards need their marker, other rows a hiring word or the fields of a card."""
+    boards = {"https://www.saramin.co.kr/v?rec_idx=4": None, "https://www.saramin.co.kr/company/4": "not_posting_link",
+              "https://www.jobkorea.co.kr/Recruit/GI_Read/4": None, "https://www.jobkorea.co.kr/Company/4": "not_posting_link",
+              "https://job.incruit.com/jobdb_info/4": None, "https://m.incruit.com/list": "not_posting_link", "https://own.example/4": None, "": None, None: None}
+    cases = [("배관 점검 모집", link, "배관 점검 모집", want) for link, want in boards.items()]
+    cases += [("체육관 안내", "https://own.example/gym", "체육관 안내", "not_posting_text"),
+              ("배관 소음", "", "배관 소음 측정 담당 업무 기록과 정리, 지원 자격 무관, 우대 사항 없음, 근무지 당진, 접수 방문", None)]
     got = evaluate([c[:3] for c in cases], "t string, h string, b string", R.not_a_posting("t", "h", "b"))
     assert got == [c[3] for c in cases]
 
 
 def test_find_company(evaluate, rules):
-    cases = [("HBX바이오 안전 채용", None), ("안전 담당(한빛전자內)", None), ("한빛전자 협력사 안전", None), ("한빛전자소재 안전", "한빛전자소재"),
-             ("3Q EHS", "3Q"), ("[대솔] 안전", "대솔"), ("nx케미칼 여수", "NX케미칼")]
-    assert evaluate([c[:1] for c in cases], "t string", R.find_company(rules, "t")) == [c[1] for c in cases]
+    """A listed name counts as a word of its own, the longer one first, and not as the client of a contractor."""
+    names = [*rules.large_companies, *rules.mid_companies]
+    plain = evaluate([(f"수질 점검 {n} 모집",) for n in names], "t string", R.find_company(rules, "t"))
+    assert plain == names
+    assert evaluate([(f"{n} 협력업체 수질 점검",) for n in names], "t string", R.find_company(rules, "t")) == [None] * len(names)
+    assert evaluate([("XHBZ 모집",), ("A3Q1 점검",), ("이름 없음",), (None,)], "t string", R.find_company(rules, "t")) == [None] * 4
 
 
 def test_block_field(evaluate):
-    cases = [("상시 | 안전/보건/환경 | 울산", True), ("친환경 영업", False), ("모집 (안전)", True), ("경력/환경기술", True), ("설계/친환경설계", False)]
-    assert evaluate([c[:1] for c in cases], "b string", matches("b", fixed.BLOCK_FIELD)) == [c[1] for c in cases]
+    pairs = [f"{a}{sep}{b}" for a, b in (("환경", "안전"), ("안전", "보건"), ("안전", "환경")) for sep in ("", "/", " · ", ", ")]
+    assert evaluate([(f"구분: {p} 2명",) for p in pairs], "b string", matches("b", fixed.BLOCK_FIELD)) == [True] * len(pairs)
+    assert evaluate([("친환경 포장 2명",), ("구분: 도장, 조립",)], "b string", matches("b", fixed.BLOCK_FIELD)) == [False] * 2
 
 
 def test_judge_first_reason_wins(spark, rules):
@@ -97,24 +100,17 @@ def test_judge_first_reason_wins(spark, rules):
 
 
 def test_tiers(evaluate):
-    cases = [
-        ("한빛전자", "", None, 1, "대기업", None, None, None, False, "대기업"),
-        ("일반에너지", "", None, 4, "중견", 300, 6400, None, False, "중견·기타"),
-        ("대솔", "", None, 4, "중견", 1200, 5000, None, False, "우량 중견"),
-        ("대솔", "", None, 4, "중견", 400, 7500, None, False, "우량 중견"),
-        ("대솔", "", None, 4, "중견", 20, 9000, None, False, "중견·기타"),
-        ("누리소재", "", None, 4, "중견", None, None, None, True, "우량 중견"),
-        ("모름", "", None, 4, "중견", None, None, None, False, "중견·기타"),
-        ("빛서치", "EHS 수석 - 대기업", None, 4, "중견", None, None, None, False, "대기업"),
-        ("빛서치 → 중견기업", "EHS", None, 6, "헤드헌팅", None, None, None, False, "중견·기타"),
-        ("고용노동부", "안전", "새빛", 3, "공기업", None, None, None, False, "중견·기타"),
-        ("새빛물산", "", "새빛", 5, "기타", None, None, None, False, "대기업"),
-        ("어느제약", "", None, 4, "중견", 500, 5000, "1000대기업, 중견기업", False, "우량 중견"),
-        ("한국물공사", "", None, 5, "기타", None, None, None, False, "대기업"),
-    ]
-    got = evaluate([c[:9] for c in cases], "c string, t string, g string, r int, s string, e int, sal int, f string, m boolean",
+    """One plain company; each case changes what it names."""
+    plain = dict(c="가람산업", t="", g=None, r=4, s="중견", e=None, sal=None, f=None, m=False)
+    top, mid, rest = fixed.TIER_TOP, fixed.TIER_MID, fixed.TIER_REST
+    cases = [({}, rest), (dict(e=1000), mid), (dict(e=999), rest), (dict(e=300, sal=7000), mid), (dict(e=299, sal=7000), rest), (dict(e=300, sal=6999), rest),
+             (dict(r=3), top), (dict(r=None), rest), (dict(s="대기업 계열"), top), (dict(g="가람", r=5), top), (dict(c="일자리센터", g="가람", r=1), rest),
+             (dict(c="가람헌터", t="글로벌 제조사 안전"), top), (dict(c="가람헌터", t="안전"), rest), (dict(c="가람 → 상장 중견"), rest), (dict(c="가람공단", r=5), top),
+             (dict(f="중견기업, 1000대기업"), mid), (dict(m=True), mid), (dict(m=True, e=10), rest)]
+    rows = [tuple({**plain, **change}.values()) for change, _ in cases]
+    got = evaluate(rows, "c string, t string, g string, r int, s string, e int, sal int, f string, m boolean",
                    bands.company_tier("c", "t", F.col("g"), F.col("r"), "s", F.col("e"), F.col("sal"), "f", F.col("m"))["tier"])
-    assert got == [c[9] for c in cases]
+    assert got == [want for _, want in cases]
 
 
 def test_bands(evaluate):
@@ -129,22 +125,15 @@ def test_bands(evaluate):
 
 
 def test_duty(spark):
-    cases = [
-        ("[한빛] 공장 엔지니어", "모집분야 환경 엔지니어\n담당업무 배출시설 관리", "확인", ""),
-        ("각 부문 채용", "모집분야\n(마감)화학물질관리, 인사", "의심", "마감"),
-        ("안전관리자 채용", "", "제목만", ""), ("각 부문 채용", "모집분야 생산, 회계", "의심", ""),
-        ("현장 안전관리자", "담당업무\n아파트 건설현장 안전관리", "의심", "건설"),
-        ("HSE Manager", "담당업무\nHSE 시스템 운영\n회사소개 영업 네트워크", "확인", ""), ("환경", "", "제목만", ""),
-        ("부문별 채용 (안전)", "", "제목만", ""), ("수시 채용", "", "의심", ""),
-        ("각 부문 채용", "채용정보에 잘못된 내용은 문의 해주세요. 모집요강 모집분야 생산, (마감)화학물질관리, 토양 정화관리", "확인", "마감"),
-        ("각 부문 채용", "가" * 9000 + " 수질 담당", "확인", ""),
-    ]
+    """A duty word under a heading confirms, one in the title alone is less, none or only a closed one is doubt."""
+    duties, other = ("폐수 처리장 운전", "위험물 저장소 점검", "작업환경측정 계획"), "전표 입력과 정리"
+    cases = [("사원 모집", f"{head}\n{d}", "확인", "") for head in ("담당업무", "주요 업무", "모집분야") for d in duties]
+    cases += [("사원 모집", f"담당업무\n{other}", "의심", ""), ("사원 모집", "", "의심", ""), ("수질 담당 모집", "", "제목만", ""),
+              ("사원 모집", f"모집분야\n(마감)토양 조사, {other}", "의심", "마감"), ("사원 모집", "나" * 9000 + " 폐기물 담당", "확인", "")]
     df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, title string, body string")
     got = duty_check(df).orderBy("i").collect()
-    for g, c in zip(got, cases):
-        assert g["duty"] == c[2] and c[3] in g["duty_flag"], (c, g)
-    assert got[0]["duty_evidence"].endswith("환경 엔지니어")
-    assert got[9]["duty_evidence"].startswith("모집요강") and "토양" in got[9]["duty_evidence"]
+    assert [g["duty"] for g in got] == [c[2] for c in cases]
+    assert all(c[3] in g["duty_flag"] for g, c in zip(got, cases)) and all(d in g["duty_evidence"] for g, d in zip(got, duties))
 
 
 def test_detail_pages(spark):

@@ -138,6 +138,3 @@ def test_chunked_scans_do_not_depend_on_the_chunk(spark):
     fails = df.filter("k = 'a'").withColumn("bad", (F.col("i") % 10) < 6)
     runs = groups.outage_runs(fails, "k", "i", F.col("bad"), F.floor(F.col("i") / 4))
     assert sorted(tuple(r)[1:] for r in runs.collect()) == [(s, s + 5, 6) for s in (0, 10, 20, 30, 40)]
-    dead = spark.createDataFrame([("d", 0, 12)], "k string, s int, run_length int")
-    b = groups.breaker_state(dead, "k").first()
-    assert (b["pauses"], b["attempted"], b["skipped"]) == (2, 5, 7)

@@ -255,8 +255,7 @@ def budget_per_source(spark: SparkSession, sf: str) -> DataFrame:
 def outage_runs(spark: SparkSession, sf: str) -> DataFrame:
     """F8"""
     e = table(spark, sf, "events")
-    runs = groups.outage_runs(e, "user_id", "event_id", F.col("event_type").isin("error", "signup"), F.floor(F.col("event_id") / 1000))
-    return groups.breaker_state(runs, "user_id")
+    return groups.outage_runs(e, "user_id", "event_id", F.col("event_type").isin("error", "signup"), F.floor(F.col("event_id") / 1000))
 
 
 def view_order_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -414,7 +413,7 @@ def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
     """K1-K8: trained on the labelled documents, applied to all"""
     d = landed(spark, sf, "documents")
     train = d.join(table(spark, sf, "labels"), "doc_id").select(F.col("text").alias("title"), F.col("source").alias("company"), F.col("quality").alias("label"))
-    model = score.fit(train, max_iter=30)
+    model = score.fit(train)
     rows = d.select("doc_id", "text", "source", F.lit(None).cast("string").alias("drop_reason"), F.array(F.lit("환경")).alias("sec"))
     out = score.gate(score.score(rows, model, "doc_id", "text", "source"), RULES)
     return out.select("doc_id", "rel_score", "tier", "drop_reason")

@@ -343,7 +343,7 @@ def analysis() -> dict[str, str]:
             WITH e AS (SELECT *, event_type IN ('error','signup') AS failed FROM events),
             g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS grp FROM e),
             r AS (SELECT user_id, min(event_id) AS run_start, max(event_id) AS run_end, count(*) AS run_length FROM g WHERE failed GROUP BY user_id, grp)
-            SELECT *, least(greatest(run_length - 3, 0), 2)::INTEGER AS pauses, least(run_length, 5)::BIGINT AS attempted, greatest(run_length - 5, 0)::BIGINT AS skipped FROM r""",
+            SELECT * FROM r""",
         "view_order_topk": f"""
             WITH {STATE} SELECT id, size_rank, tier, track, deadline FROM state WHERE status = 'open'
             ORDER BY size_rank, CASE WHEN tier = '추천' THEN 0 ELSE 1 END, CASE WHEN track = '신입' THEN 1 ELSE 0 END, CASE WHEN deadline <> '상시' THEN deadline END NULLS LAST, id LIMIT 50""",

@@ -34,19 +34,17 @@ def _is_stars(edges: DataFrame) -> bool:
     return two_roots.unionByName(inner).isEmpty()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node of an edge list; root is the least node of its component.
 
     Runs until the edges form stars.  Each round is written out with a reliable
     checkpoint, so a lost executor costs one round at most.
     """
     current = cut_lineage(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v").distinct())
-    for _ in range(max_rounds):
+    while True:  # every round joins trees, so this ends; no round limit
         current = cut_lineage(_star(_star(current, True), False))
         if _is_stars(current):
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -91,18 +91,6 @@ def outage_runs(log: DataFrame, key: str, order: str, failed: Column, chunk: Col
     )
 
 
-def breaker_state(runs: DataFrame, key: str, limit: int = 3, cool_downs: int = 2) -> DataFrame:
-    """What a breaker makes of each run: attempts before the first pause, pauses, skipped rows (F8).
-
-    After ``limit`` failures each pause allows one more attempt; after
-    ``cool_downs`` pauses the rest of the run is skipped.
-    """
-    n = F.col("run_length")
-    return runs.withColumn("pauses", F.least(F.greatest(n - limit, F.lit(0)), F.lit(cool_downs)).cast("int")) \
-        .withColumn("attempted", F.least(n, F.lit(limit + cool_downs)).cast("long")) \
-        .withColumn("skipped", F.greatest(n - (limit + cool_downs), F.lit(0)).cast("long"))
-
-
 def budget(df: DataFrame, eligible: Column, order: list[Column], cap: int, per: list[str] | None = None) -> DataFrame:
     """First ``cap`` eligible rows in order, over all rows or per key.
 

@@ -33,13 +33,12 @@ def eligible_for_check(jobs: DataFrame, state: DataFrame, run_date: str, rules:
     return budget(joined, ok, order, rules.verify_cap).drop("_va", "_vt")
 
 
-def duty_check(rows: DataFrame, title: str = "title", body: str = "body", scope_limit: int | None = None) -> DataFrame:
+def duty_check(rows: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
     """Evidence of the field of work in a posting's text.
 
     Adds ``duty`` (confirmed / title only / doubt), ``duty_evidence`` and
     ``duty_flag``.  Short sentences of site furniture are dropped; where section
-    headings exist their 400-sign windows are searched, else the whole text (or
-    ``scope_limit`` signs of it).
+    headings exist their 400-sign windows are searched, else the whole text.
     """
     t = text_or_blank(title)
     title_hit = matches(t, fixed.DUTY, True) | matches(t, fixed.DUTY_TITLE_ONLY)
@@ -55,8 +54,7 @@ def duty_check(rows: DataFrame, title: str = "title", body: str = "body", scope_
     pieces = F.split(cut, rx(r"(?<=\n)|(?<=[.。!?]\s)"))
     staged = rows.withColumn("_title_hit", title_hit).withColumn("_body", F.array_join(F.transform(pieces, keep_sentence), ""))
     windows = all_matches("_body", rf"(?={fixed.DUTY_SECTION})(?=([\s\S]{{0,400}}))(?:{fixed.DUTY_SECTION})", 1, True)
-    whole = F.col("_body") if scope_limit is None else F.substring("_body", 1, scope_limit)
-    staged = staged.withColumn("_scope", let(windows, lambda w: F.when(F.size(w) > 0, F.array_join(w, "\n")).otherwise(whole)))
+    staged = staged.withColumn("_scope", let(windows, lambda w: F.when(F.size(w) > 0, F.array_join(w, "\n")).otherwise(F.col("_body"))))
     lines = F.filter(F.split(F.col("_scope"), rx(r"\n|(?<=[.。])\s")), lambda s: F.length(F.trim(s)) > 2)
     staged = staged.withColumn("_line", F.get(F.filter(lines, lambda s: s.rlike(rx(_OPEN_DUTY, True))), F.lit(0)))
 

@@ -16,7 +16,7 @@ from ..operators.lookup import fresh_profile
 from ..operators.merge import merge_snapshot
 from ..operators.rules import RuleSet
 from ..operators.score import RelevanceModel, feature_text, gate, score
-from ..sources.feeds import net_filter
+from ..sources.feeds import feed_counts, net_filter
 from ..sources.pages import is_blocked, page_candidates, page_stats
 from ..functions.bands import compare_salary, compare_size
 from ..functions.orgs import normalize_org
@@ -35,8 +35,12 @@ class Run:
     totals: DataFrame
 
 
-def candidates_of(pages: DataFrame, feed_rows: DataFrame | None, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
-    """Candidates and fetch states of landed pages (source, url, html) and normalised feed rows."""
+def candidates_of(pages: DataFrame, feed_rows: DataFrame | None, rules: RuleSet,
+                  landed_feeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates and fetch states of landed pages (source, url, html) and normalised feed rows.
+
+    ``landed_feeds`` names the feeds whose payload arrived; default: those with rows.
+    """
     stats = page_stats(pages, rules.block_page_pattern).groupBy("source").agg(
         F.sum("text_len").alias("text_len"), F.max("ok").alias("ok"), F.min(F.when(~F.col("ok"), F.col("error"))).alias("error"))
     usable = pages.filter(~is_blocked(F.col("html"), rules.block_page_pattern))  # row by row: pages are never shuffled
@@ -45,6 +49,8 @@ def candidates_of(pages: DataFrame, feed_rows: DataFrame | None, rules: RuleSet)
     if feed_rows is not None:
         found = found.unionByName(net_filter(feed_rows, rules.candidate_pattern).select(
             "source", "title", "href", "block", "company", "pos"))
+        feeds = feed_counts(feed_rows if landed_feeds is None else landed_feeds, feed_rows)
+        stats = stats.unionByName(feeds.select("source", "text_len", "ok", "error"))
     return found, stats
 
 
@@ -95,8 +101,10 @@ def run(candidates: DataFrame, fetches: DataFrame, sources: DataFrame, state: Da
         batch = verify(batch.withColumn("id", job_id("company", "title"))).drop("id")
     if profiles is not None:
         batch = with_profiles(batch, profiles, run_date, base_company, rules.profile_ttl_days)
-    health = source_health(judged, fetches.join(
-        sources.select(F.col("name").alias("source"), "type", "url"), "source", "left"))
+    registered = sources.select(F.col("name").alias("source"), "type", "url")
+    states = registered.join(fetches, "source", "full").withColumn("ok", F.coalesce("ok", F.lit(False)))  # nothing landed: failed
+    states = states.withColumn("error", F.when(~F.col("ok"), F.coalesce("error", F.lit("NOT FETCHED"))).otherwise(F.col("error")))
+    health = source_health(judged, states)
     merged = merge_snapshot(state, batch, run_date, health.filter(~F.col("ok")).select("source"))
     return Run(judged, batch, merged, health, drop_histogram(judged), run_totals(health))
 
