@@ -30,7 +30,7 @@ MINIMA, BAND, BITS = 128, 4, 4
 """32 bands of 4: a pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**4)**32 = 5e-8."""
 SLACK = 0.2
 """A pair is confirmed if its estimate reaches the similarity less this: more than five standard errors at 0.8."""
-FINE, FINE_SLACK = 1024, 0.07
+FINE, FINE_SLACK = 2048, 0.05
 """Minima of the second, longer signature that only candidates get, and its slack: more than five standard errors again."""
 BLOCK = 2048
 
