@@ -41,6 +41,19 @@ def test_mentions_of_a_table_equal_mentions_of_a_list(spark, boundary):
     assert got == want
 
 
+def test_short_names_where_no_long_one_occurs(spark):
+    names = ["q", "zu", "mire", "quarry", "lampblack", "lampblack stove"]
+    said = [(1, "a lampblack stove"), (2, "LAMPBLACK, quarry"), (3, "the quarry"), (4, "quagmire"), (5, "azure q"), (6, "aqua"), (7, "none"), (8, None), (8, "zu"), (None, "mire")]
+    texts = spark.createDataFrame(said, "id int, t string")
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    for gram in (1, 3, 8, 40):
+        got = {(r["id"], r["t"]): r["name"] for r in lookup.mention_join(texts, "id", "t", table, "name", gram=gram).collect()}
+        assert [got[k] for k in said[:7]] == ["lampblack stove", "lampblack", "quarry", "mire", "zu", "q", None]
+        assert got[(8, None)] == got[(8, "zu")] == "zu" and got[(None, "mire")] is None  # names belong to ids
+    none = lookup.mention_join(texts, "id", "t", table.filter("false"), "name")
+    assert none.filter("name is null").count() == len(said)
+
+
 def test_best_company_and_flags(spark):
     q = spark.createDataFrame([(1, "(주)한빛"), (2, "대솔")], "q int, name string")
     hits = spark.createDataFrame([(1, "한빛소재", 0), (1, "한빛", 1), (1, "한빛", 2), (2, "누리", 0)], "q int, listed string, pos int")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewell.functions.links import job_id
-from tidewell.operators.merge import collapse_canon, merge_snapshot, new_ids, to_import_rows
+from tidewell.operators.merge import collapse_canon, merge_snapshot, new_ids, resolve_ids, to_import_rows
 from tidewell.operators.lookup import import_new
 from tidewell.sources.state import conform_state
 
@@ -120,3 +120,23 @@ def test_import_new(spark):
     assert set(got) == {"n5", "n6"}
     assert (got["n5"]["size_rank"], got["n5"]["rel_score"], got["n5"]["tier"], got["n5"]["status"], got["n5"]["track"]) == (4, 0.7, "추천", "open", "경력")
     assert (got["n6"]["size_rank"], got["n6"]["deadline"], got["n6"]["status"]) == (2, None, "closed")
+
+
+def test_long_titles_that_differ_late(spark):
+    """Titles and stored texts are compared and kept whole."""
+    title = "가나다라마바사" * 20
+    state = conform_state(_frame(spark, [_stored("old", company="긴제목상사", title=title + "하나")], STATE))
+    schema = "id string, company string, title string, link string, size string, fit string, deadline string, reason string, track string, status string"
+    rows = [("same", "긴제목상사", title + " 하나", "", "", "", "", "x" * 900, "", ""), ("other", "긴제목상사", title + "둘", "", "", "", "", "x" * 900, "", "")]
+    got = to_import_rows(import_new(spark.createDataFrame(rows, schema), state)).collect()
+    assert [(r["id"], len(r["snippet"])) for r in got] == [("other", 900)]
+
+
+def test_batch_without_numbers_meets_no_null_key(spark):
+    """Rows without a posting number are resolved by company and title, each on a key of its own."""
+    state = conform_state(_frame(spark, [_stored("kept"), _stored("numbered", link=SR + "81")], STATE))
+    rows = [_found(i, company=f"새회사{i % 40}", title=f"새 직무 {i % 40}", link="") for i in range(80)]
+    found = resolve_ids(_frame(spark, rows, BATCH), state)
+    assert found.count() == 40 and found.filter("batch_pos >= 40").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "none:" in plan

@@ -1,6 +1,7 @@
 """Parsers of card texts, table driven."""
 
 import datetime as dt
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,11 @@ def test_org_variants(evaluate):
 @pytest.mark.parametrize("a,b,want", [("한빛", "한빛소재", True), ("한빛", "대솔", False), ("HB(에이치비)", "에이치비", True)])
 def test_same_company(evaluate, a, b, want):
     assert evaluate([(a, b)], "a string, b string", orgs.same_company(orgs.org_variants("a"), orgs.org_variants("b"))) == [want]
+
+
+def test_unescape(evaluate):
+    """As the standard library decodes closed entities; what is none stays."""
+    cases = ["1 &lt; 2 &amp;&amp; 3 &gt; 2", "&amp;lt;b&amp;gt; beside &lt;", "&#54620;&#xAE00; &#x1F600;", "&ensp;|&Zcaron;|&NewLine;|&Tab;", "&frac12; &sup2; &nvlt;", "&#38;amp; &AMP;quot;", "a & b; c &; &", ""]
+    assert evaluate([(c,) for c in cases], "t string", text.unescape("t")) == [html.unescape(c) for c in cases]
+    kept = ["&nosuchname; &#1114112; &#55296; &#99999999999999999999;", None]
+    assert evaluate([(c,) for c in kept], "t string", text.unescape("t")) == kept

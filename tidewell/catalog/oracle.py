@@ -275,7 +275,7 @@ def analysis() -> dict[str, str]:
             SELECT o_orderpriority AS source, count(*) AS n_rows, count_if(wide)::BIGINT AS n_hits, count_if(wide AND drop_reason IS NULL)::BIGINT AS n_kept,
               count_if(wide AND drop_reason IS NOT NULL)::BIGINT AS n_dropped FROM w GROUP BY 1""",
         "longest_name_match": """
-            WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS name FROM benchmark),
+            WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark),
             h AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS rn FROM documents JOIN w ON contains(lower(text), name))
             SELECT d.doc_id, h.name FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id AND rn = 1""",
         "listed_names": """

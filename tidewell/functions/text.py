@@ -90,9 +90,9 @@ def title_key(c: ColumnLike) -> Column:
 
 
 def import_title_key(c: ColumnLike) -> Column:
-    """Title form used when importing a foreign dump (first 30 signs)."""
+    """Title form used when importing a foreign dump: the whole title without tags, signs and case."""
     plain = substitute(F.lower(text_or_blank(c)), r"\[[^\]]*\]", "")
-    return F.substring(F.regexp_replace(plain, "[^0-9a-z가-힣]", ""), 1, 30)
+    return F.regexp_replace(plain, "[^0-9a-z가-힣]", "")
 
 
 def shorten(c: ColumnLike, n: int = 40) -> Column:
@@ -110,24 +110,33 @@ def to_int(c: ColumnLike) -> Column:
     return F.trim(F.regexp_replace(col(c), ",", "")).try_cast("int")
 
 
-# Entities that appear in card and detail markup; numeric ones are folded below.
-_ENTITIES = ("nbsp", "lt", "gt", "quot", "apos", "middot", "hellip", "ndash", "mdash", "lsquo",
-             "rsquo", "ldquo", "rdquo", "bull", "times", "copy", "reg", "trade", "euro", "laquo",
-             "raquo", "eacute", "egrave", "ecirc", "agrave", "acirc", "ccedil", "ocirc", "ucirc",
-             "auml", "ouml", "uuml", "szlig", "ntilde", "aacute", "iacute", "oacute", "uacute")
-
-
 def unescape(c: ColumnLike) -> Column:
-    """HTML entities to characters; ``&amp;`` last so nothing is unescaped twice."""
-    def spelled(name: str) -> str:
-        return "'" if name == "apos" else chr(html.entities.name2codepoint[name])
-
-    out = col(c)
-    for name in _ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(spelled(name)))
-    out = F.replace(F.replace(out, F.lit("&#39;"), F.lit("'")), F.lit("&#34;"), F.lit('"'))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(col(c), F.lit("&")), out).otherwise(col(c))
+    """Numeric and named HTML entities to characters; each distinct one of a text is looked up once.
+
+    Those that stand for ``&`` come last so nothing is unescaped twice.  Unknown
+    names and numbers that are no character stay as they are.
+    """
+    pairs = [f"{name}\u0001{sign}" for name, sign in sorted(html.entities.html5.items()) if name.endswith(";")]
+    names = F.str_to_map(F.lit("\u0002".join(pairs)), F.lit("\u0002"), F.lit("\u0001"))
+
+    def number(digits: Column, base: int) -> Column:
+        code = F.conv(F.when(F.length(digits) <= 8, digits), base, 10).cast("long")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(real, code)), 8, "0")), "UTF-32")
+
+    def sign(entity: Column) -> Column:
+        inner = F.substring(entity, F.lit(3), F.length(entity) - 3)
+        return F.when(entity.rlike("^&#[xX]"), number(F.substring(inner, F.lit(2), F.length(inner)), 16)) \
+            .when(F.startswith(entity, F.lit("&#")), number(inner, 10)) \
+            .otherwise(F.try_element_at(names, F.substring(entity, F.lit(2), F.length(entity))))
+
+    def decoded(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"), 0))
+        known = F.filter(F.transform(found, lambda e: record(entity=e, sign=sign(e))), lambda r: r["sign"].isNotNull())
+        ordered = let(known, lambda k: F.concat(F.filter(k, lambda r: r["sign"] != "&"), F.filter(k, lambda r: r["sign"] == "&")))
+        return F.aggregate(ordered, text, lambda t, r: F.replace(t, r["entity"], r["sign"]))
+
+    return let(col(c), lambda text: F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text))
 
 
 def strip_tags(c: ColumnLike) -> Column:

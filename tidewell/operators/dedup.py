@@ -93,10 +93,13 @@ def _cover_pairs(left: DataFrame, right: DataFrame, cols: list[str], words: str,
     l = left.filter(F.size(words) >= 2).select("sig", F.col(words).alias("_lw"), *cols, *(["exact"] if two_way else []))
     r = right.select(F.col("sig").alias("_rsig"), F.col(words).alias("_rw"), *cols,
                      *([F.col("exact").alias("_rexact")] if two_way else []))
-    pairs = l.join(r, cols).filter(F.col("sig") != F.col("_rsig"))
-    if two_way:
-        pairs = pairs.filter("exact or _rexact")
-    return pairs.filter(token_cover(F.col("_lw"), F.col("_rw"))).select(F.col("sig").alias("u"), F.col("_rsig").alias("v"))
+    if two_way:  # one side must be exact: two joins, so that pairs of inexact rows never arise
+        inexact = l.filter(~F.coalesce("exact", F.lit(False))).drop("exact")
+        pairs = l.filter("exact").drop("exact").join(r.drop("_rexact"), cols).unionByName(
+            inexact.join(r.filter("_rexact").drop("_rexact"), cols))
+    else:
+        pairs = l.join(r, cols)
+    return pairs.filter(F.col("sig") != F.col("_rsig")).filter(token_cover(F.col("_lw"), F.col("_rw"))).select(F.col("sig").alias("u"), F.col("_rsig").alias("v"))
 
 
 def _with_anchor(sets: DataFrame, group: list[str], words: str) -> DataFrame:

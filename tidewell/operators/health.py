@@ -76,11 +76,11 @@ def health_problems(health: DataFrame, limits: HealthLimits) -> DataFrame:
     return t.select(F.explode(rows).alias("p")).select("p.*")
 
 
-def failures(health: DataFrame, limit: int = 80, skip: str = "disabled") -> DataFrame:
-    """Failed sources with the head of their error, in name order."""
+def failures(health: DataFrame, skip: str = "disabled") -> DataFrame:
+    """All failed sources with their whole error, in name order."""
     error = F.coalesce(F.col("error"), F.lit(""))
     return (health.filter(~F.col("ok") & ~F.contains(error, F.lit(skip)))
-            .select("source", F.substring(error, 1, 60).alias("error")).orderBy("source").limit(limit))
+            .select("source", error.alias("error")).orderBy("source"))
 
 
 def feed_recall(judged: DataFrame, wide: Column, feed: str = "source") -> DataFrame:
@@ -101,6 +101,6 @@ def count_and_sum(rows: DataFrame, cond: Column) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(cond).alias("n_true"))
 
 
-def preview(new_rows: DataFrame, order: list[Column], n: int = 4) -> DataFrame:
+def preview(new_rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """First rows of what is new for a message."""
     return new_rows.orderBy(*order).limit(n)

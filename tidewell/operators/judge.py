@@ -116,7 +116,7 @@ def judge(candidates: DataFrame, rules: RuleSet, run_date: Column, aliases: Data
         F.when(alive, F.date_format(parse_posted(block, run_date), "yyyy-MM-dd")).alias("posted"),
         deadline_text(deadline).alias("deadline"),
         F.coalesce(blank_to_null(href), src["url"]).alias("link"),
-        F.substring(block, 1, 300).alias("snippet"),
+        block.alias("snippet"),
         "size_rank", size_label(F.col("size_rank")).alias("size"), "affiliate_of", "sec",
         F.when(alive, doubt).alias("check_company"), reason.alias("drop_reason"),
     )

@@ -9,6 +9,7 @@ from ..functions.dates import same_month
 from ..functions.links import canon_key
 from ..functions.orgs import normalize_org
 from ..functions.text import import_title_key, text_or_blank, title_key
+from ..session import cut_lineage
 from .groups import first_by
 
 
@@ -26,38 +27,56 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def _longest_mentions(texts: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, head: int, longest: int, boundary: bool) -> DataFrame:
+    """(id, name): the longest name of ``head`` to ``longest`` signs in each text that has one."""
+    lengths = dictionary.groupBy(F.substring("_n", 1, head).alias("_g")).agg(
+        F.array_sort(F.collect_set(F.length("_n"))).alias("_lengths"))  # at most `longest` numbers
+    framed = F.concat(F.lit("\u0000"), F.lower(text_or_blank(text_col)), F.lit("\u0000"))
+    # the sign before a place, the place, one sign more; a look-ahead yields all of them in one pass
+    windows = F.array_distinct(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{head + 1},{longest + 2}}}))"), 1))
+    places = texts.select(id_col, F.explode(windows).alias("_w")).withColumn("_g", F.substring("_w", 2, head))
+    cut = places.join(lengths, "_g").select(id_col, "_w", F.explode("_lengths").alias("_len")).filter(
+        F.length("_w") > F.col("_len")).withColumn("_n", F.substring(F.col("_w"), F.lit(2), F.col("_len")))
+    if boundary:
+        before, after = F.substring("_w", 1, 1), F.substring(F.col("_w"), F.col("_len") + 2, F.lit(1))
+        cut = cut.filter(~(before.rlike("[a-z]") & F.col("_n").rlike("^[a-z0-9]")) & ~(after.rlike("[a-z]") & F.col("_n").rlike("[a-z0-9]$")))
+    hit = cut.select(id_col, "_n").join(dictionary, "_n")
+    return hit.groupBy(id_col).agg(F.min_by("name", F.struct(-F.length("_n"), F.col("_n"))).alias("name"))
+
+
 def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str,
-                 gram: int = 4, shortest: int = 1, boundary: bool = False) -> DataFrame:
+                 gram: int = 4, boundary: bool = False) -> DataFrame:
     """Longest dictionary name inside each text, for a dictionary of any size.
 
     Every place of a text is cut to the longest name's length; places whose head
     starts no name go out in an equality join on that head, the others are cut
     to the name lengths that occur with the head and meet the whole names in a
     second equality join.  No text meets more names than it has places and
-    lengths, however many names share a head.  ``shortest`` is the least name
-    length that counts.
+    lengths, however many names share a head.
+
+    Heads have ``gram`` signs.  Shorter names cannot be the longest of a text
+    that holds a longer one, so they are looked up, with heads of half the
+    signs each time, only in the texts that are left.
     """
     dictionary = (
         names.select(F.col(name_col).alias("name"), F.lower(name_col).alias("_n"))
-        .filter(F.length("_n") >= shortest).groupBy("_n").agg(F.min("name").alias("name")))
-    longest = dictionary.agg(F.max(F.length("_n"))).first()[0]  # one number
+        .filter(F.length("_n") >= 1).groupBy("_n").agg(F.min("name").alias("name")))
+    shortest, longest = dictionary.agg(F.min(F.length("_n")), F.max(F.length("_n"))).first()  # two numbers
     if longest is None:
         return texts.withColumn("name", F.lit(None).cast("string"))
-    head = min(gram, shortest)
-    lengths = dictionary.groupBy(F.substring("_n", 1, head).alias("_g")).agg(
-        F.array_sort(F.collect_set(F.length("_n"))).alias("_lengths"))  # at most `longest` numbers
-    framed = F.concat(F.lit("\u0000"), F.lower(text_or_blank(text_col)), F.lit("\u0000"))
-    # the sign before a place, the place, one sign more; a look-ahead yields all of them in one pass
-    windows = F.array_distinct(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{shortest + 1},{longest + 2}}}))"), 1))
-    places = texts.select(id_col, F.explode(windows).alias("_w")).withColumn("_g", F.substring("_w", 2, head))
-    cut = places.join(lengths, "_g").select(id_col, "_w", F.explode("_lengths").alias("_len")).filter(
-        F.length("_w") > F.col("_len")).withColumn("_n", F.substring(F.col("_w"), F.lit(2), F.col("_len")))
-    if boundary:
-        before, after = F.substring("_w", 1, 1), F.substring(F.col("_w"), F.col("_len") + 2, F.lit(1))
-        cut = cut.filter(~(before.rlike("[a-z]") & F.col("_n").rlike("^[a-z0-9]")) & ~(after.rlike("[a-z]") & F.col("_n").rlike("[a-z0-9]$")))
-    hit = cut.select(id_col, "_n").join(dictionary, "_n")
-    best = hit.groupBy(id_col).agg(F.min_by("name", F.struct(-F.length("_n"), F.col("_n"))).alias("name"))
-    return texts.join(best, id_col, "left")
+    found, rest, head, below = None, texts, gram, longest + 1
+    while True:
+        head = max(head, shortest)
+        if head < below:
+            if found is not None:
+                found = cut_lineage(found)
+                rest = texts.join(found, id_col, "left_anti")
+            tier = dictionary.filter(F.length("_n").between(head, below - 1))
+            hits = _longest_mentions(rest, id_col, text_col, tier, head, below - 1, boundary)
+            found, below = hits if found is None else found.unionByName(hits), head
+        if head == shortest:
+            return texts.join(found, id_col, "left")
+        head //= 2
 
 
 def affiliate_group(rows: DataFrame, aliases: DataFrame, names: list[str], out: str = "group") -> DataFrame:
@@ -185,7 +204,9 @@ def import_new(dump: DataFrame, state: DataFrame) -> DataFrame:
     names = s.select("_title", "_org").distinct()
     d = d.join(s.select("id").distinct(), "id", "left_anti")
     d = d.join(names, ["_title", "_org"], "left_anti")
-    d = d.join(s.filter("_canon is not null").select("_canon").distinct(), "_canon", "left_anti")
+    own = F.concat(F.lit("none:"), F.xxhash64("_org", "_title").cast("string"))  # rows without a number do not pile up on NULL
+    d = d.withColumn("_meet", F.coalesce("_canon", own))
+    d = d.join(s.filter("_canon is not null").select(F.col("_canon").alias("_meet")).distinct(), "_meet", "left_anti").drop("_meet")
 
     filled = names.filter("_org <> ''")
     known_heads = filled.select("_title", F.explode(_prefixes(F.col("_org"))).alias("_head")).distinct()  # state name starts with the dump's name

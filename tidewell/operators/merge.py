@@ -50,11 +50,13 @@ def resolve_ids(batch: DataFrame, state: DataFrame, order: str = "batch_pos") ->
     keyed = batch.withColumn("_canon", canon_key("link")).withColumn("_hash", job_id("company", "title"))
     keyed = keyed.withColumn("_key", F.coalesce("_canon", "_hash"))
     folded = first_by(keyed, ["_key"], F.col(order))
-    owned = folded.join(canon_owner(state).withColumnRenamed("canon", "_canon"), "_canon", "left")
+    # rows without a number meet on a key of their own, so they do not pile up on NULL
+    folded = folded.withColumn("_meet", F.coalesce("_canon", F.concat(F.lit("none:"), F.col("_hash"))))
+    owned = folded.join(canon_owner(state).withColumnRenamed("canon", "_meet"), "_meet", "left")
     owned = owned.withColumn("id", F.coalesce("owner", "_hash"))
     pointers = state.select("id", duplicate_pointer(F.col("verify")).alias("_to")).filter("_to is not null")
     hopped = owned.join(pointers, "id", "left").withColumn("id", F.coalesce("_to", "id"))
-    return first_by(hopped.drop("_canon", "_hash", "_key", "owner", "_to"), ["id"], F.col(order))
+    return first_by(hopped.drop("_canon", "_hash", "_key", "_meet", "owner", "_to"), ["id"], F.col(order))
 
 
 def _batch_side(batch: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def to_import_rows(dump: DataFrame) -> DataFrame:
         dump.withColumn("track", F.coalesce(blank_to_null("track"), F.lit(fixed.EXPERIENCED)))
         .withColumn("deadline", F.when(ok_deadline, F.col("deadline")))
         .withColumn("source", F.lit(fixed.LEGACY_SOURCE))
-        .withColumn("snippet", F.substring("reason", 1, 300))
+        .withColumn("snippet", F.col("reason"))
         .withColumn("status", F.coalesce(blank_to_null("status"), F.lit("open")))
         .withColumn("size_rank", rank_from_size_words("size"))
         .withColumn("rel_score", F.when(fit == high, 0.7).when(fit == mid, 0.4).otherwise(0.2))

@@ -130,6 +130,7 @@ def linked_data_detail(pages: DataFrame, run_date: str, html: str = "html") -> D
     months = j(jp["experienceRequirements"], "$.monthsOfExperience").try_cast("int")
     exp = F.coalesce(
         squeeze(first_match("_t", r"경력\s*[:：]\s*([^,|]+?)\s*(?:,|\||학력)", 1)),
+        squeeze(first_match(unescape(html), fixed.EXPERIENCE_IN_PAGE, 1)),
         F.when(months > 0, F.concat(F.lit("경력 "), F.floor(months / 12).cast("string"), F.lit("년↑"))),
         F.when(~F.startswith(jp["experienceRequirements"], F.lit("{")), jp["experienceRequirements"]))
     edu = F.when(F.startswith(jp["educationRequirements"], F.lit("{")), j(jp["educationRequirements"], "$.credentialCategory")) \

@@ -56,7 +56,7 @@ def publish(state: DataFrame, rules: RuleSet, aliases: DataFrame, run_date: str,
     mids = [m for m in rules.mid_companies if len(m) >= 2]
     in_mid = F.lit(False)
     if mids:
-        in_mid = matches(F.lower(text_or_blank("company")), alternation(mids, boundary=False))
+        in_mid = F.greatest(in_mid, *[F.contains(text_or_blank("company"), F.lit(m)) for m in mids])
     rows = rows.withColumn("_tier", company_tier("company", "title", group, F.col("size_rank"), "size", F.col("employees"),
                                                  F.col("avg_salary"), "company_form", in_mid))
     size = F.when(F.col("_tier.group").isNotNull() & ~F.contains(text_or_blank("size"), F.lit("대기업")), "대기업 계열").otherwise(F.col("size"))

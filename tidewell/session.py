@@ -55,13 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "tidewell", f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(scan: DataFrame, most: int = 200) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
     """More tasks for a text-heavy scan that has fewer splits than there are cores.
 
     Files of one row group cannot be split; data of many files is returned as it
     is.  Only for plain scans: it looks at their number of partitions.
     """
-    want = min(scan.sparkSession.sparkContext.defaultParallelism, most)
+    want = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(want) if scan.rdd.getNumPartitions() < want else scan
 
 

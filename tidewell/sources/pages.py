@@ -18,8 +18,8 @@ _HEADING = (
 )
 
 
-def _anchors(html: Column, net: str) -> Column:
-    """Anchors whose own text is 4 to 220 signs long and inside the net; the text up to the next anchor is the block."""
+def _anchors(html: Column, net: str, title_length: tuple[int, int]) -> Column:
+    """Anchors whose own text has a length of ``title_length`` and is inside the net; the whole text up to the next anchor is the block."""
     def read(piece: Column) -> Column:
         own = strip_tags(F.regexp_extract(piece, r"(?is)^<a\b[^>]*>(.*?)</a>", 1))
         around = strip_tags(piece)
@@ -27,35 +27,38 @@ def _anchors(html: Column, net: str) -> Column:
             first_match(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"", 1),
             first_match(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*'([^']*)'", 1),
             F.regexp_extract(piece, r"(?is)^<a\b[^>]*?\bhref\s*=\s*([^\s\"'>]+)", 1))
-        return record(title=own, href=href, block=let(around, lambda a: F.when(F.length(a) <= 700, a).otherwise(own)))
+        return record(title=own, href=href, block=around)
 
     found = F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), 0), read)
-    fits = F.filter(found, lambda a: F.length(a["title"]).between(4, 220) & matches(a["title"], net, True))
+    fits = F.filter(found, lambda a: F.length(a["title"]).between(*title_length) & matches(a["title"], net, True))
     return F.array_distinct(fits)
 
 
-def _elements(html: Column, net: str) -> Column:
+def _elements(html: Column, net: str, block_length: tuple[int, int]) -> Column:
     """List-like elements for pages without usable anchors."""
     def read(piece: Column) -> Column:
         head = squeeze(strip_tags(F.coalesce(
             F.nullif(F.regexp_extract(piece, _HEADING, 2), F.lit("")), F.regexp_extract(piece, _HEADING, 3))))
         text = strip_tags(piece)
         return record(
-            title=let(text, lambda t: F.when(head != "", F.substring(head, 1, 200)).otherwise(F.substring(t, 1, 120))),
+            title=F.when(head != "", head).otherwise(text),
             href=F.lit(""), block=text)
 
     pieces = F.filter(F.regexp_extract_all(html, F.lit(_ELEMENT), 0), lambda p: p.rlike(_LIST_LIKE))
     found = F.transform(pieces, read)
     return F.array_distinct(F.filter(
-        found, lambda e: F.length(e["block"]).between(6, 400) & matches(e["block"], net, True)))
+        found, lambda e: F.length(e["block"]).between(*block_length) & matches(e["block"], net, True)))
 
 
-def page_candidates(pages: DataFrame, net: str, html: str = "html") -> DataFrame:
+def page_candidates(pages: DataFrame, net: str, html: str = "html", title_length: tuple[int, int] = (4, 220),
+                    block_length: tuple[int, int] = (6, 400)) -> DataFrame:
     """One row per candidate of a page, in page order (A2, A3).
 
     Duplicates of (text, link) inside a page are dropped in place, and the
     fallback runs only where a page gave no anchor, so the scan needs no
-    shuffle.
+    shuffle.  A candidate is an anchor whose text has a length of
+    ``title_length``, or a list element with one of ``block_length``: shorter
+    ones are icons, longer ones whole sections.  Titles and blocks stay whole.
     """
     keep = [c for c in pages.columns if c != html]
     bare = F.regexp_replace(F.col(html), r"(?is)<script\b[^>]*>.*?</script\s*>|<!--.*?-->", "")
@@ -65,7 +68,7 @@ def page_candidates(pages: DataFrame, net: str, html: str = "html") -> DataFrame
         keys = F.transform(items, lambda a: record(t=a["title"], h=a["href"]))
         return let(keys, lambda k: F.filter(items, lambda a, i: F.array_position(k, record(t=a["title"], h=a["href"])) == i + 1))
 
-    items = let(let(_anchors(F.col("_bare"), net), distinct_anchors), lambda a: F.when(F.size(a) > 0, a).otherwise(_elements(F.col("_bare"), net)))
+    items = let(let(_anchors(F.col("_bare"), net, title_length), distinct_anchors), lambda a: F.when(F.size(a) > 0, a).otherwise(_elements(F.col("_bare"), net, block_length)))
     return (
         pages.withColumn("_bare", bare)
         .select(*keep, F.posexplode(items).alias("pos", "item"))
