@@ -37,6 +37,20 @@ def test_other_markup():
     assert len(tag_paths.main_text("<article>" + "<p>a b</p>" * 20_000 + "</article>")) == 4 * 20_000 - 1
 
 
+def test_marked_wrappers_and_headers():
+    sentence = "Water rises in the lock, and the boat goes up with it. "
+    menu, end = "<nav><ul><li><a href=x>Home</a></li></ul></nav>", "<div class=sidebar><p>Weather and tides.</p></div><footer>Legal</footer>"
+    body = f"<h1>Locks and boats</h1><p>{sentence * 3}</p><p>A <b>short</b> line.</p><p>{sentence * 2}</p>"
+    text = f"Locks and boats {(sentence * 3).strip()} A short line. {(sentence * 2).strip()}"
+    for wrapper in ("div class='has-sidebar'", "div class='page no-sidebar'", "div class='post share-enabled'", "div class='newsletter-layout'", "form", "div class=widget"):
+        close = f"</{wrapper.split()[0]}>"
+        assert tag_paths.main_text(f"<body><{wrapper}>{menu}<div>{body}</div>{end}{close}</body>") == text, wrapper
+        assert tag_paths.main_text(f"<body>{menu}<{wrapper}>{body}{close}{end}</body>") == text, wrapper
+    headed = body.replace("<h1>", "<div class='article-header'><h1>").replace("</h1>", "</h1></div>")
+    assert tag_paths.main_text(f"<body>{menu}<article>{headed}</article>{end}</body>") == text
+    assert tag_paths.main_text(f"<body><div class=ad>{sentence * 9}</div><article><p>Short.</p></article></body>") == "Short."
+
+
 def test_page_edge_rows(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>hello</p>", "x"), (1, "u", None, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -3,10 +3,11 @@
 A page is read into text blocks, each with its root-to-leaf tag path.  Per path
 the text length, the punctuation and the number of blocks are added up; the
 ratios text per block and punctuation per block are fused, laid back on the
-blocks in page order, smoothed over neighbours and cut at a threshold.  The
-blocks above it vote for the container of the article; the text is what the
-container holds, but for parts that are marked as something else (menus,
-adverts, comments and so on).
+blocks in page order, smoothed over neighbours and cut at a threshold.  Parts
+marked as something else (menus, adverts, comments and so on) are left out where
+their paths fall below it or hold at most half of the page's score.  The
+other blocks above it vote for the container of the article; the text is what
+the container holds of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,12 @@ OTHER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
                "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "login",
                "signup", "search", "widget", "toolbar", "pagination", "pager", "contentinfo", "complementary", "form", "skip"}
+HEADER_WORDS = {"header", "masthead"}
+ARTICLE_WORDS = {"article", "post", "entry", "story", "content", "page"}
+"""With one of these a header word names the head of the article, as <header> in an article does."""
+STATE_FIRST, STATE_LAST = {"has", "no", "with", "without", "hide"}, {"enabled", "disabled", "free"}
+"""A name such as has-sidebar or share-enabled tells of another element and marks nothing."""
+LOOSE_PARTS = {"form", "fieldset", "label", "dialog"}
 ARTICLE = {"article", "main"}
 _CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
               "option": {"option"}}
@@ -49,41 +57,72 @@ _WALLS = {"ul", "ol", "table", "div", "article", "section", "body", "main", "td"
 
 
 class Block:
-    """A run of text between block boundaries: its path, the elements it stands in, and whether one of them is marked as another part."""
+    """A run of text between block boundaries: its path, the elements it stands in, and its pieces with the marked inline elements around each."""
 
-    __slots__ = ("path", "inside", "other", "text", "linked")
+    __slots__ = ("path", "inside", "pieces", "text", "linked")
 
-    def __init__(self, path: str, inside: tuple[int, ...], other: bool, text: str, linked: int):
-        self.path, self.inside, self.other, self.text, self.linked = path, inside, other, text, linked
+    def __init__(self, path: str, inside: tuple[int, ...], pieces: list[tuple[str, tuple[int, ...]]], text: str, linked: int):
+        self.path, self.inside, self.pieces, self.text, self.linked = path, inside, pieces, text, linked
 
+    def text_without(self, dropped: set[int]) -> str:
+        if dropped.isdisjoint(n for _, marked in self.pieces for n in marked):
+            return self.text
+        return " ".join("".join(t for t, marked in self.pieces if dropped.isdisjoint(marked)).split())
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
+
+@dataclass
+class Elements:
+    """Tag and parent of every element by its number; of the marked ones whether the mark is plain, and what alike ones share."""
+
+    tags: dict[int, str] = field(default_factory=dict)
+    parents: dict[int, int] = field(default_factory=dict)
+    marks: dict[int, tuple[bool, tuple]] = field(default_factory=dict)
+
+    def around(self, element: int) -> set[int]:
+        """The element and all it stands in."""
+        found = set()
+        while element >= 0:
+            found.add(element)
+            element = self.parents[element]
+        return found
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """None without a mark; else whether it is plain: a tag or a whole name, not a part of a longer name."""
     if tag in OTHER_PARTS:
-        return not (tag == "header" and in_article)
+        return None if tag == "header" and in_article else tag not in LOOSE_PARTS
     if not attributes or tag in ARTICLE or tag in ("html", "body"):
-        return False
+        return None
+    mark = None
     for m in _MARK.finditer(attributes):
-        if any(w.lower() in OTHER_WORDS for w in _PARTS.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _PARTS.findall(name)]
+            if len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+                continue
+            found = OTHER_WORDS.intersection(words)
+            if in_article or not ARTICLE_WORDS.isdisjoint(words):
+                found -= HEADER_WORDS
+            if found:
+                mark = mark or not any(w not in found and not w.isdigit() for w in words)
+    return mark
 
 
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """Text blocks in page order, and the tag of every element by its number."""
+def blocks_of(page: str) -> tuple[list[Block], Elements]:
+    """Text blocks in page order, and the elements of the page."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, marked (itself or an ancestor)
-    tags: dict[int, str] = {}
-    pieces: list[str] = []
+    stack: list[tuple[str, int]] = []  # tag, number
+    elements = Elements()
+    pieces: list[tuple[str, tuple[int, ...]]] = []
     linked = 0
     at = 0
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces:
-            text = " ".join("".join(pieces).split())
+            text = " ".join("".join(t for t, _ in pieces).split())
             if text:
                 frame = [s for s in stack if s[0] not in INLINE]
-                blocks.append(Block("/".join(s[0] for s in frame), tuple(s[1] for s in frame), any(s[2] for s in frame), text, linked))
+                blocks.append(Block("/".join(s[0] for s in frame), tuple(s[1] for s in frame), pieces, text, linked))
         pieces, linked = [], 0
 
     def shut(place: int) -> None:
@@ -96,10 +135,9 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
         if end > at:
             raw = page[at:end]
             text = html.unescape(raw) if "&" in raw else raw
-            if not any(s[2] for s in stack if s[0] in INLINE):
-                pieces.append(text)
-                if any(s[0] == "a" for s in stack):
-                    linked += len(text)
+            pieces.append((text, tuple(n for t, n in stack if t in INLINE and n in elements.marks)))
+            if any(s[0] == "a" for s in stack):
+                linked += len(text)
         if not m:
             break
         at = m.end()
@@ -115,6 +153,8 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             continue
         if tag not in INLINE:
             flush()
+            if tag == "body" and stack and stack[-1][0] == "head":
+                shut(len(stack) - 1)
             closes = _CLOSED_BY.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
@@ -128,12 +168,14 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else size
             continue
-        number = len(tags)
-        tags[number] = tag
-        marked = bool(stack and stack[-1][2]) or _marked(tag, m[3], any(s[0] in ARTICLE for s in stack))
-        stack.append((tag, number, marked))
+        number, parent = len(elements.tags), stack[-1][1] if stack else -1
+        elements.tags[number], elements.parents[number] = tag, parent
+        plain = _marked(tag, m[3], any(s[0] in ARTICLE for s in stack))
+        if plain is not None:
+            elements.marks[number] = plain, (number,) if plain else (parent, tag, m[3])
+        stack.append((tag, number))
     flush()
-    return blocks, tags
+    return blocks, elements
 
 
 def fused_scores(blocks: list[Block], width: float = 1.0) -> np.ndarray:
@@ -152,28 +194,72 @@ def fused_scores(blocks: list[Block], width: float = 1.0) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def marked_parts(blocks: list[Block], elements: Elements, score: np.ndarray, bar: float) -> set[int]:
+    """Marked elements to leave out: those below ``bar``, and those that hold at most half of the score (by length of unlinked text) of what is left.
+
+    Inner ones come first, so a wrapper is judged by what stays in it; loosely
+    marked ones come last, and alike ones of one parent count as one.  A plain
+    mark also goes by where an article element stands beside it.
+    """
+    under: dict[tuple, list[int]] = {}  # what alike ones share -> the pieces in them
+    weight: list[float] = []
+    high: list[bool] = []
+    for b, s in zip(blocks, score):
+        outer = [e for e in b.inside if e in elements.marks]
+        each = s * max(len(b.text) - b.linked, 0) / max(sum(len(t) for t, _ in b.pieces), 1)
+        for text, inline in b.pieces:
+            for key in {elements.marks[e][1] for e in (*outer, *inline)}:
+                under.setdefault(key, []).append(len(weight))
+            weight.append(each * len(text))
+            high.append(s >= bar)
+    alike: dict[tuple, list[int]] = {}
+    for e, (_, key) in elements.marks.items():
+        if key in under:
+            alike.setdefault(key, []).append(e)
+    articles = [elements.around(e) for e, tag in elements.tags.items() if tag in ARTICLE] if alike else []
+    dropped: set[int] = set()
+    gone = np.zeros(len(weight), bool)
+    left = np.array(weight)
+    for key, members in sorted(alike.items(), key=lambda kv: (not elements.marks[kv[1][0]][0], -max(kv[1]))):
+        own = [i for i in under[key] if not gone[i]]
+        held = left[own].sum()
+        if any(high[i] for i in own) and held > 0.5 * left.sum():
+            around = elements.around(members[0])
+            plain = elements.marks[members[0]][0]
+            if not (plain and any(members[0] not in a and max(a) not in around
+                                  and all(e in around or not elements.marks.get(e, (False,))[0] for e in a) for a in articles)):
+                continue
+        dropped.update(members)
+        gone[own] = True
+        left[own] = 0
+    return dropped
+
+
 def main_text(page: str, width: float = 1.0) -> str:
     """The article of one page; empty if the page has no text of its own."""
-    blocks, tags = blocks_of(page)
-    blocks = [b for b in blocks if not b.other]
+    blocks, elements = blocks_of(page)
     if not blocks:
         return ""
     score = fused_scores(blocks, width)
-    chosen = score >= score.std()
-    if not chosen.any():
-        chosen = score >= score.max()
+    bar = min(score.std(), score.max())
+    dropped = marked_parts(blocks, elements, score, bar)
+    kept = [(b, s, b.text_without(dropped)) for b, s in zip(blocks, score) if dropped.isdisjoint(b.inside)]
+    kept = [k for k in kept if k[2]]
+    if not kept:
+        return ""
+    tags = elements.tags
     votes: dict[int, float] = {}
-    for b, s, on in zip(blocks, score, chosen):
-        if on:
+    for b, s, text in kept:
+        if s >= min(bar, max(k[1] for k in kept)):
             for element in b.inside:
-                votes[element] = votes.get(element, 0.0) + s * len(b.text)
+                votes[element] = votes.get(element, 0.0) + s * len(text)
     if not votes:
-        return " ".join(b.text for b in blocks)
+        return " ".join(text for _, _, text in kept)
     total = max(votes.values())
     named = [e for e in votes if tags[e] in ARTICLE and votes[e] >= 0.5 * total]
     # an article element if it holds most of the vote, else the deepest element that holds nearly all of it
     container = max(named or [e for e in votes if votes[e] >= 0.9 * total and tags[e] not in ("p", "li", "h1", "h2", "h3", "td", "tr")] or [min(votes)])
-    return " ".join(b.text for b in blocks if container in b.inside)
+    return " ".join(text for b, _, text in kept if container in b.inside)
 
 
 def page_text(page: Column, batch_bytes: int = 1 << 20) -> Column:
