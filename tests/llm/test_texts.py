@@ -51,6 +51,23 @@ def test_marked_wrappers_and_headers():
     assert tag_paths.main_text(f"<body><div class=ad>{sentence * 9}</div><article><p>Short.</p></article></body>") == "Short."
 
 
+def test_split_articles_and_headlines_outside_the_body():
+    sentence = "Water rises in the lock, and the boat goes up with it. "
+    menu, end = "<nav><ul><li><a href=x>Home</a></li></ul></nav>", "<footer>Legal</footer>"
+
+    def part(n):
+        return f"<p>{sentence * n}</p><p>{sentence * n}</p>"
+
+    def text(n):
+        return " ".join([(sentence * n).strip()] * 2)
+
+    page = f"<body>{menu}<div id=content><h1>Headline</h1><div class=body>{part(4)}</div><div class=part2>A short end.</div></div>{end}</body>"
+    assert tag_paths.main_text(page) == f"Headline {text(4)} A short end."
+    assert tag_paths.main_text(f"<body>{menu}<h1>Headline</h1><div>{part(9)}</div>{end}</body>") == f"Headline {text(9)}"
+    assert tag_paths.main_text(f"<body>{menu}<main><article>{part(4)}</article><section>{part(3)}</section></main>{end}</body>") == f"{text(4)} {text(3)}"
+    assert tag_paths.main_text(f"<body>{menu}<article>{part(4)}</article><article>{part(3)}</article>{end}</body>") == f"{text(4)} {text(3)}"
+
+
 def test_page_edge_rows(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>hello</p>", "x"), (1, "u", None, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

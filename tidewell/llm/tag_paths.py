@@ -5,9 +5,8 @@ the text length, the punctuation and the number of blocks are added up; the
 ratios text per block and punctuation per block are fused, laid back on the
 blocks in page order, smoothed over neighbours and cut at a threshold.  Parts
 marked as something else (menus, adverts, comments and so on) are left out where
-their paths fall below it or hold at most half of the page's score.  The
-other blocks above it vote for the container of the article; the text is what
-the container holds of them.
+their paths fall below it or hold at most half of the page's score.  The text is
+what the smallest element holds that holds all other blocks above the threshold.
 """
 
 from __future__ import annotations
@@ -49,6 +48,9 @@ STATE_FIRST, STATE_LAST = {"has", "no", "with", "without", "hide"}, {"enabled",
 """A name such as has-sidebar or share-enabled tells of another element and marks nothing."""
 LOOSE_PARTS = {"form", "fieldset", "label", "dialog"}
 ARTICLE = {"article", "main"}
+NO_CONTAINER = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "tbody", "thead", "tfoot", "table", "ul", "ol", "dl", "dt", "dd",
+                "pre", "blockquote", "figure", "figcaption"}
+"""Elements that are parts of an article, never all of it."""
 _CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
               "option": {"option"}}
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -247,19 +249,18 @@ def main_text(page: str, width: float = 1.0) -> str:
     kept = [k for k in kept if k[2]]
     if not kept:
         return ""
-    tags = elements.tags
-    votes: dict[int, float] = {}
-    for b, s, text in kept:
-        if s >= min(bar, max(k[1] for k in kept)):
-            for element in b.inside:
-                votes[element] = votes.get(element, 0.0) + s * len(text)
-    if not votes:
-        return " ".join(text for _, _, text in kept)
-    total = max(votes.values())
-    named = [e for e in votes if tags[e] in ARTICLE and votes[e] >= 0.5 * total]
-    # an article element if it holds most of the vote, else the deepest element that holds nearly all of it
-    container = max(named or [e for e in votes if votes[e] >= 0.9 * total and tags[e] not in ("p", "li", "h1", "h2", "h3", "td", "tr")] or [min(votes)])
-    return " ".join(text for b, _, text in kept if container in b.inside)
+    bar = min(bar, max(s for _, s, _ in kept))
+    chosen = [b.inside for b, s, _ in kept if s >= bar]
+    first, last = min(chosen), max(chosen)  # what these two share all share
+    shared = [e for e, other in zip(first, last) if e == other]
+    while shared and elements.tags[shared[-1]] in NO_CONTAINER:
+        shared.pop()
+    held = [not shared or shared[-1] in b.inside for b, _, _ in kept]
+    heads = [next((e for e in b.inside if elements.tags[e] == "h1"), None) for b, _, _ in kept]
+    if not any(on and h is not None for on, h in zip(held, heads)):  # the headline may stand before the article's element
+        before = [h for h in heads[:held.index(True)] if h is not None]
+        held = [on or bool(before) and h == before[-1] for on, h in zip(held, heads)]
+    return " ".join(text for (_, _, text), on in zip(kept, held) if on)
 
 
 def page_text(page: Column, batch_bytes: int = 1 << 20) -> Column:
