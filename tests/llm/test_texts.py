@@ -82,6 +82,17 @@ def test_languages_held_out(spark):
     assert all(0 <= g.score <= 1 for g in held)
 
 
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, " ".join([letters[k % 26] * 2 + letters[k // 26] + letters[k % 7]] * (3 + i % 3)), f"l{k:02d}") for k in range(70) for i in range(12 if k < 66 else 6)]
+    rows += [(10_000 + i, "123", f"l{i % 3 + 67}") for i in range(3_000)]  # rows without a letter take no place of usable ones
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert sorted(lang for family in model.families for lang in family) == [f"l{k:02d}" for k in range(70)]
+    few = [r for r in rows if r[2] >= "l64" and r[0] < 10_000]
+    assert np.mean([got == r[2] for got, r in zip(model.predict([r[1] for r in few])[0], few)]) > 0.9
+
+
 def test_language_edge_rows(spark):
     rows = [(i, t, lang, 1) for i in range(60) for t, lang in ((f"der hund und die katze {i}", "de"), (f"the dog and the cat {i}", "en"), (f"le chien et la chatte {i}", "fr"))]
     rows += [(900, None, "de", 1), (901, "123 !!", "en", 1), (None, "the cat and the dog", "en", 1), (902, "the dog and", None, 1), (903, "the dog " * 50_000, None, 1)]

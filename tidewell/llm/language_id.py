@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
@@ -22,6 +23,8 @@ from .batches import fold, held_out, text_batches, text_or_empty
 UNDETERMINED = "und"
 SLOTS = 2048
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_LETTER = r"[a-zA-Z]|[^\x00-\x7f]"
+"""What is left of a text as features: the letters of ``_PLAIN`` before lower-casing."""
 _WEIGHTS = ((0x9E3779B1, 0, 0), (0x85EBCA77, 0xC2B2AE3D, 0), (0x27D4EB2F, 0x165667B1, 0x9E3779B1))
 
 
@@ -97,22 +100,25 @@ class LanguageModel:
             first = side.argmax(axis=1)
             gap = np.sort(side, axis=1)
             sure = gap[:, -1] - gap[:, -2] if len(self.families) > 1 else np.full(len(x), 2.0)
-            machines = {(a, b): x @ w for a, b, w in self.pairs}
+            weights = {(a, b): w for a, b, w in self.pairs}
             for f, members in enumerate(self.families):
-                votes, margins = np.zeros((len(x), len(members))), np.zeros((len(x), len(members)))
+                own = np.flatnonzero(first == f)
+                if not len(own):
+                    continue
+                rows = x[own]
+                votes, margins = np.zeros((len(own), len(members))), np.zeros((len(own), len(members)))
                 for i, a in enumerate(members):
                     for j in range(i + 1, len(members)):
-                        m = machines[a, members[j]]
+                        m = rows @ weights[a, members[j]]
                         votes[:, i] += m >= 0
                         votes[:, j] += m < 0
                         margins[:, i] += m
                         margins[:, j] -= m
                 rank = votes * 1e6 + np.clip(margins, -1e5, 1e5)
                 best = rank.argmax(axis=1)
-                own = first == f
-                langs[own] = np.array(members, dtype=object)[best[own]]
+                langs[own] = np.array(members, dtype=object)[best]
                 if len(members) > 1:
-                    sure[own] = np.minimum(sure[own], np.abs(margins[np.arange(len(x)), best])[own])
+                    sure[own] = np.minimum(sure[own], np.abs(margins[np.arange(len(own)), best]))
         lettered = np.array([has_letter(t) for t in texts], bool)
         langs[~lettered] = UNDETERMINED
         score = np.where(lettered & bool(self.families), 1 / (1 + np.exp(-2 * np.maximum(sure, 0))), 0.0)
@@ -122,34 +128,46 @@ class LanguageModel:
 def learn_families(means: dict[str, np.ndarray], n_families: int) -> list[list[str]]:
     """Average-linkage merging of languages down to ``n_families``."""
     groups = [[lang] for lang in sorted(means)]
-
-    def near(a: list[str], b: list[str]) -> float:
-        return float(np.mean([means[i] @ means[j] / np.sqrt((means[i] @ means[i]) * (means[j] @ means[j]) + 1e-12) for i in a for j in b]))
-
-    while len(groups) > n_families:
-        i, j = max(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: near(groups[p[0]], groups[p[1]]))
+    if not groups:
+        return []
+    x = np.array([means[g[0]] for g in groups])
+    norm = (x ** 2).sum(axis=1)
+    near = x @ x.T / np.sqrt(np.outer(norm, norm) + 1e-12)
+    np.fill_diagonal(near, -np.inf)
+    while len(groups) > max(n_families, 1):
+        i, j = sorted(np.unravel_index(near.argmax(), near.shape))
+        a, b = len(groups[i]), len(groups[j])
+        near[i] = near[:, i] = (a * near[i] + b * near[j]) / (a + b)  # the mean over all pairs of the two
+        near[i, i] = -np.inf
+        near = np.delete(np.delete(near, j, 0), j, 1)
         groups[i] = sorted(groups[i] + groups.pop(j))
     return groups
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400,
-        most_languages: int = 64, n_families: int | None = None) -> LanguageModel:
+        rows_in_all: int = 25_600, least_rows: int = 40, n_families: int | None = None) -> LanguageModel:
     """Learn from rows with a language whose fold is not 0.
 
-    At most about ``rows_per_language`` rows of each of the ``most_languages``
-    most frequent languages are used, chosen by a hash of the id; only their
-    features come to the driver.  ``n_families`` defaults to the square root of
+    Every language with a row that has a letter is learned.  Of each about
+    ``rows_per_language`` such rows are used, or an even share of ``rows_in_all``
+    but ``least_rows`` if there are many languages, chosen by a hash of the id;
+    only their features come to the driver.  ``n_families`` defaults to the square root of
     the number of languages.  Without labelled rows the model knows no language.
     """
     own = F.col(lang_col).cast("string")
     rows = docs.filter((fold(id_col) != 0) & own.isNotNull()).select(F.col(id_col).alias("_id"), own.alias("_lang"), text_or_empty(text_col).alias("_text"))
-    found = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()
-    share = {r["_lang"]: min(1.0, rows_per_language / r["n"]) for r in found}
-    if not share:
+    rows = rows.filter(F.col("_text").rlike(_LETTER))
+    found = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).toArrow()
+    if not len(found):
         return LanguageModel([], np.zeros((0, SLOTS + 1)), [])
-    chance = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
+    bound = min(rows_per_language, max(least_rows, rows_in_all // len(found)))
     draw = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(draw < chance[F.col("_lang")])
+    many = found.filter(pc.greater(found.column("_n"), bound))
+    picked = rows
+    if len(many):
+        share = docs.sparkSession.createDataFrame(many).withColumnRenamed("_lang", "_of")
+        picked = rows.join(F.broadcast(share), F.col("_lang") == F.col("_of"), "left").filter(
+            F.col("_n").isNull() | (draw < F.lit(float(bound)) / F.col("_n")))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
