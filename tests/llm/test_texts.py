@@ -149,3 +149,12 @@ def test_toxicity_edge_rows(spark):
     assert spans and spans[0].first_word <= 1 < spans[0].stop_word
     assert toxic_segments.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
     assert {r.score for r in toxic_segments.score_toxicity(docs, labels.limit(0)).select("score").distinct().collect()} == {toxic_segments.ToxicModel({}).score(0)}
+
+
+def test_signs_beyond_ascii_part_words():
+    words = ["dreck", "für", "señor", "का", "vieil"]
+    plain = [w.encode() for w in words]
+    for text in ("¡Dreck! für «señor» — का “vieil”", "¿Dreck? für\u00a0señor\u2014का…‘vieil’", "dre\u00adck für\u3000señor\u200bका\u2009·vieil\u2019"):
+        assert toxic_segments.words_of(text) == plain
+    model = toxic_segments.ToxicModel({"dreck": (3.0, 9.0)})
+    assert model.token_scores(toxic_segments.words_of("«¡Dreck!»\u00a0ist"), {}).tolist() == model.token_scores([b"dreck", b"ist"], {}).tolist()

@@ -11,6 +11,7 @@ into a score.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,17 @@ STEMS = (3, 4, 5, 6)
 WORDS_KEPT = 200_000
 
 
+def _in_words(sign: str) -> str:
+    """What a sign beyond ASCII is in a word: letters and the marks on them stay, joiners and soft hyphens vanish, all else parts words."""
+    kind = unicodedata.category(sign)
+    return sign if kind[0] in "LM" else "" if kind == "Cf" and sign != "\u200b" else " "
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-case runs of letters, as UTF-8."""
+    if not text.isascii():
+        odd = {ord(c): to for c in set(text) if c > "\x7f" and (to := _in_words(c)) != c}
+        text = text.translate(odd) if odd else text
     return text.lower().encode("utf-8").translate(_PLAIN).split()
 
 
