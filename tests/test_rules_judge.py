@@ -136,6 +136,21 @@ def test_duty(spark):
     assert all(c[3] in g["duty_flag"] for g, c in zip(got, cases)) and all(d in g["duty_evidence"] for g, d in zip(got, duties))
 
 
+def test_page_checks_keep_whole_texts(spark):
+    """Flags, closing notes and places beyond 60 signs stay; only the published columns are cut."""
+    site = ["건설현장", "공사현장", "시공", "현장대리인", "아파트", "공동주택", "분양", "건축현장", "플랜트현장", "PJT직", "데이터센터공사", "데이터센터현장", "데이터센터신축"]
+    closing = ["(마감)환경관리 담당자", "(마감)안전관리 담당자", "(마감)보건관리 담당자", "(마감)위험물 저장소 점검", "(마감)공정안전 보고서", "(마감)화학물질 취급"]
+    rows = [("사원 모집", "담당업무\n" + ", ".join(site)), ("사원 모집", "모집분야\n" + ", ".join(closing))]
+    flags = [r["duty_flag"] for r in duty_check(spark.createDataFrame(rows, "title string, body string").coalesce(1)).collect()]
+    assert flags[0] == ", ".join(site) and len(flags[0]) > 60
+    assert all(c in flags[1] for c in closing) and sum(map(len, closing)) > 60
+    place = " ".join(f"울산 남구 {n}번길" for n in range(12))
+    labelled = f"<p>근무형태 정규직 급여 협의 근무지역 {place} 지도</p>"
+    assert labelled_detail(spark.createDataFrame([("u", labelled)], "url string, html string")).first().location == place
+    ld = f'<script type="application/ld+json">{{"@type":"JobPosting","title":"EHS","jobLocation":{{"address":{{"streetAddress":"{place}"}}}}}}</script>'
+    assert linked_data_detail(spark.createDataFrame([("u", ld)], "url string, html string"), "2031-05-01").first().location == place
+
+
 def test_detail_pages(spark):
     labelled = ('<meta property="og:description" content="한빛전자, 환경 담당"><a href="/company-info/view?csn=AB1"></a>'
                 "<p>경력 경력 3~5년 학력 대졸 근무형태 정규직 급여 협의 근무지역 울산 남구 지도</p><p>시작일 2031.05.01 09:00 마감일 2031.05.20 18:00</p>")

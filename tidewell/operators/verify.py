@@ -69,15 +69,15 @@ def duty_check(rows: DataFrame, title: str = "title", body: str = "body") -> Dat
     other = F.filter(all_matches("_near", fixed.OTHER_WORK), lambda x: ~matches(x, fixed.SITE_WORK))
     found = F.concat(site, other)
     squeezed = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, rx(r"\s+"), "")))
-    flag = F.substring(F.array_join(squeezed, ", "), 1, 60)
+    flag = F.array_join(squeezed, ", ")
     closed = F.filter(all_matches("_flat", fixed.CLOSED_PART + r"\s*[^,(\n]{0,20}"), lambda x: matches(x, fixed.DUTY, True))
-    closed_text = F.substring(F.array_join(F.array_distinct(F.transform(closed, lambda x: F.trim(x))), ", "), 1, 60)
+    closed_text = F.array_join(F.array_distinct(F.transform(closed, lambda x: F.trim(x))), ", ")
     flags = F.when(F.size(closed) > 0, F.concat(F.lit(fixed.CLOSED_PART_FLAG), closed_text,
                                                 F.when(flag != "", F.concat(F.lit(" · "), flag)).otherwise(""))).otherwise(flag)
     site_safety = (F.size(site) > 0) & matches("_near", fixed.DUTY_SAFETY) & ~matches("_near", fixed.DUTY_ENVIRONMENT)
     verdict = (F.when(site_safety, fixed.VERDICT_DOUBT).when(F.col("_line").isNotNull(), fixed.VERDICT_CONFIRMED)
                .when(F.col("_title_hit"), fixed.VERDICT_TITLE).otherwise(fixed.VERDICT_DOUBT))
-    return staged.select(*rows.columns, verdict.alias("duty"), F.substring("_ev", 1, 140).alias("duty_evidence"),
+    return staged.select(*rows.columns, verdict.alias("duty"), F.col("_ev").alias("duty_evidence"),
                          F.regexp_replace(flags, r"^[ ·]+|[ ·]+$", "").alias("duty_flag"))
 
 
@@ -100,7 +100,7 @@ def labelled_detail(pages: DataFrame, html: str = "html") -> DataFrame:
         F.replace(stamp("시작일", 1), F.lit("."), F.lit("-")).alias("start"), F.coalesce(due, rolling).alias("deadline"),
         stamp("마감일", 2).alias("deadline_time"), official_exp("_t").alias("exp"),
         grab("_t", "학력", "근무형태|급여|자격요건").alias("edu"), blank_to_null(emp).alias("emp_type"),
-        blank_to_null(F.substring(where, 1, 60)).alias("location"), closed.alias("closed"), F.col("_body").alias("body"))
+        blank_to_null(where).alias("location"), closed.alias("closed"), F.col("_body").alias("body"))
 
 
 _POSTING = (
@@ -147,7 +147,7 @@ def linked_data_detail(pages: DataFrame, run_date: str, html: str = "html") -> D
         F.substring(jp["datePosted"], 1, 10).alias("start"), due.alias("deadline"),
         first_match(jp["validThrough"], r"^.{10}T(\d{2}:\d{2})", 1).alias("deadline_time"), exp.alias("exp"),
         blank_to_null(edu).alias("edu"), blank_to_null(F.coalesce(labelled_type, F.array_join(F.filter(types, lambda x: x != ""), ", "))).alias("emp_type"),
-        blank_to_null(F.substring(where, 1, 60)).alias("location"), closed.alias("closed"),
+        blank_to_null(where).alias("location"), closed.alias("closed"),
         F.concat_ws("\n", og, section, html_to_text(jp["description"])).alias("body"))
 
 

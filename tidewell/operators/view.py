@@ -68,7 +68,8 @@ def publish(state: DataFrame, rules: RuleSet, aliases: DataFrame, run_date: str,
         "posted", "deadline", "deadline_time", web_link("link").alias("link"), fit_band(score).alias("fit"), "tier",
         F.concat(F.lit("모델 점수 "), F.bround(score * 100, 0).cast("int").cast("string"),
                  F.when(F.col("duty") == fixed.VERDICT_DOUBT, F.lit(" · 원문 직무 의심")).otherwise("")).alias("reason"),
-        F.coalesce("verify", F.lit("원문 확인 필요")).alias("verify"), "duty", "duty_evidence", "duty_flag", "source",
+        F.coalesce("verify", F.lit("원문 확인 필요")).alias("verify"), "duty",
+        F.substring("duty_evidence", 1, 140).alias("duty_evidence"), F.substring("duty_flag", 1, 140).alias("duty_flag"), "source",
         F.substring("snippet", 1, 300).alias("snippet"), "avg_salary", "employees", "salary_year", "company_form",
         "first_seen", "last_seen", "size_rank", "rel_score")
 
