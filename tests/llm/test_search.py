@@ -54,6 +54,25 @@ def test_trees_prune_and_cover():
     assert len(nodes) > 3
 
 
+def test_trees_of_equally_far_points():
+    """Where a node has more than ``fan`` children at half its radius there is a tree all the same, and the search stays exact."""
+    x = np.floor(256 * np.random.default_rng(2).normal(size=(2000, 64)))
+    tree = cover_tree.build(x, np.arange(len(x)))
+    leaves, waiting = [], [tree]
+    while waiting:
+        node = waiting.pop()
+        waiting += node.children
+        assert np.sqrt(((x[node.points] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-9
+        if not node.children:
+            leaves.append(node.points)
+    assert len(leaves) > 8 and max(map(len, leaves)) <= 256 and sorted(np.concatenate(leaves)) == list(range(2000))
+    q = x[:40]
+    at, row, score = cover_tree.dual_search(np.arange(40), q, np.arange(2000), x, 5, np.full(40, -np.inf))
+    want = q @ x.T
+    want[np.arange(40), np.arange(40)] = -np.inf
+    assert all(sorted(score[at == i]) == sorted(want[i])[-5:] for i in range(40))
+
+
 def test_nearest_within_reach(spark):
     x, df = _rows(spark, BAD + [(1200, [0.0] * 12)])
     want = _brute(x, 100, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())))

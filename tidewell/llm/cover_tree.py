@@ -30,10 +30,9 @@ class Node:
 def build(x: np.ndarray, points: np.ndarray, leaf: int = 256, fan: int = 48) -> Node:
     """Cover tree of some rows of ``x``.
 
-    A node of at most ``leaf`` points stays whole, and so does one that would
-    need more than ``fan`` children at half its radius: there its points are
-    about equally far apart and smaller nodes would not prune.  A leaf's
-    products are one matrix product.
+    A node of at most ``leaf`` points stays whole.  One that would need more
+    than ``fan`` children at half its radius has ``fan`` of them, at the smaller
+    step their centres reach.  A leaf's products are one matrix product.
     """
     center = x[points[0]]
     away = np.sqrt(((x[points] - center) ** 2).sum(axis=1))
@@ -42,9 +41,9 @@ def build(x: np.ndarray, points: np.ndarray, leaf: int = 256, fan: int = 48) ->
         return node
     nearest, owner, last = away, np.zeros(len(points), np.int64), 0
     while nearest.max() > node.radius / 2:  # farthest point first: centres stay half a radius apart
+        if last + 1 >= fan:
+            break
         last += 1
-        if last >= fan:
-            return node
         distance = np.sqrt(((x[points] - x[points[int(nearest.argmax())]]) ** 2).sum(axis=1))
         owner = np.where(distance < nearest, last, owner)
         nearest = np.minimum(nearest, distance)
@@ -76,9 +75,12 @@ def dual_search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
                 asked = a.points[s:s + 512]
                 scores = q[asked] @ x[rows].T
                 scores[q_ids[asked][:, None] == ids[rows][None]] = -np.inf
+                at, place = np.nonzero((scores >= bound[asked][:, None]) & (scores > -np.inf))
                 width = min(k, scores.shape[1])
-                kth = np.partition(scores, scores.shape[1] - width, axis=1)[:, scores.shape[1] - width]
-                at, place = np.nonzero((scores >= np.maximum(kth, bound[asked])[:, None]) & (scores > -np.inf))
+                if len(at) > 4 * width * len(asked):  # the bounds leave much: the kth best of these rows cut further
+                    kth = np.partition(scores, scores.shape[1] - width, axis=1)[:, scores.shape[1] - width]
+                    on = scores[at, place] >= kth[at]
+                    at, place = at[on], place[on]
                 if not len(at):
                     continue
                 cut = np.flatnonzero(np.diff(at, prepend=-1))
