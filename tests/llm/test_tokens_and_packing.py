@@ -150,3 +150,16 @@ def test_packed_documents(spark, library):
         want += [(r.doc_id or -1, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
     assert sorted((g.doc_id or -1, g.piece, g.start, g.length, g.ids_crc32) for g in got) == sorted(want)
     assert bin_completion.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_sequences_of_many_short_pieces():
+    sizes = np.array([1, 2, 2, 2, 2, 3, 3, 3, 4, 5, 7, 7, 8, 8, 10, 11, 11, 17, 20, 22, 32])  # best fit needs four
+    bins = bin_completion.pack(sizes, 60)
+    assert len(set(bins.tolist())) == 3 and np.bincount(bins, sizes).tolist() == [60, 60, 60]
+    counts = np.bincount([9] * 6 + [7] * 3 + [6] * 9 + [5])
+    ways = bin_completion.fillings(counts, 54, 100_000)
+    assert sum(sum(w) == 54 for w in ways) > 1 and (9,) * 6 in ways and (6,) * 9 in ways
+    want = {tuple(sorted(c, reverse=True)) for c in ((9,) * a + (7,) * b + (6,) * c + (5,) * d for a in range(7) for b in range(4) for c in range(10) for d in range(2))
+            if 49 < sum(c) <= 54 or 49 == sum(c) and 5 in c}
+    assert set(ways) == {w for w in want if all(54 - sum(w) < x or w.count(x) == counts[x] for x in (9, 7, 6, 5))}
+    assert bin_completion.dominated((3, 2, 2), (5, 2)) and not bin_completion.dominated((4, 3), (5, 2))

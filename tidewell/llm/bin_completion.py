@@ -1,8 +1,8 @@
 """Packing documents into sequences by bin completion with branch and bound.
 
 Pieces are dealt to groups of bounded size; a group is packed by filling the
-sequence of its largest remaining piece: undominated fillings are enumerated,
-the least wasteful first, and the search turns back where the waste so far
+sequence of its largest remaining piece: fillings are enumerated, the least
+wasteful first, dominated ones are passed over, and the search turns back where the waste so far
 exceeds what a better solution than the incumbent could afford.  The first
 incumbent is best-fit decreasing.
 """
@@ -60,43 +60,93 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return done + [(tuple(e[0]), e[1]) for entries in rooms.values() for e in entries]
 
 
-def fillings(counts: np.ndarray, room: int, most: int, tries: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` with at most ``most`` pieces, least waste first, longer pieces first on a tie.
+def dominated(way: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``way`` fit together into the places of the pieces of ``other``."""
+    if way == other or sum(way) > sum(other) or (way and way[0] > max(other, default=0)):
+        return False
+    seen: set[tuple[int, tuple[int, ...]]] = set()
 
-    A filling is dominated if its pieces fit together into the place of fewer,
-    larger pieces that are at hand; so each further piece must leave less waste
-    than the best found with fewer.
+    def place(i: int, rooms: tuple[int, ...]) -> bool:
+        if i == len(way):
+            return True
+        if (i, rooms) in seen or len(seen) > 200:  # unproven counts as not dominated: nothing is lost
+            return False
+        seen.add((i, rooms))
+        return any(place(i + 1, tuple(sorted((*rooms[:j], r - way[i], *rooms[j + 1:]))))
+                   for j, r in enumerate(rooms) if r >= way[i] and r not in rooms[:j])
+
+    return place(0, tuple(sorted(other)))
+
+
+def fillings(counts: np.ndarray, room: int, tries: int, first: bool = False) -> list[tuple[int, ...]]:
+    """Ways to fill ``room`` so that no further piece fits: the perfect ones first, then by waste, fewer and longer pieces first.
+
+    Fillings of one piece come first, then of two and so on, without a bound on
+    their number; ``tries`` bounds the steps of all.  The way that takes the
+    longest piece that fits each time is always among them.  With ``first`` only the
+    first perfect one, if there is one.
     """
     lengths = np.flatnonzero(counts[:room + 1])[::-1].tolist()
-    found: dict[int, tuple[int, ...]] = {}
-    work = [tries]
+    if not lengths:
+        return [()]
+    have = counts[lengths].tolist()
+    least, left, longest = lengths[-1], room, []
+    for size, n in zip(lengths, have):
+        n = min(n, left // size)
+        longest += [size] * n
+        left -= n * size
+    if first and not left:
+        return [tuple(longest)]
+    used = dict.fromkeys(lengths, 0)
 
-    def grow(start: int, left: int, taken: tuple[int, ...]) -> None:
+    def fit(start: int, left: int) -> int:
         lo, hi = start, len(lengths)
         while lo < hi:  # first length that fits
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
-        for i in range(lo, len(lengths)):
-            work[0] -= 1
+        return lo
+
+    found = {tuple(longest): left}  # filling -> its waste
+    for most in range(1, room // least + 1):
+        if tries <= 0:
+            break
+        taken: list[int] = []
+        at, left = [fit(0, room)], room  # next length to try at each depth
+        while at:
+            i, more = at[-1], most - len(taken)
+            # a piece of the shortest length would fit besides whatever follows from here
+            hopeless = i < len(lengths) and have[-1] > most and more * lengths[i] <= left - least
+            if i == len(lengths) or hopeless or tries <= 0:
+                at.pop()
+                if taken:
+                    size = taken.pop()
+                    used[size] -= 1
+                    left += size
+                continue
+            at[-1] += 1
+            tries -= 1
             size = lengths[i]
-            if work[0] < 0 or 0 in found or (most - len(taken)) * size < left - min(found, default=left):
-                return  # even the remaining pieces of this size waste more than the best
-            if taken.count(size) >= counts[size]:
+            if size > left or used[size] >= have[i]:
                 continue
-            rest, now = left - size, (*taken, size)
-            if rest not in found and (not found or rest < min(found)):
-                found[rest] = now
-            if rest and len(now) < most:
-                grow(i, rest, now)
-
-    grow(0, room, ())
-    return [found[r] for r in sorted(found)] or [()]
+            if more == 1:
+                rest = left - size
+                way = (*taken, size)
+                if first and not rest:
+                    return [way]
+                if way not in found and not any(used[lengths[j]] + (lengths[j] == size) < have[j] for j in range(fit(0, rest), len(lengths))):
+                    found[way] = rest
+                continue
+            used[size] += 1
+            taken.append(size)
+            left -= size
+            at.append(fit(i, left))
+    return sorted(found, key=found.get)
 
 
-def pack(lengths: np.ndarray, capacity: int, most: int = 4, tries: int = 400, turns: int = 2000) -> np.ndarray:
+def pack(lengths: np.ndarray, capacity: int, tries: int = 400, turns: int = 2000) -> np.ndarray:
     """Number of the bin of each piece (each of 0 to ``capacity``).
 
-    ``tries`` bounds the enumeration of fillings for one bin, ``turns`` how often the search may
+    ``tries`` bounds the steps of the enumeration of fillings for one bin, ``turns`` how often the search may
     turn back; then the incumbent stands.  Pieces of length 0 join the first bin.
     """
     counts = np.bincount(lengths, minlength=capacity + 1)
@@ -106,8 +156,9 @@ def pack(lengths: np.ndarray, capacity: int, most: int = 4, tries: int = 400, tu
     best = sum(n for _, n in incumbent)
     floor = max(-(-total // capacity), int(counts[capacity // 2 + 1:].sum()))
     left, waste = counts.copy(), 0
-    path: list[tuple[int, tuple[int, ...], int, list[tuple[int, ...]], int]] = []  # largest piece, filling, bins, other fillings, waste
+    path: list[tuple[int, tuple[int, ...], int, list[tuple[int, ...]] | None, int, list]] = []  # largest piece, filling, bins, other fillings, waste, fillings tried
     options: list[tuple[int, ...]] | None = None
+    tried: list[tuple[int, ...]] = []
     top = capacity
     while best > floor:
         while top and not left[top]:
@@ -118,7 +169,7 @@ def pack(lengths: np.ndarray, capacity: int, most: int = 4, tries: int = 400, tu
             options = []
         elif options is None:
             left[top] -= 1
-            options = fillings(left, capacity - top, most, tries)
+            options, tried = fillings(left, capacity - top, tries, first=True), []
             left[top] += 1
         allowed = (best - 1) * capacity - total  # a better solution wastes no more than this
         if options:
@@ -130,17 +181,23 @@ def pack(lengths: np.ndarray, capacity: int, most: int = 4, tries: int = 400, tu
                 for s in way:
                     left[s] -= n
                 waste += n * lost
-                path.append((top, way, n, options[1:], n * lost))
+                path.append((top, way, n, options[1:] if lost or len(options) > 1 else None, n * lost, [*tried, way]))
                 options = None
                 continue
         turns -= 1
         if not turns or not path:
             break
-        top, way, n, options, lost = path.pop()
+        top, way, n, options, lost, tried = path.pop()
         left[top] += n
         for s in way:
             left[s] += n
         waste -= lost
+        if options is None:  # the other fillings besides the perfect one that was taken first
+            left[top] -= 1
+            options = [other for other in fillings(left, capacity - top, tries) if other != way]
+            left[top] += 1
+        while options and any(dominated(options[0], other) for other in tried):
+            options = options[1:]
     order = np.argsort(-lengths, kind="stable")
     first_of = np.zeros(capacity + 2, np.int64)  # where each length's pieces begin in that order
     first_of[:-1] = len(lengths) - np.cumsum(np.bincount(lengths, minlength=capacity + 1))
