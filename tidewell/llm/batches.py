@@ -82,3 +82,22 @@ def running_sum(df: DataFrame, order: list[Column], values: list[str]) -> DataFr
     local = fixed.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_l_{v}") for v in values])
     joined = local.join(offsets, "_part")
     return joined.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"{v}_before") for v in values])
+
+
+def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "_row") -> DataFrame:
+    """Consecutive numbers from 0 in ``name``, in the given order or in that of the partitions, without a one-task window.
+
+    The rows are range-partitioned and sorted, and written to a reliable
+    checkpoint together with their places, so that a recomputed task cannot
+    number them anew.  Only one row per partition meets in a window, and that
+    many rows are broadcast.  Equal rows are taken in any order; put a unique
+    column last where many are expected, or they share a partition.
+    """
+    dealt = df if order is None else df.repartitionByRange(shuffle_count(df), *order).sortWithinPartitions(*order)
+    fixed = cut_lineage(dealt.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_place", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    placed = fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.select(*df.columns, (F.col("_o") + F.col("_place").bitwiseAND((1 << 33) - 1)).alias(name))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, bin_completion, cover_tree, hamming_index, language_id, mixing, range_coder, tag_paths, token_counts, toxic_segments
+from . import bbit_minhash, bin_completion, block_whitening, chat_parts, cover_tree, hamming_index, language_id, merkle_slots, mixing, range_coder, tag_paths
+from . import token_counts, toxic_segments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +54,21 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_segments.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_slots.tamper_check(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_parts.format_and_read_back(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_hamming_index, op2_range_coder, op3_token_counts, op4_tag_paths, op5_bin_completion, op6_language_id,
-                                   op7_cover_tree, op8_mixing, op9_bbit_minhash, op10_toxic_segments)}
+                                   op7_cover_tree, op8_mixing, op9_bbit_minhash, op10_toxic_segments, op11_block_whitening,
+                                   op12_merkle_slots, op13_chat_parts)}
 
 _COVER_TREE = """
 WITH v AS (
@@ -109,4 +123,70 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
   coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id"""
 
-ORACLE_SQL = {"op7_cover_tree": _COVER_TREE, "op8_mixing": _MIXING, "op9_bbit_minhash": _MINHASH}
+_MERKLE = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, replace(text, chr(10), '') AS flat,
+    xor(4294967295::BIGINT, list_reduce(string_split(doc_id::VARCHAR, ''), lambda c, b: list_reduce(range(8)::BIGINT[],
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END, xor(c::BIGINT, ascii(b)::BIGINT))::VARCHAR, '4294967295')::BIGINT) AS crc
+  FROM documents),
+h AS (
+  SELECT doc_id, source, crc % 2 = 0 AS hit, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(flat) || ':' || flat, '-')) AS bent FROM f),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM h),
+t AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS node FROM l
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+s AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos, n, subroot AS node FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 3, n),
+b AS (
+  SELECT l.doc_id, l.leaf, 0 AS part, t.lvl, t.pos < l.pos // (3 ** t.lvl)::BIGINT AS early, t.pos, t.node
+  FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source AND t.pos // 3 = l.pos // (3 ** (t.lvl + 1))::BIGINT
+    AND t.pos <> l.pos // (3 ** t.lvl)::BIGINT AND t.n > 1
+  UNION ALL
+  SELECT l.doc_id, l.leaf, 1, u.lvl, u.pos < s.pos // (3 ** u.lvl)::BIGINT, u.pos, u.node
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN u ON u.pos // 3 = s.pos // (3 ** (u.lvl + 1))::BIGINT
+    AND u.pos <> s.pos // (3 ** u.lvl)::BIGINT AND u.n > 1),
+k AS (
+  SELECT l.doc_id, l.leaf, x.part, x.lvl FROM l JOIN (SELECT DISTINCT source, n, lvl, 0 AS part FROM t WHERE n > 1) x ON x.source IS NOT DISTINCT FROM l.source
+  UNION ALL SELECT l.doc_id, l.leaf, 1, y.lvl FROM l, (SELECT DISTINCT lvl FROM u WHERE n > 1) y),
+p AS (
+  SELECT k.doc_id, k.leaf, k.part, k.lvl, coalesce(string_agg(node, '' ORDER BY pos) FILTER (early), '') AS before,
+    coalesce(string_agg(node, '' ORDER BY pos) FILTER (NOT early), '') AS after
+  FROM k LEFT JOIN b ON b.doc_id IS NOT DISTINCT FROM k.doc_id AND b.leaf = k.leaf AND b.part = k.part AND b.lvl = k.lvl
+  GROUP BY k.doc_id, k.leaf, k.part, k.lvl),
+q AS (
+  SELECT doc_id, leaf, list(before || '|' || after ORDER BY part, lvl) AS steps, string_agg(before || after, '' ORDER BY part, lvl) AS proof
+  FROM p GROUP BY doc_id, leaf),
+r AS (SELECT node AS root FROM u WHERE n = 1),
+v AS (
+  SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+    list_reduce(coalesce(q.steps, []), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2)),
+      CASE WHEN coalesce(l.hit, false) THEN l.bent ELSE l.leaf END) AS folded_root
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN r
+    LEFT JOIN q ON q.doc_id IS NOT DISTINCT FROM l.doc_id AND q.leaf = l.leaf)
+SELECT *, folded_root = root AS verified FROM v"""
+
+_CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(\\*)(### |</turn>|<image:|<audio:|<document:)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1') AS body,
+    replace(replace(replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), ':', '%3A'), '#', '%23'), '<', '%3C'), '\', '%5C') AS name
+  FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ') + length(name) + 2 + length(body) + length('</turn>') + 2)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+ORACLE_SQL = {"op7_cover_tree": _COVER_TREE, "op8_mixing": _MIXING, "op9_bbit_minhash": _MINHASH, "op12_merkle_slots": _MERKLE, "op13_chat_parts": _CHAT}
