@@ -12,15 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .batches import numbered, shuffle_count
 from .vectors import usable
 
@@ -88,11 +88,29 @@ def squared_length(deviation: Column) -> Column:
 
 
 def centred_blocks(rows: DataFrame, n: int, d: int, sums: list[int], rows_per_block: int, columns_per_block: int) -> BlockMatrix:
-    """The rows less their mean as a distributed block matrix; row ``_row`` of the table is row ``_row`` of the matrix."""
+    """The rows less their mean as a distributed block matrix; row ``_row`` of the table is row ``_row`` of the matrix.
+
+    A block is an aggregate of at most ``rows_per_block`` rows.  The blocks are
+    written to the shared folder as the fields of a matrix and read as matrices,
+    so neither product makes them again, nor does a lost executor.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "centred-blocks")
     centred = F.transform(deviations(F.col("x"), n, sums), lambda v: v.cast("double") / float(n))
-    indexed = rows.select(F.col("_row").alias("index"), array_to_vector(centred).alias("vector"))
-    indexed = MLUtils.convertVectorColumnsFromML(indexed, "vector")
-    return IndexedRowMatrix(indexed, n, d).toBlockMatrix(rows_per_block, columns_per_block)
+    dealt = rows.select(F.floor(F.col("_row") / rows_per_block).alias("_i"), F.struct("_row", centred.alias("v")).alias("_r"))
+    grouped = dealt.groupBy("_i").agg(F.array_sort(F.collect_list("_r")).alias("_rows"))
+    across = grouped.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit((d - 1) // columns_per_block))))
+    first, width = F.col("_j") * columns_per_block, F.least(F.lit(columns_per_block), F.lit(d) - F.col("_j") * columns_per_block)
+    values = F.flatten(F.transform("_rows", lambda r: F.slice(r["v"], first + 1, width)))
+    matrix = F.struct(F.lit(1).cast("byte").alias("type"), F.size("_rows").alias("numRows"), width.alias("numCols"),
+                      F.lit(None).cast("array<int>").alias("colPtrs"), F.lit(None).cast("array<int>").alias("rowIndices"),
+                      values.alias("values"), F.lit(True).alias("isTransposed"))
+    place = F.struct(F.col("_i").alias("_1"), F.col("_j").cast("long").alias("_2"))
+    across.select(place.alias("place"), matrix.alias("matrix")).write.parquet(path)
+    schema = StructType([StructField("place", StructType([StructField("_1", LongType()), StructField("_2", LongType())])),
+                         StructField("matrix", MatrixUDT())])
+    blocks = spark.read.schema(schema).parquet(path)
+    java = callMLlibFunc("createBlockMatrix", blocks, rows_per_block, columns_per_block, n, d)
+    return BlockMatrix(java, rows_per_block, columns_per_block)
 
 
 def scatter(blocks: BlockMatrix, splits: int) -> np.ndarray:
