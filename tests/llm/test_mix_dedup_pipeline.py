@@ -199,3 +199,13 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = ["a b c a b", "", "x " * 500, "w" * 300 + " y z", " lead é ü\n", "one"]
+    whole = bbit_minhash.shingle_sets(texts, 2)
+    bbit_minhash._kept_table.cache_clear()
+    monkeypatch.setattr(bbit_minhash, "PART", 16)
+    parts = bbit_minhash.shingle_sets(texts, 2)
+    bbit_minhash._kept_table.cache_clear()
+    assert [a.tolist() for a in whole] == [b.tolist() for b in parts]

@@ -34,7 +34,7 @@ def _docs(spark):
 def test_pieces_equal_the_library(library):
     texts = _odd_texts(3000)
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    small = PieceEncoder(tokenizer_path(NAME), words_kept=100)  # tables overflow again and again
+    small = PieceEncoder(tokenizer_path(NAME), table_bytes=100)  # tables overflow again and again
     got = [x for i in range(0, len(texts), 200) for x in small.encode(texts[i:i + 200])]
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
     assert encoder(tokenizer_path(NAME), True).encode(texts) == [len(w) for w in want]
@@ -163,3 +163,42 @@ def test_sequences_of_many_short_pieces():
             if 49 < sum(c) <= 54 or 49 == sum(c) and 5 in c}
     assert set(ways) == {w for w in want if all(54 - sum(w) < x or w.count(x) == counts[x] for x in (9, 7, 6, 5))}
     assert bin_completion.dominated((3, 2, 2), (5, 2)) and not bin_completion.dominated((4, 3), (5, 2))
+
+
+def test_tables_stay_bounded():
+    engine = PieceEncoder(tokenizer_path(NAME), table_bytes=200_000)
+    for i in range(0, 30_000, 500):
+        engine.encode([" ".join(f"word{j}, x{j}y" for j in range(i, i + 500))])
+        assert all(len(t.young) + len(t.old) < 6_000 for t in (engine._words, engine._pieces))
+    assert engine._words.old and engine._words.young
+
+
+def test_least_bins_is_a_bound():
+    def fewest(sizes, capacity):
+        best = len(sizes)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(sizes):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + sizes[i] <= capacity and bins[j] not in bins[:j]:
+                    place(i + 1, [*bins[:j], bins[j] + sizes[i], *bins[j + 1:]])
+            place(i + 1, [*bins, sizes[i]])
+
+        place(0, [])
+        return best
+
+    tight = 0
+    for seed in range(150):
+        rnd = np.random.default_rng(seed)
+        capacity = int(rnd.integers(5, 25))
+        sizes = sorted(rnd.integers(1, capacity + 1, 8).tolist(), reverse=True)
+        bound, best = bin_completion.least_bins(np.bincount(sizes, minlength=capacity + 1), capacity), fewest(sizes, capacity)
+        assert bound <= best
+        tight += bound == best
+    assert tight > 120
+    assert bin_completion.least_bins(np.bincount([300] * 60, minlength=2049), 2048) == 10

@@ -33,6 +33,8 @@ SLACK = 0.2
 FINE, FINE_SLACK = 2048, 0.05
 """Minima of the second, longer signature that only candidates get, and its slack: more than five standard errors again."""
 BLOCK = 2048
+PART = 1 << 19
+"""Bytes of a text that are hashed at a time."""
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
@@ -51,15 +53,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     forth, back = np.full(n, _STEP), np.full(n, _BACK)
     forth[0] = back[0] = 1
     return np.multiply.accumulate(forth), np.multiply.accumulate(back)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _power_table(1 << max(20, n.bit_length()))
+@functools.lru_cache(maxsize=1)
+def _kept_table() -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(2 * PART)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every word, the same wherever it stands; long texts go in parts, so only a word beyond a part needs a longer table."""
+    words, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + PART, "right")))
+        own = data[low:ends[last - 1]]
+        forth, back = _kept_table() if len(own) < 2 * PART else _power_table(len(own) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[own] * forth[:len(own)], dtype=np.uint64)))
+        begin, end = starts[first:last] - low, ends[first:last] - low
+        words[first:last] = _mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+        first = last
+    return words
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -68,9 +85,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
     edges = np.flatnonzero(np.diff(_IS_SPACE[data].view(np.int8), prepend=1))
     starts, ends = edges[::2], edges[1::2]
-    forth, back = _powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * forth[:len(data)], dtype=np.uint64)))
-    words = _mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    words = _word_hashes(data, starts, ends)
     bounds = np.concatenate(([0], np.searchsorted(starts, np.cumsum([len(e) + 1 for e in encoded])))).astype(np.int64)
     joined = words.copy()
     for i in range(1, min(n, len(words))):
