@@ -18,12 +18,14 @@ import unicodedata
 
 import numpy as np
 
-WORDS_KEPT = 1_000_000
-"""Entries of each of a worker's two tables; a full table is emptied."""
+TABLE_BYTES = 80 << 20
+"""Bytes of one generation of a worker's table of words; it keeps two, and a quarter of that for parts of words."""
 
 _GAP = re.compile(r" (?=\S)")
 _ODD = re.compile("[\0\u0250-\U0010ffff]")
 """Letters whose class may depend on the Unicode version: words with them are left to the library whole."""
+_STOPS = {".", ",", ";", ":", "!", "?"}
+"""A sign that is a piece of its own behind letters."""
 _SPACE_LIKE = {"Zs", "Zl", "Zp", "Cc", "Cf", "Cn", "Co", "Cs"}
 
 
@@ -37,20 +39,46 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class Recent:
+    """A table bounded in bytes: two generations, of which the older is dropped when the younger is full.
+
+    Callers read and fill ``young`` directly, and then tell what was ``added``; what
+    only the older holds is found by ``take``.
+    """
+
+    ENTRY = 150  # object heads of a short text and its value, and their place in the table
+
+    def __init__(self, most_bytes: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self._bytes, self._most = 0, most_bytes
+
+    def added(self, fresh: dict) -> None:
+        """Count entries that were put into ``young``; a full generation becomes the older one."""
+        self._bytes += len(fresh) * self.ENTRY + sum(map(len, fresh))
+        if fresh and isinstance(next(iter(fresh.values())), bytes):
+            self._bytes += sum(map(len, fresh.values()))
+        if self._bytes > self._most:
+            self.old, self.young, self._bytes = self.young, {}, 0
+
+    def take(self, words: set) -> dict:
+        """Those of ``words`` that only the older generation holds."""
+        return {w: self.old[w] for w in words & self.old.keys()} if self.old else {}
+
+
 class PieceEncoder:
     """Ids (or only numbers of ids) of whole texts, equal to the library's own ``encode`` without special tokens."""
 
-    def __init__(self, path: str, lengths_only: bool = False, words_kept: int = WORDS_KEPT):
+    def __init__(self, path: str, lengths_only: bool = False, table_bytes: int = TABLE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import tokenizers
 
         self._whole = tokenizers.Tokenizer.from_file(path)
         self.vocabulary = self._whole.get_vocab_size(with_added_tokens=True)
-        self._lengths_only, self._kept = lengths_only, words_kept
+        self._lengths_only = lengths_only
         self._added = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._words: dict = {}
-        self._pieces: dict = {}
+        self._words, self._pieces = Recent(table_bytes), Recent(table_bytes // 4)
         self._byte_level = self._is_byte_level()
         if self._byte_level:
             import public_tokenizers
@@ -82,37 +110,33 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list:
-        get = self._words.get
+        known = self._words.young
         parts = [None if any(a in t for a in self._added) else t.split(" ") for t in texts]
-        known = [p and list(map(get, p)) for p in parts]
-        missing = {w for p, values in zip(parts, known) if p and None in values for w, v in zip(p, values) if v is None}
-        if any(map(self._unsafe, missing)):
-            missing = set()
-            for i, (text, words, values) in enumerate(zip(texts, parts, known)):
-                if words and any(v is None and self._unsafe(w) for w, v in zip(words[1:], values[1:])):
-                    words = parts[i] = self._cut(text)
-                    values = known[i] = words and list(map(get, words))
-                if words:
-                    missing.update(w for w, v in zip(words, values) if v is None)
+        missing = set().union(*filter(None, parts)).difference(known)
+        unsafe = set(self._unsafe_of(missing))
+        if unsafe:
+            for i, (text, words) in enumerate(zip(texts, parts)):
+                if words and not unsafe.isdisjoint(words) and not unsafe.isdisjoint(words[1:]):
+                    parts[i] = self._cut(text)
+            missing = set().union(*filter(None, parts)).difference(known)
         heads = list({p[0] for p in parts if p})
         first = self._of_strings(heads, "")
-        fresh = self._of_strings(list(missing), " ")
+        fresh = self._words.take(missing)
+        fresh.update(self._of_strings([w for w in missing if w not in fresh], " "))
+        known.update(fresh)  # all words of the batch are in one table now
         whole = [t for t, p in zip(texts, parts) if p is None]
         rest = iter(self._library(whole) if whole else ())
-        joined = []
-        for words, values in zip(parts, known):
+        value, joined = known.__getitem__, []
+        for words in parts:
             if words is None:
                 joined.append(next(rest))
                 continue
-            if None in values:
-                values = [fresh[w] if v is None else v for v, w in zip(values, words)]
+            values = list(map(value, words))
             values[0] = first[words[0]]
             joined.append(sum(values) if self._lengths_only else b"".join(values))
-        for w in filter(self._unsafe, missing):
-            del fresh[w]  # only ever the first word of a text, where no space stands before it
-        if len(self._words) + len(fresh) > self._kept:
-            self._words.clear()
-        self._words.update(fresh)
+        for w in self._unsafe_of(missing):
+            del known[w], fresh[w]  # only ever the first word of a text, where no space stands before it
+        self._words.added(fresh)
         return joined
 
     def _library(self, texts: list[str]) -> list:
@@ -126,10 +150,14 @@ class PieceEncoder:
         """A space before it may belong to a longer run of white space."""
         return not word or word[0].isspace() or word[0] > "\x7f" and unicodedata.category(word[0]) in _SPACE_LIKE
 
+    @classmethod
+    def _unsafe_of(cls, words: set[str] | list[str]) -> list[str]:
+        return [w for w in words if not "!" <= w[:1] <= "~" and cls._unsafe(w)]
+
     def _cut(self, text: str) -> list[str] | None:
         """Words of a text with runs of white space; None if a boundary is not surely one for the library."""
         words = _GAP.split(text)
-        return None if any(map(self._unsafe, words[1:])) else words
+        return None if self._unsafe_of(words[1:]) else words
 
     def _of_strings(self, words: list[str], before: str) -> dict:
         """Value of each distinct word with what stands before it."""
@@ -139,30 +167,41 @@ class PieceEncoder:
             values = dict(zip(odd, self._library([before + w for w in odd])))
             words = [w for w in words if w not in values]
         split = self._split
-        cut = [(before + w,) if w.isalpha() else split(before + w) for w in words]
-        found = self._of_pieces({p for pieces in cut for p in pieces})
+        cut = [(before + w,) if w.isalpha() else (before + w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else split(before + w) for w in words]
+        found = self._of_pieces({p for pieces in cut for p in pieces}, {c[0] for c in cut if len(c) == 1})
         if self._lengths_only:
             values.update((w, found[c[0]] if len(c) == 1 else sum([found[p] for p in c])) for w, c in zip(words, cut))
         else:
             values.update((w, found[c[0]] if len(c) == 1 else b"".join([found[p] for p in c])) for w, c in zip(words, cut))
         return values
 
-    def _of_pieces(self, pieces: set[str]) -> dict:
-        known = self._pieces
-        if len(known) + len(pieces) > self._kept:
-            known.clear()
-        new = [p for p in pieces if p not in known]
+    def _of_pieces(self, pieces: set[str], words: set[str]) -> dict:
+        """Value of each piece.  Whole words are kept by the caller, so only parts of words are kept here."""
+        parts, known = self._pieces, self._words
+        found = {}
+        for p in pieces:
+            v = parts.young.get(p)
+            if v is None and p[0] == " ":  # a word seen alone
+                v = known.young.get(p[1:])
+            if v is not None:
+                found[p] = v
+        found.update(parts.take(pieces - found.keys()))
+        new = [p for p in pieces if p not in found]
         if new:
             written = "\0".join(new).encode("utf-8").decode("latin-1").translate(_LETTERS).split("\0")
             ids = np.array(self._model.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.searchsorted(np.cumsum(self._token_letters[ids]), np.cumsum([len(w) for w in written])) + 1
             starts = np.concatenate(([0], ends[:-1]))
             if self._lengths_only:
-                known.update(zip(new, (ends - starts).tolist()))
+                made = dict(zip(new, (ends - starts).tolist()))
             else:
                 data = ids.tobytes()
-                known.update(zip(new, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
-        return known
+                made = dict(zip(new, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+            found.update(made)
+            kept = {p: v for p, v in made.items() if p not in words}
+            parts.young.update(kept)
+            parts.added(kept)
+        return found
 
 
 class SentencePieceEncoder:
