@@ -143,6 +143,32 @@ def fillings(counts: np.ndarray, room: int, tries: int, first: bool = False) ->
     return sorted(found, key=found.get)
 
 
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs: the larger of two published bounds.
+
+    L2 of Martello and Toth (1990): for a threshold k, pieces over capacity - k
+    take a bin each that nothing of length k or more joins; pieces over half a
+    bin take one each too, and what of the pieces from k to half a bin does not
+    fit into their rooms needs more.  And the dual feasible functions of Fekete
+    and Schepers (2001), which round lengths to parts of a bin: where all pieces
+    are just over a seventh of it, for one, six of them fill a bin.
+    """
+    sizes = np.arange(capacity + 1)
+    number, length = np.cumsum(counts), np.cumsum(counts * sizes)
+    half, k = capacity // 2, np.arange(1, capacity // 2 + 1)
+    alone = number[capacity] - number[capacity - k]
+    large = number[capacity - k] - number[half]
+    room = large * capacity - (length[capacity - k] - length[half])
+    small = length[half] - length[k - 1]
+    needed = alone + large + np.maximum(0, -(-(small - room) // capacity))
+    best = max(int(needed.max(initial=0)), -(-int(length[capacity]) // capacity))
+    for parts in range(2, 41):
+        whole, rest = np.divmod(parts * sizes, capacity)
+        rounded = np.where(rest == 0, (parts - 1) * sizes, whole * capacity)
+        best = max(best, -(-int((counts * rounded).sum()) // ((parts - 1) * capacity)))
+    return best
+
+
 def pack(lengths: np.ndarray, capacity: int, tries: int = 400, turns: int = 2000) -> np.ndarray:
     """Number of the bin of each piece (each of 0 to ``capacity``).
 
@@ -154,7 +180,7 @@ def pack(lengths: np.ndarray, capacity: int, tries: int = 400, turns: int = 2000
     total = int((counts * np.arange(capacity + 1)).sum())
     incumbent = best_fit(counts, capacity)
     best = sum(n for _, n in incumbent)
-    floor = max(-(-total // capacity), int(counts[capacity // 2 + 1:].sum()))
+    floor = least_bins(counts, capacity)
     left, waste = counts.copy(), 0
     path: list[tuple[int, tuple[int, ...], int, list[tuple[int, ...]] | None, int, list]] = []  # largest piece, filling, bins, other fillings, waste, fillings tried
     options: list[tuple[int, ...]] | None = None
