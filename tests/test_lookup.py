@@ -61,3 +61,46 @@ def test_best_company_and_flags(spark):
     many = spark.range(50).withColumn("k", F.lit(1))
     small = spark.createDataFrame([(1, "v")], "k int, v string")
     assert lookup.spread_join(many, small, ["k"], salts=4).count() == 50
+
+
+@pytest.mark.parametrize("boundary", [True, False])
+@pytest.mark.parametrize("signs", [10_000, 0])
+def test_automaton_and_join_find_the_same(spark, boundary, signs):
+    """Signs 0 sends the dictionary through the distributed join."""
+    names = ["HB", "한빛전자", "한빛전자소재", "3Q", "3q", "한빛", "ab", "b", "전자소", "b 7", "", None, "İz"]
+    rnd = random.Random(6)
+    parts = [*filter(None, names), "x", " ", "가", "HBX", "내", "7"]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.randint(0, 7))), "clash") for i in range(150)] + [(900, None, ""), (901, "x" * 200_000 + "한빛전자", "")]
+    texts = spark.createDataFrame(rows, "id int, t string, _n string")
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["id"]: r["name"] for r in lookup.longest_mentions(texts, "id", "t", table, "name", boundary=boundary, automaton_signs=signs).collect()}
+
+    def fits(t, n):
+        at = t.find(n)
+        while at >= 0:
+            before, after = t[at - 1:at] if at else "", t[at + len(n):at + len(n) + 1]
+            if not boundary or not (before and before in ASCII and n[0] in ASCII + "0123456789") and not (after and after in ASCII and n[-1] in ASCII + "0123456789"):
+                return True
+            at = t.find(n, at + 1)
+        return False
+
+    for i, t, _ in rows:
+        found = [n for n in names if n and fits((t or "").lower(), n.lower())]
+        assert got[i] == min(found, key=lambda n: (-len(n.lower()), n.lower(), n), default=None)
+    assert "Exchange" not in _plan(lookup.longest_mentions(texts, "id", "t", table, "name"))
+    assert lookup.longest_mentions(texts, "id", "t", table.limit(0), "name").filter("name is null").count() == len(rows)
+
+
+def test_a_million_names_and_a_hot_text(spark):
+    names = spark.range(1_000_000).select(F.concat(F.lit("n"), F.hex("id")).alias("name"))
+    hot = spark.range(200).select("id", F.lit("zz n1F4A0 and nFFFFF, n7 ").alias("t")).unionByName(
+        spark.createDataFrame([(500, "one nABC " * 20_000)], "id long, t string"))
+    got = {r["id"]: r["name"] for r in lookup.longest_mentions(hot, "id", "t", names, "name", automaton_signs=8_000_000).collect()}
+    assert {got[i] for i in range(200)} == {"n1F4A0"} and got[500] == "nABC"  # FFFFF is beyond the last name
+
+
+ASCII = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -107,7 +107,7 @@ def longest_name_match(spark: SparkSession, sf: str) -> DataFrame:
     """Longest benchmark word inside each whole document"""
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("name")).distinct()
     d = landed(spark, sf, "documents").select("doc_id", "text")
-    return lookup.mention_join(d, "doc_id", "text", words, "name", gram=8).select("doc_id", "name")
+    return lookup.longest_mentions(d, "doc_id", "text", words, "name", gram=8).select("doc_id", "name")
 
 
 def listed_names(spark: SparkSession, sf: str) -> DataFrame:

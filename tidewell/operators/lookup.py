@@ -10,6 +10,7 @@ from ..functions.links import canon_key
 from ..functions.orgs import normalize_org
 from ..functions.text import import_title_key, text_or_blank, title_key
 from ..session import cut_lineage
+from .automaton import with_longest_name
 from .groups import first_by
 
 
@@ -46,7 +47,7 @@ def _longest_mentions(texts: DataFrame, id_col: str, text_col: str, dictionary:
 
 def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str,
                  gram: int = 4, boundary: bool = False) -> DataFrame:
-    """Longest dictionary name inside each text, for a dictionary of any size.
+    """Longest dictionary name inside each text, for a dictionary that no worker holds.
 
     Every place of a text is cut to the longest name's length; places whose head
     starts no name go out in an equality join on that head, the others are cut
@@ -58,9 +59,7 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame,
     that holds a longer one, so they are looked up, with heads of half the
     signs each time, only in the texts that are left.
     """
-    dictionary = (
-        names.select(F.col(name_col).alias("name"), F.lower(name_col).alias("_n"))
-        .filter(F.length("_n") >= 1).groupBy("_n").agg(F.min("name").alias("name")))
+    dictionary = _dictionary(names, name_col)
     shortest, longest = dictionary.agg(F.min(F.length("_n")), F.max(F.length("_n"))).first()  # two numbers
     if longest is None:
         return texts.withColumn("name", F.lit(None).cast("string"))
@@ -79,6 +78,35 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame,
         head //= 2
 
 
+def _dictionary(names: DataFrame, name_col: str) -> DataFrame:
+    """(_n, name): distinct names in lower case, each with the first of its spellings."""
+    keyed = names.select(F.col(name_col).alias("name"), F.lower(name_col).alias("_n"))
+    return keyed.filter(F.length("_n") >= 1).groupBy("_n").agg(F.min("name").alias("name"))
+
+
+AUTOMATON_SIGNS = 8_000_000
+"""Signs of all names together up to which a dictionary is broadcast; an automaton takes some 40 bytes a sign at most."""
+
+
+def longest_mentions(texts: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, gram: int = 4, boundary: bool = False,
+                     automaton_signs: int = AUTOMATON_SIGNS) -> DataFrame:
+    """``texts`` with ``name``, the longest dictionary name inside each, ties to the first in the alphabet.
+
+    The signs of the dictionary are counted first.  Up to ``automaton_signs`` the
+    names are broadcast and every worker compiles one automaton of them: one
+    pass over each text where it is read, no explode, no shuffle.  A larger
+    dictionary stays distributed and meets the texts in :func:`mention_join`;
+    only then must the ids be unique.
+    """
+    dictionary = _dictionary(names, name_col)
+    signs = dictionary.agg(F.sum(F.length("_n"))).first()[0]  # one number
+    if signs is None:
+        return texts.withColumn("name", F.lit(None).cast("string"))
+    if signs <= automaton_signs:
+        return with_longest_name(texts, text_col, dictionary, boundary)
+    return mention_join(texts, id_col, text_col, names, name_col, gram, boundary).select(*texts.columns, "name")
+
+
 def affiliate_group(rows: DataFrame, aliases: DataFrame, names: list[str], out: str = "group") -> DataFrame:
     """Group of the first name that equals a registered alias (D3)."""
     found = rows
