@@ -13,7 +13,7 @@ HEADLINE = [
     "drop_reasons_by_source", "snapshot_merge", "near_dup_components", "published_rows", "anchor_candidates", "deadline_roundtrip",
     "script_feed", "longest_name_match", "fuzzy_link", "import_anti", "canon_collapse", "outage_runs", "registry_fill", "lifecycle_table",
     "include_exclude_sections", "duty_evidence", "exact_dedup", "word_weights", "budget_topn", "fresh_profile_join",
-    "tfidf_terms", "sibling_bundle", "relevance_score",
+    "tfidf_terms", "sibling_bundle", "relevance_score", "weighted_scores",
 ]
 
 

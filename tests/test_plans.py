@@ -1,6 +1,9 @@
 """Whole runs: collect twice, export, report, model, streams."""
 
 import math
+import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -159,3 +162,39 @@ def test_stream_equals_batch(spark):
     done = batch.filter(F.col("closes_at") <= F.lit(last) - F.expr("interval 1 hour"))
     stream = analysis.lifecycle_stream(spark, SF)
     assert stream.exceptAll(analysis._shown(done)).count() == 0 and stream.count() == done.count()
+
+
+def test_terms_are_counted_in_the_row(spark):
+    """Against plain windows of every occurrence, and the same as the column forms."""
+    texts = ["", None, "환경 안전  환경\tab　ab", "A b!\nab-ab x" + "y" * 90, "é é éa", "한빛 전자 EHS 담당 ehs", "w " * 40_000]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(0, "twice", "")]
+    df = spark.createDataFrame(rows, "id int, t string, n string")
+    got = sorted((r["id"], r["block"], r["term"], round(r["tf"], 9)) for r in score.term_counts(df, "id", F.col("t")).collect())
+    want = []
+    for i, t, _ in rows:
+        chars, words = Counter(), re.findall("[가-힣A-Za-z]{2,}", (t or "").lower())
+        for w in re.split(r"\s+", (t or "").lower()):
+            for n in range(1, 5):
+                chars.update(f" {w} "[k:k + n] for k in range(len(w) + 3 - n) if w)
+        pairs = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+        want += [(i, b, term, round(1 + math.log(n), 9)) for b, c in (("c", chars), ("w", pairs)) for term, n in c.items()]
+    assert got == sorted(want)
+    small = df.filter("id between 2 and 5")
+    occurrences = small.select("id", F.explode(score.char_ngrams(F.col("t"))).alias("term")).groupBy("id", "term").count()
+    assert {(r["id"], r["term"], round(1 + math.log(r["count"]), 9)) for r in occurrences.collect()} == {(i, t, x) for i, b, t, x in got if b == "c" and 2 <= i <= 5}
+    assert "Exchange" not in score.term_counts(df, "id", F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert score.term_counts(df.limit(0), "id", F.col("t")).count() == 0
+
+
+def test_scores_in_the_row_equal_those_by_join(spark):
+    rnd = random.Random(3)
+    words = ["환경", "안전", "EHS", "영업", "ab", "b", "x-y"]
+    rows = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randint(0, 6))), rnd.choice(["한빛", None])) for i in range(60)], "id int, title string, company string")
+    table = score.term_counts(rows.limit(20), "id", F.col("title")).select("block", "term").distinct()
+    table = table.select("block", "term", (1 + F.length("term") / 3).alias("idf"), (F.crc32("term") % 9 / 4.0 - 1).alias("weight"))
+    model = score.RelevanceModel(table.cache(), 0.1)
+    here = {r["id"]: r["p"] for r in score.score(rows, model, "id").collect()}
+    joined = {r["id"]: r["p"] for r in score.score(rows, model, "id", most_terms=0).collect()}
+    assert here.keys() == joined.keys() and all(abs(here[i] - joined[i]) < 1e-12 for i in here) and len(set(here.values())) > 10
+    none = score.RelevanceModel(table.limit(0), 0.0)
+    assert {r["p"] for r in score.score(rows, none, "id").collect()} == {0.5}

@@ -419,6 +419,29 @@ def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "rel_score", "tier", "drop_reason")
 
 
+def _weight_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the benchmark's words with invented weights: words, and their windows of three signs."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0)).alias("word"))
+    grams = words.select(F.lit("c").alias("block"), F.explode(F.regexp_extract_all("word", F.lit("(?=(.{3}))"), 1)).alias("term"))
+    found = words.select(F.lit("w").alias("block"), F.col("word").alias("term")).unionByName(grams).distinct()
+    return found.select("block", "term", (1 + F.length("term") / 8).alias("idf"), ((F.ascii("term") % 7 - 3) / 4).alias("weight"))
+
+
+def weighted_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """K1, K2, K3, K6: every document scored with a given weight table, inside its row"""
+    d = landed(spark, sf, "documents").select("doc_id", "text", "source")
+    model = score.RelevanceModel(_weight_table(spark, sf), -0.25)
+    return score.score(d, model, "doc_id", "text", "source").select("doc_id", F.round("p", 6).alias("p"))
+
+
+def training_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: base labels and user labels, the latter three times, with the weights that balance them"""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    base = d.select(F.col("doc_id").cast("string").alias("title"), F.col("source").alias("company"), F.col("quality").alias("label"))
+    user = d.filter("quality <> toxic").select(F.col("doc_id").cast("string").alias("title"), F.col("lang").alias("company"), F.col("toxic").alias("label"))
+    return score.training_rows(base, user).groupBy("title", "company", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def model_gate(spark: SparkSession, sf: str) -> DataFrame:
     """K7, K8, E3"""
     e = table(spark, sf, "events").select(
@@ -471,5 +494,5 @@ QUERIES = {f.__name__: f for f in (
     fuzzy_link, import_anti, designated_flag, total_reconcile, count_and_sum, first_batch_wins, feedback_latest, survivorship, budget_topn,
     budget_per_source, outage_runs, view_order_topk, tab_counts, report_filter, token_sets, snapshot_merge, stale_close, canon_collapse, run_log,
     redacted_copy, verified_rows, export_reasons, published_rows, wrong_tails, exact_dedup, near_dup_components, representative_view,
-    sibling_bundle, member_parts, tfidf_terms, word_weights, relevance_score, model_gate, lifecycle_table, outage_windows, lifecycle_stream,
+    sibling_bundle, member_parts, tfidf_terms, word_weights, weighted_scores, training_mix, relevance_score, model_gate, lifecycle_table, outage_windows, lifecycle_stream,
     first_sightings_stream)}

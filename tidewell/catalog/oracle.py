@@ -434,6 +434,27 @@ def analysis() -> dict[str, str]:
             WITH {word_terms}, tf AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM wt GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
             x AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term))
             SELECT doc_id, count(*) AS n_terms, round(max(x) / sqrt(sum(x * x)), 6) AS max_weight FROM x GROUP BY 1""",
+        "weighted_scores": r"""
+            WITH words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM benchmark),
+            terms AS (SELECT DISTINCT 'w' AS block, word AS term FROM words UNION
+                      SELECT 'c', substr(word, i, 3) FROM words, generate_series(1, 60) AS g(i) WHERE i + 2 <= length(word)),
+            m AS (SELECT block, term, 1 + length(term) / 8.0::DOUBLE AS idf, (ascii(term) % 7 - 3) / 4.0::DOUBLE AS weight FROM terms),
+            d AS (SELECT doc_id, lower(coalesce(text, '') || ' || ' || coalesce(source, '')) AS t FROM documents),
+            cw AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) || ' ' AS w FROM d),
+            cc AS (SELECT doc_id, w, count(*) AS k FROM cw GROUP BY 1, 2),
+            ct AS (SELECT doc_id, 'c' AS block, term, sum(k) AS n FROM
+                   (SELECT doc_id, k, unnest(list_transform(generate_series(1, length(w) - 2), lambda i: substr(w, i, 3))) AS term FROM cc) GROUP BY 1, 3),
+            wl AS (SELECT doc_id, regexp_extract_all(t, '[가-힣A-Za-z]{2,}') AS ws FROM d),
+            wt AS (SELECT doc_id, 'w' AS block, term, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS term FROM wl) GROUP BY 1, 3),
+            x AS (SELECT doc_id, block, (1 + ln(n)) * idf AS x, weight FROM (SELECT * FROM ct UNION ALL SELECT * FROM wt) JOIN m USING (block, term)),
+            b AS (SELECT doc_id, sum(x * weight) / sqrt(sum(x * x)) AS z FROM x GROUP BY doc_id, block),
+            z AS (SELECT doc_id, sum(z) AS z FROM b GROUP BY 1)
+            SELECT doc_id, round(1 / (1 + exp(-(coalesce(z, 0) - 0.25::DOUBLE))), 6) AS p FROM documents LEFT JOIN z USING (doc_id)""",
+        "training_mix": """
+            WITH d AS (SELECT * FROM documents JOIN labels USING (doc_id)),
+            r AS (SELECT doc_id::VARCHAR AS title, source AS company, quality AS label FROM d UNION ALL
+                  SELECT doc_id::VARCHAR, lang, toxic FROM d, generate_series(1, 3) WHERE quality <> toxic)
+            SELECT title, company, label, count(*) AS n_rows FROM r GROUP BY 1, 2, 3""",
         "model_gate": """
             WITH e AS (SELECT *, CASE WHEN event_type = 'view' THEN 0.1::DOUBLE ELSE floor(value) / 512 END AS p FROM events),
             g AS (SELECT *, p < 0.1::DOUBLE AS low, event_type = 'click' AS safe FROM e)
