@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.catalog import analysis
+from tidewell.functions.terms import COUNTERS
 from tidewell.operators import score
 from tidewell.operators.rules import RuleSet
 from tidewell.plans import collect, export, report, verify
@@ -198,3 +200,29 @@ def test_scores_in_the_row_equal_those_by_join(spark):
     assert here.keys() == joined.keys() and all(abs(here[i] - joined[i]) < 1e-12 for i in here) and len(set(here.values())) > 10
     none = score.RelevanceModel(table.limit(0), 0.0)
     assert {r["p"] for r in score.score(rows, none, "id").collect()} == {0.5}
+
+
+def test_terms_of_one_text_fold_into_one_feature(spark):
+    """The same weights as a fit on all terms by plain gradient descent on the same objective."""
+    rows = [("환경 안전 담당", "한빛", 1), ("환경 설비 zq", "대솔", 1), ("영업 사원", "한빛", 0), ("영업 기획 담당 kx", "누리", 0), ("안전 점검", "대솔", 1)]
+    df = spark.createDataFrame(rows, "title string, company string, label int")
+    model = score.fit(df, max_iter=400, c=2.0)
+    got = {(r["block"], r["term"]): (r["idf"], r["weight"]) for r in model.terms.collect()}
+    texts = [f"{t} || {c}" for t, c, _ in rows]
+    counts = [{b: COUNTERS[b](t) for b in "cw"} for t in texts]
+    df_of = Counter((b, t) for own in counts for b in own for t in own[b])
+    keys = sorted(k for k, n in df_of.items() if n > 1 or k[0] == "w")
+    assert sorted(got) == keys
+    x = np.zeros((5, len(keys)))
+    for i, own in enumerate(counts):
+        for b in "cw":
+            at = [j for j, k in enumerate(keys) if k[0] == b and k[1] in own[b]]
+            v = np.array([(1 + math.log(own[b][keys[j][1]])) * (math.log(6 / (1 + df_of[keys[j]])) + 1) for j in at])
+            x[i, at] = v / np.linalg.norm(v)
+    y = np.array([1, 1, -1, -1, 1])
+    weight = np.array([5 / (2 * (y == s).sum()) for s in y])
+    w, bias = np.zeros(len(keys)), 0.0
+    for _ in range(20_000):
+        g = -weight * y / (1 + np.exp(y * (x @ w + bias)))
+        w, bias = w - 0.2 * (x.T @ g / 5 + w / (2.0 * 5)), bias - 0.2 * g.sum() / 5
+    assert max(abs(got[k][1] - w[j]) for j, k in enumerate(keys)) < 1e-3 and abs(model.intercept - bias) < 1e-3
