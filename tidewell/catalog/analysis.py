@@ -12,7 +12,7 @@ from ..operators.judge import join_sources, judge
 from ..plans.report import health_gate
 from ..session import scratch_path
 from ..sources import feeds, state
-from ..streaming import lifecycle
+from ..streaming import lifecycle, periods
 from .postings import (
     RULES, RUN_DATE, customer_registry, day, landed, line_batch, order_candidates, order_sources, order_state, part_postings, table,
 )
@@ -480,6 +480,15 @@ def lifecycle_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(spark.read.parquet(out + "/rows"))
 
 
+def closed_periods_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 with state and timers: every closing when the watermark reaches it"""
+    out = scratch_path(spark, "periods")
+    closed = periods.closed_periods(_stream(spark, sf), "user_id", "ts", F.col("event_type") == "error", "8 hours", "16 hours", "1 hour")
+    with periods.with_rocks(spark):
+        lifecycle.run_available(closed, out + "/rows", out + "/checkpoint")
+    return _shown(spark.read.parquet(out + "/rows"))
+
+
 def first_sightings_stream(spark: SparkSession, sf: str) -> DataFrame:
     """L2 as a stream: repeats inside the watermark are dropped"""
     out = scratch_path(spark, "sightings")
@@ -495,4 +504,4 @@ QUERIES = {f.__name__: f for f in (
     budget_per_source, outage_runs, view_order_topk, tab_counts, report_filter, token_sets, snapshot_merge, stale_close, canon_collapse, run_log,
     redacted_copy, verified_rows, export_reasons, published_rows, wrong_tails, exact_dedup, near_dup_components, representative_view,
     sibling_bundle, member_parts, tfidf_terms, word_weights, weighted_scores, training_mix, relevance_score, model_gate, lifecycle_table, outage_windows, lifecycle_stream,
-    first_sightings_stream)}
+    closed_periods_stream, first_sightings_stream)}

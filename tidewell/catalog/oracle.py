@@ -463,6 +463,7 @@ def analysis() -> dict[str, str]:
               CASE WHEN low AND safe THEN '안전' WHEN safe THEN '환경,안전' ELSE '환경' END AS sec FROM g""",
         "lifecycle_table": f"WITH {sessions} {shown}",
         "lifecycle_stream": f"WITH {sessions} {shown} WHERE closes_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+        "closed_periods_stream": f"WITH {sessions} {shown} WHERE closes_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
         "outage_windows": """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS n_fetches, count_if(event_type = 'error')::BIGINT AS n_failed FROM events GROUP BY 1, 2""",
         "first_sightings_stream": "SELECT DISTINCT user_id, event_type FROM events",
     }
