@@ -11,7 +11,7 @@ from ..operators import dedup, groups, health, lookup, merge, rules as R, score,
 from ..operators.judge import join_sources, judge
 from ..plans.report import health_gate
 from ..session import scratch_path
-from ..sources import feeds, state
+from ..sources import feeds, snapshots, state
 from ..streaming import lifecycle, periods
 from .postings import (
     RULES, RUN_DATE, customer_registry, day, landed, line_batch, order_candidates, order_sources, order_state, part_postings, table,
@@ -292,6 +292,17 @@ def snapshot_merge(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "company", "title", "exp", "posted", "deadline", "link", "source", "first_seen", "last_seen", "status", "verify", "verified_at", "is_new")
 
 
+def snapshot_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs written to buckets, the older and the newer read back"""
+    store = snapshots.SnapshotStore(spark, scratch_path(spark, "snapshots"))
+    store.start(order_state(spark, sf), "2031-07-01")
+    failed = spark.createDataFrame([("1-URGENT",)], "source string")
+    snapshots.merge_run(store, line_batch(spark, sf, MERGE_DAY), MERGE_DAY, failed)
+    shown = ["id", "company", "exp", "deadline", "source", "first_seen", "last_seen", "status"]
+    older, newer = (store.read(n).select(F.lit(n).alias("run"), *shown) for n in (1, 2))
+    return older.unionByName(newer)
+
+
 def stale_close(spark: SparkSession, sf: str) -> DataFrame:
     """H10, H11"""
     failed = order_sources(spark, sf).filter("type = 'api'").select(F.col("name").alias("source"))
@@ -501,7 +512,7 @@ QUERIES = {f.__name__: f for f in (
     judged_orders, drop_reasons_by_source, source_health, health_thresholds, failure_list, run_totals, include_exclude_sections, section_counts,
     rule_confusion, feed_recall, longest_name_match, listed_names, alias_lookup, tier_cascade, compare_bands, fresh_profile_join, best_company,
     fuzzy_link, import_anti, designated_flag, total_reconcile, count_and_sum, first_batch_wins, feedback_latest, survivorship, budget_topn,
-    budget_per_source, outage_runs, view_order_topk, tab_counts, report_filter, token_sets, snapshot_merge, stale_close, canon_collapse, run_log,
+    budget_per_source, outage_runs, view_order_topk, tab_counts, report_filter, token_sets, snapshot_merge, snapshot_versions, stale_close, canon_collapse, run_log,
     redacted_copy, verified_rows, export_reasons, published_rows, wrong_tails, exact_dedup, near_dup_components, representative_view,
     sibling_bundle, member_parts, tfidf_terms, word_weights, weighted_scores, training_mix, relevance_score, model_gate, lifecycle_table, outage_windows, lifecycle_stream,
     closed_periods_stream, first_sightings_stream)}

@@ -220,6 +220,30 @@ def parsing() -> dict[str, str]:
 
 def analysis() -> dict[str, str]:
     run = "2031-07-15"
+    versioned = "id, company, exp, deadline, source, first_seen, last_seen, status"
+    merged = f"""
+        WITH {STATE}, b0 AS (
+          SELECT *, {iso(LD)} AS ship, l_discount > 0.08 AS fresh, l_tax > 0.07 AS closed, l_returnflag <> 'N' AS known,
+            'j-' || sha1('Part ' || l_partkey || '|안전담당')[1:16] AS hash FROM lineitem),
+        b1 AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN known THEN l_orderkey::VARCHAR ELSE hash END ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM b0),
+        b2 AS (SELECT b1.*, CASE WHEN known AND s.id IS NOT NULL THEN s.id ELSE hash END AS rid FROM b1 LEFT JOIN state s ON known AND s.o_orderkey = l_orderkey WHERE rn = 1),
+        b AS (SELECT *, 'Part ' || l_partkey AS bcompany, CASE WHEN known THEN 'https://www.saramin.co.kr/r?a=1&rec_idx=' || l_orderkey ELSE 'https://new.example/' || l_partkey END AS blink,
+            l_linenumber || '년 이상' AS bexp, CASE WHEN l_linenumber > 3 THEN ship END AS bdue,
+            CASE WHEN fresh AND l_linenumber > 5 THEN {iso(plus(LD, 30))} END AS vdue
+          FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn2 FROM b2) WHERE rn2 = 1),
+        x AS (SELECT s.*, b.* EXCLUDE (rn, rn2), s.id IS NOT NULL AS have, b.rid IS NOT NULL AS seen, coalesce(b.closed, FALSE) AS closing FROM state s FULL JOIN b ON s.id = b.rid),
+        y AS (SELECT *, have AND seen AND NOT closing AS touch, NOT have AND seen AS ins, coalesce(fresh, FALSE) AS vnow FROM x WHERE have OR NOT closing),
+        z AS (SELECT *, touch AND NOT (verified_at IS NOT NULL AND NOT vnow) AS refreshed FROM y),
+        m AS (SELECT coalesce(id, rid) AS id, CASE WHEN ins THEN bcompany ELSE company END AS company, CASE WHEN ins THEN '안전 담당' ELSE title END AS title,
+            CASE WHEN ins OR refreshed THEN bexp ELSE exp END AS exp, CASE WHEN ins OR refreshed THEN coalesce(posted, ship) ELSE posted END AS posted,
+            coalesce(CASE WHEN (touch OR ins) AND vnow THEN vdue END, CASE WHEN ins OR refreshed THEN coalesce(bdue, deadline) ELSE deadline END) AS deadline,
+            CASE WHEN ins OR refreshed THEN blink ELSE link END AS link, CASE WHEN touch OR ins THEN 'feed' ELSE source END AS source,
+            CASE WHEN ins THEN '{run}' ELSE first_seen END AS first_seen, CASE WHEN touch OR ins THEN '{run}' ELSE last_seen END AS last_seen,
+            CASE WHEN have AND closing THEN 'closed' WHEN ins OR (touch AND (NOT coalesce(starts_with(verify, '마감'), FALSE) OR vnow)) THEN 'open' ELSE status END AS status,
+            CASE WHEN have AND closing THEN CASE WHEN vnow THEN '원문 확인' END WHEN (touch OR ins) AND vnow THEN '원문 확인' ELSE verify END AS verify,
+            CASE WHEN have AND closing THEN CASE WHEN vnow THEN '{run}' ELSE verified_at END WHEN (touch OR ins) AND vnow THEN '{run}' ELSE verified_at END AS verified_at, NOT have AS is_new FROM z)
+        SELECT * REPLACE (CASE WHEN status = 'open' AND (last_seen < '2031-07-08' AND (source <> '1-URGENT' OR last_seen < '2031-06-15')
+            OR deadline <> '상시' AND coalesce(deadline < '{run}', FALSE)) THEN 'closed' ELSE status END AS status) FROM m"""
     tokens = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]+|[0-9]+'), lambda x: length(x) >= 2)))"
     cover = "len(list_filter({0}, lambda x: len(list_filter({1}, lambda y: starts_with(x, y) OR starts_with(y, x))) = 0)) = 0"
     part_rows = """
@@ -355,29 +379,9 @@ def analysis() -> dict[str, str]:
             WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, [lower(p_type), p_name[1:3], 'ring'] AS b FROM part)
             SELECT p_partkey, len(list_intersect(a, b)) > 0 AS overlap, {cover.format('a', 'b')} AS covered,
               array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), ' ') AS rest FROM p""",
-        "snapshot_merge": f"""
-            WITH {STATE}, b0 AS (
-              SELECT *, {iso(LD)} AS ship, l_discount > 0.08 AS fresh, l_tax > 0.07 AS closed, l_returnflag <> 'N' AS known,
-                'j-' || sha1('Part ' || l_partkey || '|안전담당')[1:16] AS hash FROM lineitem),
-            b1 AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN known THEN l_orderkey::VARCHAR ELSE hash END ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM b0),
-            b2 AS (SELECT b1.*, CASE WHEN known AND s.id IS NOT NULL THEN s.id ELSE hash END AS rid FROM b1 LEFT JOIN state s ON known AND s.o_orderkey = l_orderkey WHERE rn = 1),
-            b AS (SELECT *, 'Part ' || l_partkey AS bcompany, CASE WHEN known THEN 'https://www.saramin.co.kr/r?a=1&rec_idx=' || l_orderkey ELSE 'https://new.example/' || l_partkey END AS blink,
-                l_linenumber || '년 이상' AS bexp, CASE WHEN l_linenumber > 3 THEN ship END AS bdue,
-                CASE WHEN fresh AND l_linenumber > 5 THEN {iso(plus(LD, 30))} END AS vdue
-              FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn2 FROM b2) WHERE rn2 = 1),
-            x AS (SELECT s.*, b.* EXCLUDE (rn, rn2), s.id IS NOT NULL AS have, b.rid IS NOT NULL AS seen, coalesce(b.closed, FALSE) AS closing FROM state s FULL JOIN b ON s.id = b.rid),
-            y AS (SELECT *, have AND seen AND NOT closing AS touch, NOT have AND seen AS ins, coalesce(fresh, FALSE) AS vnow FROM x WHERE have OR NOT closing),
-            z AS (SELECT *, touch AND NOT (verified_at IS NOT NULL AND NOT vnow) AS refreshed FROM y),
-            m AS (SELECT coalesce(id, rid) AS id, CASE WHEN ins THEN bcompany ELSE company END AS company, CASE WHEN ins THEN '안전 담당' ELSE title END AS title,
-                CASE WHEN ins OR refreshed THEN bexp ELSE exp END AS exp, CASE WHEN ins OR refreshed THEN coalesce(posted, ship) ELSE posted END AS posted,
-                coalesce(CASE WHEN (touch OR ins) AND vnow THEN vdue END, CASE WHEN ins OR refreshed THEN coalesce(bdue, deadline) ELSE deadline END) AS deadline,
-                CASE WHEN ins OR refreshed THEN blink ELSE link END AS link, CASE WHEN touch OR ins THEN 'feed' ELSE source END AS source,
-                CASE WHEN ins THEN '{run}' ELSE first_seen END AS first_seen, CASE WHEN touch OR ins THEN '{run}' ELSE last_seen END AS last_seen,
-                CASE WHEN have AND closing THEN 'closed' WHEN ins OR (touch AND (NOT coalesce(starts_with(verify, '마감'), FALSE) OR vnow)) THEN 'open' ELSE status END AS status,
-                CASE WHEN have AND closing THEN CASE WHEN vnow THEN '원문 확인' END WHEN (touch OR ins) AND vnow THEN '원문 확인' ELSE verify END AS verify,
-                CASE WHEN have AND closing THEN CASE WHEN vnow THEN '{run}' ELSE verified_at END WHEN (touch OR ins) AND vnow THEN '{run}' ELSE verified_at END AS verified_at, NOT have AS is_new FROM z)
-            SELECT * REPLACE (CASE WHEN status = 'open' AND (last_seen < '2031-07-08' AND (source <> '1-URGENT' OR last_seen < '2031-06-15')
-                OR deadline <> '상시' AND coalesce(deadline < '{run}', FALSE)) THEN 'closed' ELSE status END AS status) FROM m""",
+        "snapshot_merge": merged,
+        "snapshot_versions": f"""
+            WITH {STATE} SELECT 1 AS run, {versioned} FROM state UNION ALL SELECT 2, {versioned} FROM ({merged})""",
         "stale_close": f"""
             WITH {STATE} SELECT id, CASE WHEN status = 'open' AND (last_seen < '2030-02-22' AND (source IN ('1-URGENT','5-LOW') OR last_seen < '2030-01-30')
               OR deadline <> '상시' AND deadline < '2030-03-01') THEN 'closed' ELSE status END AS status FROM state""",

@@ -84,9 +84,15 @@ def merge_snapshot(state: DataFrame, batch: DataFrame, run_date: str, failed_sou
     One full join of two id-unique tables.  ``failed_sources`` has a column
     ``source``; the legacy source always counts as failed.
     """
-    s_cols = STATE_SCHEMA.fieldNames()
     state = conform_state(state)
-    b_side = _batch_side(resolve_ids(batch, state, order))
+    return merge_resolved(state, resolve_ids(batch, state, order), run_date, failed_sources, stale_days, failed_days)
+
+
+def merge_resolved(state: DataFrame, resolved: DataFrame, run_date: str, failed_sources: DataFrame | list[str] | None = None, stale_days: int = 7,
+                   failed_days: int = 30) -> DataFrame:
+    """The same for a state of that schema and a batch whose ids are resolved; ``id`` of the state is used as it is."""
+    s_cols = STATE_SCHEMA.fieldNames()
+    b_side = _batch_side(resolved)
     s_side = state.select("id", F.struct(*[c for c in s_cols if c != "id"]).alias("s"))
     both = s_side.join(b_side, "id", "full")
     s, b = F.col("s"), F.col("b")
@@ -145,13 +151,15 @@ def merge_snapshot(state: DataFrame, batch: DataFrame, run_date: str, failed_sou
     return close_stale(merged, run_date, failed_sources, stale_days, failed_days)
 
 
-def close_stale(rows: DataFrame, run_date: str, failed_sources: DataFrame | None = None,
+def close_stale(rows: DataFrame, run_date: str, failed_sources: DataFrame | list[str] | None = None,
                 stale_days: int = 7, failed_days: int = 30) -> DataFrame:
     """Close unseen and overdue postings."""
     today = F.lit(run_date).cast("date")
     week_ago, month_ago = (F.date_format(F.date_sub(today, d), "yyyy-MM-dd") for d in (stale_days, failed_days))
     failed = F.coalesce(F.col("source") == fixed.LEGACY_SOURCE, F.lit(False))
-    if failed_sources is not None:
+    if isinstance(failed_sources, list):  # few names: no join
+        failed = failed | F.coalesce(F.col("source").isin(failed_sources), F.lit(False))
+    elif failed_sources is not None:
         flag = failed_sources.select("source").distinct().withColumn("_failed", F.lit(True))
         rows = rows.join(flag, "source", "left")
         failed = failed | F.coalesce("_failed", F.lit(False))
