@@ -7,8 +7,9 @@ enough is confirmed on the full shingle sets.
 
 A bucket is never expanded into all its pairs: its members are compared with
 one pivot first, the member that shares most buckets.  What the links found so
-far leave apart is compared again with a second pivot, and the pairs of a bucket that are still
-apart are then compared in blocks on their packed bits; no link is lost.
+far leave apart is compared again with a second pivot, and members of buckets that are still
+apart are then compared in blocks on their packed bits, those of buckets with the
+same largest part together; no link is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ SLACK = 0.2
 FINE, FINE_SLACK = 2048, 0.05
 """Minima of the second, longer signature that only candidates get, and its slack: more than five standard errors again."""
 BLOCK = 2048
+GROUP = 8 * BLOCK
+"""Members up to which the buckets of one largest part are compared as one group."""
+LEAST_BLOCKS, BLOCK_SHINGLES = 3, 4 << 20
+"""Blocks that classes are dealt to for the confirmation: three at least, and one for every 32 MB of sets."""
 PART = 1 << 19
 """Bytes of a text that are hashed at a time."""
 
@@ -198,25 +204,71 @@ def _pairs_with_pivot(members: DataFrame, weight: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= similarity * union."""
+    """Pairs whose full sets have 100 * intersection >= similarity * union.
+
+    The classes of the pairs are dealt to blocks; a cell of two blocks gets its
+    pairs and each set that one of them needs once, so what is shuffled grows
+    with classes times blocks and not with pairs.
+    """
     one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("_na"), F.col("bits").alias("_ba"))
     two = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("_nb"), F.col("bits").alias("_bb"))
     size_fits = 100 * F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb")
-    near = pairs.join(one, "a").join(two, "b").filter(size_fits & (estimate(F.col("_ba"), F.col("_bb")) >= similarity / 100 - SLACK))
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("_sb"))
-    both = near.select("a", "b", "_na", "_nb").join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    return cut_lineage(both.filter(100 * common >= similarity * (F.col("_na") + F.col("_nb") - common)).select("a", "b"))
+    near = cut_lineage(pairs.join(one, "a").join(two, "b").filter(
+        size_fits & (estimate(F.col("_ba"), F.col("_bb")) >= similarity / 100 - SLACK)).select("a", "b", "_na", "_nb"))
+    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("_na").alias("n")), F.struct(F.col("b").alias("cls"), F.col("_nb").alias("n")))).alias("_e"))
+    shingles = ends.select("_e.*").distinct().agg(F.sum("n")).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, -(-shingles // BLOCK_SHINGLES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = near.select("a", "b", F.least(block("a"), block("b")).alias("_i"), F.greatest(block("a"), block("b")).alias("_j"))
+    ends = cells.select(F.col("_i").alias("_k"), F.col("_j").alias("_l"), F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = ends.join(sets.select("cls", "shingles"), "cls")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.combine_chunks()
+        values, column = np.asarray(right.column("shingles").combine_chunks().flatten(), np.int64).view(np.uint64), right.column("shingles")
+        ends = np.cumsum(np.asarray(pc.list_value_length(column), np.int64))
+        held = {c: values[e - n:e] for c, e, n in zip(right.column("cls").to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist())}
+        out: tuple[list[int], list[int]] = ([], [])
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            small, large = sorted((held[a], held[b]), key=len)
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            common = int(np.count_nonzero(large[at] == small))
+            if 100 * common >= similarity * (len(small) + len(large) - common):
+                out[0].append(a)
+                out[1].append(b)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    found = cells.groupBy("_i", "_j").cogroup(needed.groupBy("_k", "_l")).applyInArrow(run, "a long, b long")
+    return cut_lineage(found)
+
+
+def _groups_apart(left: DataFrame) -> DataFrame:
+    """(group, cls, root): the members that buckets leave apart, brought together once.
+
+    Buckets whose largest part is the same are one group, as the members of a
+    group of near copies share many buckets; a group of too many members stays
+    in its single buckets.  ``left``: key, cls, root.
+    """
+    parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"))
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("_c", "root")).alias("_main"))
+    met = left.join(main, "key").select("key", "_main", "cls", "root")
+    sizes = met.select("_main", "cls").distinct().groupBy("_main").agg(F.count(F.lit(1)).alias("_g"))
+    group = F.when(F.col("_g") <= GROUP, F.col("_main")).otherwise(F.xxhash64("key", "_main"))
+    return cut_lineage(met.join(sizes, "_main").select(group.alias("group"), "cls", "root").distinct())
 
 
-def _apart_in_buckets(members: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of a bucket that have different roots and an estimate near the similarity; compared block by block."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("_m"))
+def _apart_in_groups(members: DataFrame, signatures: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of a group that have different roots and an estimate near the similarity; compared block by block.
+
+    ``members``: group, cls, root; ``signatures``: cls, n_shingles, bits, fine.  A
+    signature goes to the cells of its blocks, however many buckets it was in.
+    """
+    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("_m"))
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    spread = members.join(size, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = spread.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "cls", "root", "n_shingles", "bits", "bands", "fine")
+    spread = members.join(size, "group").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    narrow = spread.select("group", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "cls", "root")
+    cells = narrow.join(signatures, "cls")
 
     def near(bits: np.ndarray, i: int, rest: np.ndarray, number: int, slack: float) -> np.ndarray:
         d = bits[rest] ^ bits[i]
@@ -228,10 +280,9 @@ def _apart_in_buckets(members: DataFrame, similarity: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        words = {c: np.asarray(table.column(c).combine_chunks().flatten(), np.int64).reshape(len(table), -1) for c in ("bits", "fine", "bands")}
-        bits, fine, bands = words["bits"].view(np.uint64), words["fine"].view(np.uint64), words["bands"]
-        key, roots, n = table.column("key")[0].as_py(), np.asarray(table.column("root")), np.asarray(table.column("n_shingles"))
-        own = np.asarray(table.column("_own"))
+        words = {c: np.asarray(table.column(c).combine_chunks().flatten(), np.int64).reshape(len(table), -1) for c in ("bits", "fine")}
+        bits, fine = words["bits"].view(np.uint64), words["fine"].view(np.uint64)
+        roots, n, own = (np.asarray(table.column(c)) for c in ("root", "n_shingles", "_own"))
         left = np.flatnonzero(own == own[0])
         right = np.flatnonzero(own != own[0])  # empty for the members of one block among themselves
         a: list[int] = []
@@ -240,15 +291,14 @@ def _apart_in_buckets(members: DataFrame, similarity: int) -> DataFrame:
             rest = right if len(right) else left[p + 1:]
             rest = rest[(roots[rest] != roots[i]) & (100 * np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]))]
             rest = near(bits, i, rest, MINIMA, SLACK)
-            if len(rest):  # a pair is given by the first band it shares; a bucket of two is settled by its pivot
-                rest = rest[bands[i, (bands[rest] == bands[i]).argmax(axis=1)] == key]
+            if len(rest):
                 rest = near(fine, i, rest, FINE, FINE_SLACK)
                 a += [i] * len(rest)
                 b += rest.tolist()
         names = table.column("cls")
         return pa.table({"a": names.take(pa.array(a, pa.int64())), "b": names.take(pa.array(b, pa.int64()))})
 
-    pairs = cells.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long")
+    pairs = cells.groupBy("group", "_i", "_j").applyInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -284,7 +334,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, id_col: s
         if left.isEmpty():
             break
         if last:
-            pairs = _apart_in_buckets(left.join(classes.select("cls", "n_shingles", "bits", "bands"), "cls").join(sets.select("cls", "fine"), "cls"), similarity)
+            signatures = classes.select("cls", "n_shingles", "bits").join(sets.select("cls", "fine"), "cls")
+            pairs = _apart_in_groups(_groups_apart(left), signatures, similarity)
         else:  # heaviest member outside the largest part of the bucket
             parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("_c", "root")).alias("_main"))
