@@ -203,6 +203,21 @@ def _pairs_with_pivot(members: DataFrame, weight: str) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _similar(one: np.ndarray, two: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= similarity * union."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int(np.count_nonzero(large[at] == small))
+    return 100 * common >= similarity * (len(small) + len(large) - common)
+
+
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Views of a column of shingle arrays."""
+    values = np.asarray(column.combine_chunks().flatten(), np.int64).view(np.uint64)
+    stops = np.cumsum(np.asarray(pc.list_value_length(column), np.int64))
+    return [values[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= similarity * union.
 
@@ -224,16 +239,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity
     needed = ends.join(sets.select("cls", "shingles"), "cls")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        values, column = np.asarray(right.column("shingles").combine_chunks().flatten(), np.int64).view(np.uint64), right.column("shingles")
-        ends = np.cumsum(np.asarray(pc.list_value_length(column), np.int64))
-        held = {c: values[e - n:e] for c, e, n in zip(right.column("cls").to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist())}
+        held = dict(zip(right.column("cls").to_pylist(), _sets(right.column("shingles"))))
         out: tuple[list[int], list[int]] = ([], [])
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            small, large = sorted((held[a], held[b]), key=len)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int(np.count_nonzero(large[at] == small))
-            if 100 * common >= similarity * (len(small) + len(large) - common):
+            if _similar(held[a], held[b], similarity):
                 out[0].append(a)
                 out[1].append(b)
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
@@ -258,13 +267,16 @@ def _groups_apart(left: DataFrame) -> DataFrame:
 
 
 def _apart_in_groups(members: DataFrame, signatures: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of a group that have different roots and an estimate near the similarity; compared block by block.
+    """Links between members of a group that have different roots; compared and confirmed block by block.
 
-    ``members``: group, cls, root; ``signatures``: cls, n_shingles, bits, fine.  A
-    signature goes to the cells of its blocks, however many buckets it was in.
+    ``members``: group, cls, root; ``signatures``: cls, n_shingles, bits, fine,
+    shingles.  A class goes to the cells of its blocks, however many buckets it
+    was in, and a pair that proves not similar enough never leaves its cell: a
+    group of near copies has far more of those than links.
     """
-    size = members.groupBy("group").agg(F.count(F.lit(1)).alias("_m"))
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    weighed = members.join(signatures.select("cls", "n_shingles"), "cls")
+    size = weighed.groupBy("group").agg(F.count(F.lit(1)).alias("_m"), F.sum("n_shingles").alias("_s"))
+    blocks = F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_s") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     spread = members.join(size, "group").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     narrow = spread.select("group", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "cls", "root")
@@ -283,6 +295,7 @@ def _apart_in_groups(members: DataFrame, signatures: DataFrame, similarity: int)
         words = {c: np.asarray(table.column(c).combine_chunks().flatten(), np.int64).reshape(len(table), -1) for c in ("bits", "fine")}
         bits, fine = words["bits"].view(np.uint64), words["fine"].view(np.uint64)
         roots, n, own = (np.asarray(table.column(c)) for c in ("root", "n_shingles", "_own"))
+        sets = _sets(table.column("shingles"))
         left = np.flatnonzero(own == own[0])
         right = np.flatnonzero(own != own[0])  # empty for the members of one block among themselves
         a: list[int] = []
@@ -293,8 +306,9 @@ def _apart_in_groups(members: DataFrame, signatures: DataFrame, similarity: int)
             rest = near(bits, i, rest, MINIMA, SLACK)
             if len(rest):
                 rest = near(fine, i, rest, FINE, FINE_SLACK)
-                a += [i] * len(rest)
-                b += rest.tolist()
+                linked = [j for j in rest.tolist() if _similar(sets[i], sets[j], similarity)]
+                a += [i] * len(linked)
+                b += linked
         names = table.column("cls")
         return pa.table({"a": names.take(pa.array(a, pa.int64())), "b": names.take(pa.array(b, pa.int64()))})
 
@@ -334,8 +348,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, id_col: s
         if left.isEmpty():
             break
         if last:
-            signatures = classes.select("cls", "n_shingles", "bits").join(sets.select("cls", "fine"), "cls")
-            pairs = _apart_in_groups(_groups_apart(left), signatures, similarity)
+            signatures = classes.select("cls", "n_shingles", "bits").join(sets, "cls")
+            more = _apart_in_groups(_groups_apart(left), signatures, similarity)
         else:  # heaviest member outside the largest part of the bucket
             parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_c"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("_c", "root")).alias("_main"))
@@ -344,7 +358,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, id_col: s
             met = left.select("key", F.col("cls").alias("b"), F.col("root").alias("_rb")).join(second, "key")
             own = left.select("key", F.col("cls").alias("a"), F.col("root").alias("_ra"))
             pairs = met.join(own, ["key", "a"]).filter("_ra <> _rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _confirmed(pairs, classes, sets, similarity)
+            more = _confirmed(pairs, classes, sets, similarity)
         links = cut_lineage(links.unionByName(more).distinct())
     roots = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
     found = named.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
