@@ -39,6 +39,8 @@ GROUP = 8 * BLOCK
 """Members up to which the buckets of one largest part are compared as one group."""
 LEAST_BLOCKS, BLOCK_SHINGLES = 3, 4 << 20
 """Blocks that classes are dealt to for the confirmation: three at least, and one for every 32 MB of sets."""
+MOST_IDS = 1_000_000
+"""Ids of documents up to which they are broadcast to the texts."""
 PART = 1 << 19
 """Bytes of a text that are hashed at a time."""
 
@@ -179,7 +181,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
                     pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([packed(minima(s, FINE)) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles", "fine"])
 
-    found = rows.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text").mapInArrow(run, "cls long, shingles array<long>, fine array<long>")
+    ids = cut_lineage(wanted.select(F.col("doc_id").alias("_id")).distinct())
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)  # of a checked size; else whole texts are shuffled to find the few that are wanted
+    met = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    found = met.mapInArrow(run, "cls long, shingles array<long>, fine array<long>")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
