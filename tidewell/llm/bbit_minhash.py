@@ -37,8 +37,8 @@ FINE, FINE_SLACK = 2048, 0.05
 BLOCK = 2048
 GROUP = 8 * BLOCK
 """Members up to which the buckets of one largest part are compared as one group."""
-LEAST_BLOCKS, BLOCK_SHINGLES = 3, 4 << 20
-"""Blocks that classes are dealt to for the confirmation: three at least, and one for every 32 MB of sets."""
+LEAST_BLOCKS, BLOCK_SHINGLES = 3, 1 << 20
+"""Blocks that classes are dealt to for the confirmation: three at least, and one for every 8 MB of sets."""
 MOST_IDS = 1_000_000
 """Ids of documents up to which they are broadcast to the texts."""
 PART = 1 << 19

@@ -241,9 +241,12 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, salt l
 
 
 def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json",
-               capacity: int = 2048, end_id: int = 0) -> DataFrame:
+               capacity: int = 2048, end_id: int = 0, keep_words: bool = True) -> DataFrame:
     """Pieces of every document's ids: only longer ones are cut, and the first piece is the shorter one.
 
+    Without ``keep_words`` a worker gives its tables of words up after each task;
+    that costs time and leaves its memory to other work.
+
     ``salt`` numbers the pieces a task makes; with the task's number it is the same in every attempt.
     """
     rows = docs.select(F.col(id_col).cast("long"), text_or_empty(text_col))
@@ -267,12 +270,14 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (
                 pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        if not keep_words:
+            engine.forget()
 
     return rows.mapInArrow(run, PIECES)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json",
-                   capacity: int = 2048, group_pieces: int = 40_000) -> DataFrame:
+                   capacity: int = 2048, group_pieces: int = 40_000, keep_words: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     Pieces that fill a sequence are one of their own.  The others are dealt at random to
@@ -281,7 +286,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last, partly filled sequence.  A null or empty text is the end id alone;
     null and repeated ids are rows like others; other columns are not read.
     """
-    pieces = cut_lineage(cut_pieces(docs, id_col, text_col, tokenizer, capacity))
+    pieces = cut_lineage(cut_pieces(docs, id_col, text_col, tokenizer, capacity, keep_words=keep_words))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.filter(F.col("length") == capacity).select(
         *columns, (F.lit(1 << 62) + F.col("salt")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -97,6 +97,10 @@ class PieceEncoder:
         return (self._whole.normalizer is None and state.startswith("ByteLevel(") and "add_prefix_space=False" in state
                 and "use_regex=True" in state and not getattr(self._whole.model, "ignore_merges", False))
 
+    def forget(self) -> None:
+        """Give the tables up."""
+        self._words, self._pieces = (Recent(t._most) for t in (self._words, self._pieces))
+
     def encode(self, texts: list[str]) -> list:
         """One value per text: ids as little-endian unsigned 32-bit bytes, or their number with ``lengths_only``."""
         if not self._byte_level:
@@ -213,6 +217,9 @@ class SentencePieceEncoder:
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.vocabulary, self._lengths_only = self._model.vocab_size(), lengths_only
 
+    def forget(self) -> None:
+        """There are no tables."""
+
     def encode(self, texts: list[str]) -> list:
         found = self._model.encode(texts, num_threads=1)
         return [len(x) for x in found] if self._lengths_only else [np.array(x, dtype="<u4").tobytes() for x in found]
