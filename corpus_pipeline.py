@@ -37,7 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources holds it (not at all, once or twice)."""
+    """Each document as often as the mix of sources holds it (not at all, once or twice).
+
+    Null and empty texts have no words and are taken as often as their source is
+    complete; a null source is the last one; rows equal in all columns are alike.
+    """
     row = F.xxhash64(*docs.columns)
     mixed = mixing.mix(docs, extra=[row.alias("_row")])
     copies = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.max("copies").cast("int").alias("_copies"))
@@ -46,8 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    return bin_completion.pack_documents(docs)
+    """Pieces of the documents in sequences of 2048 tokens; null and empty texts are the end id alone, repeated rows are packed each."""
+    return bin_completion.pack_documents(docs, keep_words=False)
 
 
 STAGES = [("language_id", keep_languages), ("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("mixing", mix_sources),
