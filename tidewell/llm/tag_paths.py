@@ -24,7 +24,11 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from .batches import text_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"</?+([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_SPECIAL = re.compile(r"[>\"']")
+_NUMBER = re.compile(r"&#(?:[xX]0*+([0-9a-fA-F]{7,})|0*+([0-9]{8,}));?")
+"""References to numbers beyond all characters, of any length."""
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _STOPS = re.compile(r"[.,;:!?…。，、；：！？¿¡«»]")
@@ -58,37 +62,93 @@ _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 _WALLS = {"ul", "ol", "table", "div", "article", "section", "body", "main", "td", "th", "blockquote", "dl"}
 
 
+@dataclass
 class Block:
-    """A run of text between block boundaries: its path, the elements it stands in, and its pieces with the marked inline elements around each."""
-
-    __slots__ = ("path", "inside", "pieces", "text", "linked")
-
-    def __init__(self, path: str, inside: tuple[int, ...], pieces: list[tuple[str, tuple[int, ...]]], text: str, linked: int):
-        self.path, self.inside, self.pieces, self.text, self.linked = path, inside, pieces, text, linked
-
-    def text_without(self, dropped: set[int]) -> str:
-        if dropped.isdisjoint(n for _, marked in self.pieces for n in marked):
+    """A run of text between block boundaries: number of its path, the innermost element that is not inline, its pieces with the first one's number."""
+
+    path: int
+    element: int
+    first: int
+    pieces: list[str]
+    text: str
+    linked: int
+
+    def text_without(self, gone: np.ndarray) -> str:
+        out = gone[self.first:self.first + len(self.pieces)]
+        if not out.any():
             return self.text
-        return " ".join("".join(t for t, marked in self.pieces if dropped.isdisjoint(marked)).split())
+        return " ".join("".join(t for t, o in zip(self.pieces, out) if not o).split())
 
 
 @dataclass
 class Elements:
-    """Tag and parent of every element by its number; of the marked ones whether the mark is plain, and what alike ones share."""
+    """Elements in page order, by number: an element's own are the numbers up to its ``last``.
 
-    tags: dict[int, str] = field(default_factory=dict)
-    parents: dict[int, int] = field(default_factory=dict)
-    marks: dict[int, tuple[bool, tuple]] = field(default_factory=dict)
+    ``frames`` is the innermost element around one that is not inline, ``heads``
+    the outermost h1 at or around it.  Of the marked ones ``marks`` holds whether
+    the mark is plain and what alike ones share, ``spans`` the range of their pieces.
+    ``articles`` counts the article elements around each, ``plain`` is the innermost plain mark at or around it.
+    """
 
-    def around(self, element: int) -> set[int]:
-        """The element and all it stands in."""
-        found = set()
-        while element >= 0:
-            found.add(element)
-            element = self.parents[element]
+    tags: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)
+    frames: list[int] = field(default_factory=list)
+    paths: list[int] = field(default_factory=list)
+    heads: list[int] = field(default_factory=list)
+    articles: list[int] = field(default_factory=list)
+    plain: list[int] = field(default_factory=list)
+    marks: dict[int, tuple[bool, tuple]] = field(default_factory=dict)
+    spans: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    def shared(self, a: int, b: int) -> int:
+        """The innermost element, not inline, that holds both; -1 for the page."""
+        while a != b:
+            a, b = (self.frames[a], b) if a > b else (a, self.frames[b])
+        return a
+
+    def holds(self, outer: int, inner: int) -> bool:
+        return outer < 0 or outer <= inner <= self.last[outer]
+
+    def articles_beside(self) -> list[int]:
+        """Per element the articles that have no plain mark around them but those around the element itself, and do not hold it."""
+        own = [0] * (len(self.tags) + 1)  # by innermost plain mark, the page last
+        for e, tag in enumerate(self.tags):
+            if tag in ARTICLE:
+                own[self.plain[e]] += 1
+        seen = [0] * len(self.tags)  # with their innermost plain mark at or around the element
+        found = []
+        for e, parent in enumerate(self.parents):
+            around = seen[parent] if parent >= 0 else own[-1]
+            seen[e] = around + own[e]
+            found.append(around - self.articles[e])
         return found
 
 
+class Sums:
+    """Running sums of weights that are taken away one by one (a Fenwick tree)."""
+
+    def __init__(self, weights: list[float]):
+        self.tree = [0.0, *weights]
+        for i in range(1, len(self.tree)):
+            up = i + (i & -i)
+            if up < len(self.tree):
+                self.tree[up] += self.tree[i]
+
+    def before(self, i: int) -> float:
+        total = 0.0
+        while i:
+            total += self.tree[i]
+            i &= i - 1
+        return total
+
+    def take(self, i: int, weight: float) -> None:
+        i += 1
+        while i < len(self.tree):
+            self.tree[i] -= weight
+            i += i & -i
+
+
 def _marked(tag: str, attributes: str, in_article: bool) -> bool | None:
     """None without a mark; else whether it is plain: a tag or a whole name, not a part of a longer name."""
     if tag in OTHER_PARTS:
@@ -109,80 +169,185 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool | None:
     return mark
 
 
+class Markup:
+    """Ends of the tags and declarations of a page, whatever is left open in it, in time linear in the page.
+
+    A tag without an end is tried in full once; from then on every sign that was
+    seen on such a vain way is remembered, so no part is walked twice.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.careful = False
+        self.vain: set[int] = set()
+        self.near = (0, -1)  # no special sign lies between these two but the second
+        self.open_end = False  # no > from here on
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > that ends the attributes at ``at``; -1 without one."""
+        if not self.careful:
+            m = _REST.match(self.page, at)
+            if m:
+                return m.end()
+            self.careful = True
+        if self.near[0] <= at <= self.near[1]:
+            special = self.near[1]
+        else:
+            special = self._special(at)
+            self.near = (at, special)
+        way = []
+        while special < len(self.page) and special not in self.vain:
+            sign = self.page[special]
+            if sign == ">":
+                return special + 1
+            way.append(special)
+            close = self.page.find(sign, special + 1)
+            if close < 0:
+                break
+            special = self._special(close + 1)
+        self.vain.update(way)
+        return -1
+
+    def _special(self, at: int) -> int:
+        m = _SPECIAL.search(self.page, at)
+        return m.start() if m else len(self.page)
+
+    def declaration_end(self, at: int) -> int:
+        end = -1 if self.open_end else self.page.find(">", at)
+        self.open_end = end < 0
+        return end + 1 if end >= 0 else -1
+
+
+def _plain_text(raw: str) -> str:
+    """Character references decoded; numbers beyond all characters become the replacement character."""
+    return html.unescape(_NUMBER.sub("\ufffd", raw)) if "&" in raw else raw
+
+
 def blocks_of(page: str) -> tuple[list[Block], Elements]:
     """Text blocks in page order, and the elements of the page."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int]] = []  # tag, number
+    stack: list[int] = []
+    places: dict[str, list[int]] = {}  # tag -> where it stands in the stack
+    walls: list[int] = []
     elements = Elements()
-    pieces: list[tuple[str, tuple[int, ...]]] = []
-    linked = 0
-    at = 0
+    markup = Markup(page)
+    names: dict[tuple[int, str], int] = {}  # (path around, tag) -> path
+    pieces: list[str] = []
+    linked = flushed = 0  # flushed: pieces of earlier blocks
+
+    def frame() -> int:
+        if not stack:
+            return -1
+        return stack[-1] if elements.tags[stack[-1]] not in INLINE else elements.frames[stack[-1]]
 
     def flush() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, flushed
         if pieces:
-            text = " ".join("".join(t for t, _ in pieces).split())
+            text = " ".join("".join(pieces).split())
             if text:
-                frame = [s for s in stack if s[0] not in INLINE]
-                blocks.append(Block("/".join(s[0] for s in frame), tuple(s[1] for s in frame), pieces, text, linked))
+                inner = frame()
+                blocks.append(Block(elements.paths[inner] if inner >= 0 else 0, inner, flushed, pieces, text, linked))
+            flushed += len(pieces)
         pieces, linked = [], 0
 
     def shut(place: int) -> None:
-        del stack[place:]
+        while len(stack) > place:
+            number = stack.pop()
+            tag = elements.tags[number]
+            places[tag].pop()
+            if tag in _WALLS:
+                walls.pop()
+            elements.last[number] = len(elements.tags) - 1
+            if number in elements.marks:
+                elements.spans[number] = elements.spans[number][0], flushed + (len(pieces) if tag in INLINE else 0)
+
+    def say(raw: str) -> None:
+        nonlocal linked
+        if raw:
+            text = _plain_text(raw)
+            pieces.append(text)
+            if places.get("a"):
+                linked += len(text)
 
     size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            raw = page[at:end]
-            text = html.unescape(raw) if "&" in raw else raw
-            pieces.append((text, tuple(n for t, n in stack if t in INLINE and n in elements.marks)))
-            if any(s[0] == "a" for s in stack):
-                linked += len(text)
-        if not m:
+    at = start = 0  # start: where the text not yet taken begins
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            say(page[start:])
             break
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!", at) or page.startswith("<?", at):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = end + 3 if end >= 0 else size
+            else:
+                end = markup.declaration_end(at + 2)
+            if end < 0:
+                at += 1
+                continue
+            say(page[start:at])
+            at = start = end
             continue
-        tag = m[2].lower()
-        if m[1]:  # closing: up to the nearest open one, not beyond a cell or container
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None and not (tag in INLINE and any(s[0] in _WALLS for s in stack[place + 1:])):
+        name = _NAME.match(page, at)
+        end = markup.tag_end(name.end()) if name else -1
+        if end < 0:
+            at += 1
+            continue
+        say(page[start:at])
+        closing, tag, attributes = page[at + 1] == "/", name[1].lower(), page[name.end():end - 1]
+        at = start = end
+        if closing:  # up to the nearest open one, not beyond a cell or container
+            open_ones = places.get(tag)
+            if open_ones and not (tag in INLINE and walls and walls[-1] > open_ones[-1]):
                 if tag not in INLINE:
                     flush()
-                shut(place)
+                shut(open_ones[-1])
             continue
         if tag not in INLINE:
             flush()
-            if tag == "body" and stack and stack[-1][0] == "head":
+            if tag == "body" and stack and elements.tags[stack[-1]] == "head":
                 shut(len(stack) - 1)
             closes = _CLOSED_BY.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    shut(i)
-                    break
-                if stack[i][0] in _WALLS:
-                    break
-        if tag in VOID or m[3].endswith("/"):
+            nearest = max((places[c][-1] for c in closes if places.get(c)), default=-1)
+            if nearest >= 0 and not (walls and walls[-1] > nearest):
+                shut(nearest)
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            close = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+            at = start = close.end() if close else size
             continue
-        number, parent = len(elements.tags), stack[-1][1] if stack else -1
-        elements.tags[number], elements.parents[number] = tag, parent
-        plain = _marked(tag, m[3], any(s[0] in ARTICLE for s in stack))
-        if plain is not None:
-            elements.marks[number] = plain, (number,) if plain else (parent, tag, m[3])
-        stack.append((tag, number))
+        number, parent, outer = len(elements.tags), stack[-1] if stack else -1, frame()
+        in_article = bool(places.get("article") or places.get("main"))
+        mark = _marked(tag, attributes, in_article)
+        path = 0
+        if tag not in INLINE:
+            path = names.setdefault((elements.paths[outer] if outer >= 0 else 0, tag), len(names) + 1)
+        above = elements.heads[parent] if parent >= 0 else -1
+        elements.tags.append(tag)
+        elements.parents.append(parent)
+        elements.last.append(number)
+        elements.frames.append(outer)
+        elements.paths.append(path)
+        elements.heads.append(number if above < 0 and tag == "h1" else above)
+        elements.articles.append(elements.articles[parent] + (elements.tags[parent] in ARTICLE) if parent >= 0 else 0)
+        elements.plain.append(number if mark else elements.plain[parent] if parent >= 0 else -1)
+        if mark is not None:
+            elements.marks[number] = mark, (number,) if mark else (parent, tag, attributes)
+            begin = flushed + len(pieces)
+            elements.spans[number] = begin, begin
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _WALLS:
+            walls.append(len(stack))
+        stack.append(number)
     flush()
+    shut(0)
     return blocks, elements
 
 
 def fused_scores(blocks: list[Block], width: float = 1.0) -> np.ndarray:
     """Smoothed tag-path score of every block."""
-    number: dict[str, int] = {}
+    number: dict[int, int] = {}
     of = np.array([number.setdefault(b.path, len(number)) for b in blocks])
     length = np.array([len(b.text) - b.linked for b in blocks], float)
     stops = np.array([len(_STOPS.findall(b.text)) for b in blocks], float)
@@ -196,45 +361,52 @@ def fused_scores(blocks: list[Block], width: float = 1.0) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def marked_parts(blocks: list[Block], elements: Elements, score: np.ndarray, bar: float) -> set[int]:
-    """Marked elements to leave out: those below ``bar``, and those that hold at most half of the score (by length of unlinked text) of what is left.
+def marked_pieces(blocks: list[Block], elements: Elements, score: np.ndarray, bar: float) -> np.ndarray:
+    """Pieces to leave out: those in marked elements below ``bar``, or that hold at most half of the score (by length of unlinked text) of what is left.
 
     Inner ones come first, so a wrapper is judged by what stays in it; loosely
     marked ones come last, and alike ones of one parent count as one.  A plain
     mark also goes by where an article element stands beside it.
     """
-    under: dict[tuple, list[int]] = {}  # what alike ones share -> the pieces in them
-    weight: list[float] = []
-    high: list[bool] = []
+    pieces = blocks[-1].first + len(blocks[-1].pieces)
+    weight, high = [0.0] * pieces, [0] * pieces
     for b, s in zip(blocks, score):
-        outer = [e for e in b.inside if e in elements.marks]
-        each = s * max(len(b.text) - b.linked, 0) / max(sum(len(t) for t, _ in b.pieces), 1)
-        for text, inline in b.pieces:
-            for key in {elements.marks[e][1] for e in (*outer, *inline)}:
-                under.setdefault(key, []).append(len(weight))
-            weight.append(each * len(text))
-            high.append(s >= bar)
+        each = s * max(len(b.text) - b.linked, 0) / max(sum(map(len, b.pieces)), 1)
+        for i, text in enumerate(b.pieces, b.first):
+            weight[i], high[i] = each * len(text), int(s >= bar)
     alike: dict[tuple, list[int]] = {}
     for e, (_, key) in elements.marks.items():
-        if key in under:
+        if elements.spans[e][0] < min(elements.spans[e][1], pieces):
             alike.setdefault(key, []).append(e)
-    articles = [elements.around(e) for e, tag in elements.tags.items() if tag in ARTICLE] if alike else []
-    dropped: set[int] = set()
-    gone = np.zeros(len(weight), bool)
-    left = np.array(weight)
-    for key, members in sorted(alike.items(), key=lambda kv: (not elements.marks[kv[1][0]][0], -max(kv[1]))):
-        own = [i for i in under[key] if not gone[i]]
-        held = left[own].sum()
-        if any(high[i] for i in own) and held > 0.5 * left.sum():
-            around = elements.around(members[0])
-            plain = elements.marks[members[0]][0]
-            if not (plain and any(members[0] not in a and max(a) not in around
-                                  and all(e in around or not elements.marks.get(e, (False,))[0] for e in a) for a in articles)):
+    gone = np.zeros(pieces, bool)
+    if not alike:
+        return gone
+    beside = elements.articles_beside()
+    left, highs, total = Sums(weight), Sums(high), sum(weight)
+    following = list(range(pieces + 1))  # the next piece still there
+
+    def standing(i: int) -> int:
+        while following[i] != i:
+            following[i] = following[following[i]]
+            i = following[i]
+        return i
+
+    for members in sorted(alike.values(), key=lambda m: (not elements.marks[m[0]][0], -m[-1])):
+        spans = [(elements.spans[e][0], min(elements.spans[e][1], pieces)) for e in members]
+        some_high = sum(highs.before(b) - highs.before(a) for a, b in spans) > 0.5
+        if some_high and sum(left.before(b) - left.before(a) for a, b in spans) > 0.5 * total * (1 + 1e-9):  # half is no more than half, however it is rounded
+            if not (elements.marks[members[0]][0] and beside[members[0]] > 0):
                 continue
-        dropped.update(members)
-        gone[own] = True
-        left[own] = 0
-    return dropped
+        for a, b in spans:
+            i = standing(a)
+            while i < b:
+                gone[i] = True
+                left.take(i, weight[i])
+                highs.take(i, high[i])
+                total -= weight[i]
+                following[i] = i + 1
+                i = standing(i)
+    return gone
 
 
 def main_text(page: str, width: float = 1.0) -> str:
@@ -244,21 +416,20 @@ def main_text(page: str, width: float = 1.0) -> str:
         return ""
     score = fused_scores(blocks, width)
     bar = min(score.std(), score.max())
-    dropped = marked_parts(blocks, elements, score, bar)
-    kept = [(b, s, b.text_without(dropped)) for b, s in zip(blocks, score) if dropped.isdisjoint(b.inside)]
+    gone = marked_pieces(blocks, elements, score, bar)
+    kept = [(b, s, b.text_without(gone)) for b, s in zip(blocks, score)]
     kept = [k for k in kept if k[2]]
     if not kept:
         return ""
     bar = min(bar, max(s for _, s, _ in kept))
-    chosen = [b.inside for b, s, _ in kept if s >= bar]
-    first, last = min(chosen), max(chosen)  # what these two share all share
-    shared = [e for e, other in zip(first, last) if e == other]
-    while shared and elements.tags[shared[-1]] in NO_CONTAINER:
-        shared.pop()
-    held = [not shared or shared[-1] in b.inside for b, _, _ in kept]
-    heads = [next((e for e in b.inside if elements.tags[e] == "h1"), None) for b, _, _ in kept]
-    if not any(on and h is not None for on, h in zip(held, heads)):  # the headline may stand before the article's element
-        before = [h for h in heads[:held.index(True)] if h is not None]
+    chosen = [b.element for b, s, _ in kept if s >= bar]
+    shared = elements.shared(min(chosen), max(chosen))  # what the first and the last share all share
+    while shared >= 0 and elements.tags[shared] in NO_CONTAINER:
+        shared = elements.frames[shared]
+    held = [elements.holds(shared, b.element) for b, _, _ in kept]
+    heads = [elements.heads[b.element] if b.element >= 0 else -1 for b, _, _ in kept]
+    if not any(on and h >= 0 for on, h in zip(held, heads)):  # the headline may stand before the article's element
+        before = [h for h in heads[:held.index(True)] if h >= 0]
         held = [on or bool(before) and h == before[-1] for on, h in zip(held, heads)]
     return " ".join(text for (_, _, text), on in zip(kept, held) if on)
 
