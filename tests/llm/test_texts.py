@@ -1,13 +1,18 @@
 """Page text, languages and toxicity: brute-force versions and held-out accuracy."""
 
 import html
+import math
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import language_id, tag_paths, toxic_segments
+from tidewell.llm.batches import text_batches
 from tidewell.llm.queries import op4_tag_paths, op6_language_id, op10_toxic_segments
 
 SF = "/root/testdata/sf0.01"
@@ -158,3 +163,56 @@ def test_signs_beyond_ascii_part_words():
         assert toxic_segments.words_of(text) == plain
     model = toxic_segments.ToxicModel({"dreck": (3.0, 9.0)})
     assert model.token_scores(toxic_segments.words_of("«¡Dreck!»\u00a0ist"), {}).tolist() == model.token_scores([b"dreck", b"ist"], {}).tolist()
+
+
+def test_broken_pages_take_linear_time():
+    size = 1_000_000
+    pages = {"<p ": "<p " * (size // 3), "<a": "<a href=\"" * (size // 9), "quotes": "<a '\"<b \"'" * (size // 11), "deep": "<div>x" * (size // 6),
+             "marks": "<div class=ad>x" * (size // 15), "inline": "<b class=ad>x" * (size // 13), "articles": "<article><nav>x." * (size // 16),
+             "ends": "<b><div>" + "<span>" * (size // 10) + "</b>x" * (size // 10), "bang": "<! " * (size // 3), "raw": "</style " * (size // 8) + "<style>"}
+    for name, page in pages.items():
+        began = time.process_time()
+        tag_paths.main_text(page)
+        assert time.process_time() - began < 20, name
+    assert tag_paths.main_text("<p>a &#" + "9" * 6000 + "; b &#0000065;") == "a \ufffd b A"
+
+
+def test_path_scores_by_a_plain_count():
+    page = "<div><p>One, two. Three!</p><p>Four.</p><ul><li><a href=x>Five</a> six</li></ul><p>Seven, eight.</p></div><p>Nine</p>"
+    blocks, elements = tag_paths.blocks_of(page)
+
+    def path(e):
+        return () if e < 0 else (*path(elements.frames[e]), elements.tags[e])
+
+    assert [path(b.element) for b in blocks] == [("div", "p"), ("div", "p"), ("div", "ul", "li"), ("div", "p"), ("p",)]
+    raw = []
+    for b in blocks:
+        alike = [o for o in blocks if path(o.element) == path(b.element)]
+        text = sum(len(o.text) - o.linked for o in alike) / len(alike)
+        stops = sum(sum(o.text.count(c) for c in ".,!") for o in alike) / len(alike)
+        raw.append((text * (1 + stops)) ** 0.5)
+    plain = []
+    for i in range(len(raw)):
+        near = [(math.exp(-d * d / 2), raw[min(max(i + d, 0), len(raw) - 1)]) for d in range(-3, 4)]
+        plain.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    assert tag_paths.fused_scores(blocks) == pytest.approx(plain)
+
+
+def test_language_features_by_a_plain_count():
+    texts = ["Ein Satz!", "", "äö 12", "a", "Une phrase, ici", "a"]
+    got = language_id.features(texts)
+    for text, row in zip(texts, got):
+        data = b" " + b" ".join(text.lower().encode().translate(language_id._PLAIN).split()) + b" "
+        counts = [0] * language_id.SLOTS
+        padded = data + b"  "
+        for i in range(len(data)):
+            for a, b, c in language_id._WEIGHTS:
+                mixed = padded[i] * a ^ ((padded[i + 1] + 1) * b if b else 0) ^ ((padded[i + 2] + 1) * c if c else 0)
+                mixed &= 0xFFFFFFFF
+                mixed = (mixed ^ mixed >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                counts[mixed >> 21] += 1
+        total = sum(counts)
+        plain = [(n / total) ** 0.5 if len(data) > 2 else 0.0 for n in counts]
+        assert row == pytest.approx(plain), text
+    assert language_id.features(texts[3:4])[0] == pytest.approx(got[5])  # neighbours in a batch do not matter
+    assert [len(b) for b in text_batches(pa.array(["a b"] * 1200), 1 << 19, language_id.BATCH_ROWS)] == [512, 512, 176]

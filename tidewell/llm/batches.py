@@ -40,11 +40,13 @@ def by_bytes(sizes: list[int] | np.ndarray, most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def text_batches(texts: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts of an Arrow column as lists of about ``most`` bytes, in order."""
+def text_batches(texts: pa.Array, most: int = 1 << 20, most_rows: int | None = None) -> Iterator[list[str]]:
+    """The texts of an Arrow column as lists of about ``most`` bytes, and of ``most_rows`` texts at most, in order."""
     sizes = np.asarray(pc.binary_length(texts).fill_null(0)) if len(texts) else []
     for part in by_bytes(sizes, most):
-        yield [t or "" for t in texts.slice(part.start, part.stop - part.start).to_pylist()]
+        step = most_rows or max(part.stop - part.start, 1)
+        for start in range(part.start, part.stop, step):
+            yield [t or "" for t in texts.slice(start, min(step, part.stop - start)).to_pylist()]
 
 
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -22,6 +22,8 @@ from .batches import fold, held_out, text_batches, text_or_empty
 
 UNDETERMINED = "und"
 SLOTS = 2048
+BATCH_ROWS = 512
+"""Texts whose features are held at once, however short they are: 8 MB of them."""
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTER = r"[a-zA-Z]|[^\x00-\x7f]"
 """What is left of a text as features: the letters of ``_PLAIN`` before lower-casing."""
@@ -39,9 +41,13 @@ def features(texts: list[str]) -> np.ndarray:
     letters is a row of zeros.
     """
     raw = [b" " + b" ".join(t.lower().encode("utf-8").translate(_PLAIN).split()) + b" " for t in texts]
-    data = np.frombuffer(b"".join(raw) + b"  ", np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(raw), dtype=np.int64) * SLOTS, [len(r) for r in raw])
-    n = len(owner)
+    data = np.frombuffer(b"".join(r + b"  " for r in raw), np.uint8).astype(np.uint32)  # two blanks of its own end every text
+    sizes = np.array([len(r) for r in raw], np.int64)
+    owner = np.repeat(np.arange(len(raw), dtype=np.int64) * SLOTS, sizes)
+    n = max(len(data) - 2, 0)
+    own = np.ones(n, bool)
+    ends = (np.cumsum(sizes + 2) - 2)[:-1]
+    own[ends] = own[ends + 1] = False
     counts = np.zeros(len(raw) * SLOTS)
     for a, b, c in _WEIGHTS:
         mixed = data[:n] * np.uint32(a)
@@ -51,7 +57,7 @@ def features(texts: list[str]) -> np.ndarray:
             mixed ^= (data[2:n + 2] + np.uint32(1)) * np.uint32(c)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x2C1B3C6D)
-        counts += np.bincount(owner + (mixed >> np.uint32(21)), minlength=len(counts))
+        counts += np.bincount(owner + (mixed[own] >> np.uint32(21)), minlength=len(counts))
     rows = np.sqrt(counts.reshape(len(raw), SLOTS))
     rows[[len(r) <= 2 for r in raw]] = 0
     norm = np.sqrt((rows ** 2).sum(axis=1, keepdims=True))
@@ -172,7 +178,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = iter(batch.column(0).to_pylist())
-            for texts in text_batches(batch.column(1), 1 << 19):
+            for texts in text_batches(batch.column(1), 1 << 19, BATCH_ROWS):
                 own_langs = [next(langs) for _ in texts]
                 x = features(texts)
                 keep = [i for i in range(len(x)) if x[i].any()]
@@ -206,7 +212,7 @@ def language(text: Column, model: LanguageModel, batch_bytes: int = 1 << 19) ->
         for column in columns:
             langs: list[str] = []
             scores: list[float] = []
-            for texts in text_batches(column, batch_bytes):
+            for texts in text_batches(column, batch_bytes, BATCH_ROWS):
                 found, sure = model.predict(texts)
                 langs += found
                 scores += sure.tolist()
