@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions.dates import same_month
+from tidewell.functions.orgs import normalize_org
 from tidewell.functions.text import longest_name, title_key
 from tidewell.operators import lookup
 
@@ -26,6 +27,45 @@ def test_linkage_loses_no_partner(spark, accept, bonus):
         lookup.link_records(left, right, ["org"], "t1", "t2", "lid", "rid", 0.4)
 
 
+def _agree(a, b):
+    return bool(a and b and (a in b or b in a))
+
+
+@pytest.mark.parametrize("accept,bonus,malus", [(0.95, 0.35, -0.5), (0.85, 0.3, 0.0), (0.9, 0.05, -0.05)])
+def test_linkage_by_company_evidence_equals_all_pairs(spark, accept, bonus, malus):
+    rnd = random.Random(8)
+    words = ["환경안전", "담당", "채용", "공고", "7월", "8월", "울산", "경력", "EHS", "[급]", "품질"]
+    firms = ["한빛", "(주)한빛", "한빛전자", "대솔", "솔", "", None, "㈜대솔 소재", "Nuri", "nuri, chem"]
+    make = lambda tag, n: [(f"{tag}{i:03}", rnd.choice(firms), rnd.choice([None, *[" ".join(rnd.choices(words, k=rnd.randint(0, 5))) for _ in range(9)]])) for i in range(n)]
+    left = spark.createDataFrame([*make("l", 90), ("l000", "한빛", "채용")], "lid string, c1 string, t1 string")
+    right = spark.createDataFrame(make("r", 90), "rid string, c2 string, t2 string")
+    score = lookup.similarity(title_key("t1"), title_key("t2"))
+    pairs = left.crossJoin(right).filter(same_month("t1", "t2")).select(
+        "lid", "t1", "c1", "rid", normalize_org("c1", "detail").alias("a"), normalize_org("c2", "detail").alias("b"), score.alias("s")).collect()
+    want = {}
+    for r in pairs:
+        total = round(r["s"] + (bonus if _agree(r["a"], r["b"]) else malus), 6)
+        if total >= accept:
+            row = (r["lid"], r["c1"], r["t1"])
+            want[row] = min(want.get(row, (0, "")), (-total, r["rid"]))
+    out = lookup.link_by_evidence(left, right, "t1", "t2", "c1", "c2", "rid", accept, bonus, malus)
+    assert out.columns == ["lid", "c1", "t1", "rid_match", "score"]
+    got = out.collect()
+    assert len(got) == 91 and {(r["lid"], r["c1"], r["t1"]): (-r["score"], r["rid_match"]) for r in got if r["rid_match"]} == want
+    assert lookup.link_by_evidence(left, right.limit(0), "t1", "t2", "c1", "c2", "rid").filter("rid_match is null").count() == 91
+    with pytest.raises(ValueError):
+        lookup.link_by_evidence(left, right, "t1", "t2", "c1", "c2", "rid", 0.8, 0.35)
+
+
+def test_names_inside_names(spark):
+    rnd = random.Random(4)
+    draw = lambda n: sorted({"".join(rnd.choices("ab한", k=rnd.randint(1, 7))) for _ in range(n)})
+    outer, inner = [*draw(60), "ab한" * 400], draw(40)
+    got = lookup.contained_names(spark.createDataFrame([(n,) for n in [*outer, "", None]], "name string"),
+                                 spark.createDataFrame([(n,) for n in [*inner, *inner, "", None]], "name string"))
+    assert sorted(map(tuple, got.collect())) == sorted((o, i) for o in outer for i in inner if i in o)
+
+
 @pytest.mark.parametrize("boundary", [True, False])
 def test_mentions_of_a_table_equal_mentions_of_a_list(spark, boundary):
     names = ["HB", "한빛전자", "한빛전자소재", "3Q", "한빛", "ab", "b", "전자소"]

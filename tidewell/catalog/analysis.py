@@ -177,7 +177,7 @@ def best_company(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fuzzy_link(spark: SparkSession, sf: str) -> DataFrame:
-    """D10, D11, J22"""
+    """D11, J22"""
     p = table(spark, sf, "part")
     month = F.concat(F.pmod("p_size", F.lit(12)).cast("string"), F.lit("월"))
     left = p.filter("p_size <= 25").select("p_partkey", "p_brand", F.concat("p_name", F.lit(" "), month).alias("t1"))
@@ -186,6 +186,19 @@ def fuzzy_link(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_partkey", "other_match", F.round("score", 4).alias("score"))
 
 
+def evidence_link(spark: SparkSession, sf: str) -> DataFrame:
+    """D10, J22, J9 (detail): company agreement as a term of the score; strict: partners of agreeing companies only, loose: of others too"""
+    p = table(spark, sf, "part")
+    month = F.concat(F.pmod("p_size", F.lit(12)).cast("string"), F.lit("월"))
+    left = p.filter("p_size <= 25").select("p_partkey", F.concat("p_name", F.lit(" "), month).alias("t1"), F.when(F.pmod("p_partkey", F.lit(7)) > 0, F.concat(F.lit("(주) "), "p_brand")).alias("c1"))
+    late = F.col("p_size") > 40
+    right = p.filter("p_size > 25").select(F.col("p_partkey").alias("other"), F.when(late, F.concat("p_name", F.lit("s "), month)).otherwise(F.concat("p_name", F.lit("s"))).alias("t2"),
+                                           F.when(late, F.concat("p_brand", F.lit(" Works Co., Ltd."))).otherwise(F.substring("p_brand", 1, 7)).alias("c2"))
+    out = [lookup.link_by_evidence(left, right, "t1", "t2", "c1", "c2", "other", accept, 0.35, malus).select(
+        F.lit(kind).alias("kind"), "p_partkey", "other_match", F.round("score", 4).alias("score")) for kind, accept, malus in (("strict", 0.95, -0.5), ("loose", 0.9, 0.0))]
+    return out[0].unionByName(out[1])
+
+
 def import_anti(spark: SparkSession, sf: str) -> DataFrame:
     """D12"""
     p = table(spark, sf, "part")
@@ -511,7 +524,7 @@ def first_sightings_stream(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     judged_orders, drop_reasons_by_source, source_health, health_thresholds, failure_list, run_totals, include_exclude_sections, section_counts,
     rule_confusion, feed_recall, longest_name_match, listed_names, alias_lookup, tier_cascade, compare_bands, fresh_profile_join, best_company,
-    fuzzy_link, import_anti, designated_flag, total_reconcile, count_and_sum, first_batch_wins, feedback_latest, survivorship, budget_topn,
+    fuzzy_link, evidence_link, import_anti, designated_flag, total_reconcile, count_and_sum, first_batch_wins, feedback_latest, survivorship, budget_topn,
     budget_per_source, outage_runs, view_order_topk, tab_counts, report_filter, token_sets, snapshot_merge, snapshot_versions, stale_close, canon_collapse, run_log,
     redacted_copy, verified_rows, export_reasons, published_rows, wrong_tails, exact_dedup, near_dup_components, representative_view,
     sibling_bundle, member_parts, tfidf_terms, word_weights, weighted_scores, training_mix, relevance_score, model_gate, lifecycle_table, outage_windows, lifecycle_stream,

@@ -340,6 +340,17 @@ def analysis() -> dict[str, str]:
             s AS (SELECT l.p_brand, n, m, other, round(1 - levenshtein(ka, kb) / greatest(length(ka), length(kb)), 6) AS score FROM l JOIN r1 USING (p_brand) WHERE mb IS NULL OR mb = m),
             b AS (SELECT *, row_number() OVER (PARTITION BY p_brand, n, m ORDER BY score DESC, other) AS rn FROM s WHERE score >= 0.7)
             SELECT p_partkey, other AS other_match, round(score, 4) AS score FROM p LEFT JOIN b ON p.p_brand = b.p_brand AND p.n = b.n AND p.m = b.m AND rn = 1 WHERE p_size <= 25""",
+        "evidence_link": """
+            WITH p AS (SELECT *, p_size % 12 AS m, replace(p_name, ' ', '') AS n, lower(p_brand) AS org FROM part),
+            l AS (SELECT p_partkey, m, n || m || 'M' AS ka, CASE WHEN p_partkey % 7 > 0 THEN org ELSE '' END AS ca FROM p WHERE p_size <= 25),
+            r AS (SELECT p_partkey AS other, CASE WHEN p_size > 40 THEN m END AS mb, CASE WHEN p_size > 40 THEN n || 's' || m || 'M' ELSE n || 's' END AS kb,
+              CASE WHEN p_size > 40 THEN replace(org, ' ', '') || 'works' ELSE left(org, 7) END AS cb FROM p WHERE p_size > 25),
+            s AS (SELECT p_partkey, other, 1 - levenshtein(lower(ka), lower(kb)) / greatest(length(ka), length(kb)) AS sim,
+              ca <> '' AND (contains(cb, ca) OR contains(ca, cb)) AS agree FROM l JOIN r ON mb IS NULL OR mb = m),
+            k AS (SELECT * FROM (VALUES ('strict', 0.95, -0.5), ('loose', 0.9, 0.0)) AS v(kind, accept, malus)),
+            c AS (SELECT kind, p_partkey, other, round(sim + CASE WHEN agree THEN 0.35 ELSE malus::DOUBLE END, 6) AS score FROM s, k WHERE round(sim + CASE WHEN agree THEN 0.35 ELSE malus::DOUBLE END, 6) >= accept),
+            b AS (SELECT *, row_number() OVER (PARTITION BY kind, p_partkey ORDER BY score DESC, other) AS rn FROM c)
+            SELECT k.kind, l.p_partkey, other AS other_match, round(score, 4) AS score FROM l CROSS JOIN k LEFT JOIN b ON b.kind = k.kind AND b.p_partkey = l.p_partkey AND rn = 1""",
         "import_anti": """
             WITH d AS (SELECT p_partkey, p_brand, lower(p_brand) AS org, p_name || ' ' || p_type AS title, replace(lower(p_name || p_type), ' ', '') AS k, p_size > 35 AS known FROM part)
             SELECT 'p' || p_partkey AS id, p_brand AS company, title FROM d WHERE NOT known AND p_partkey NOT IN (SELECT p_partkey + 7 FROM d WHERE known)

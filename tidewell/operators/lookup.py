@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import same_month
 from ..functions.links import canon_key
 from ..functions.orgs import normalize_org
-from ..functions.text import import_title_key, text_or_blank, title_key
+from ..functions.text import import_title_key, record, text_or_blank, title_key
 from ..session import cut_lineage
 from .automaton import with_longest_name
 from .groups import first_by
@@ -154,16 +154,17 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _segments(k: Column, tau: float) -> Column:
-    """A title key cut into one part more than the edits its partners may need."""
+    """A title key cut into one part more than the edits its partners may need: array of (text, start)."""
     n = F.length(k)
     parts = F.floor(n * (1 - tau) / tau + 1e-9).cast("int") + 1
-    cuts = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(
-        k, (F.floor(i * n / parts) + 1).cast("int"), (F.floor((i + 1) * n / parts) - F.floor(i * n / parts)).cast("int")))
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(cuts))
+    cuts = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: record(
+        text=F.substring(k, (F.floor(i * n / parts) + 1).cast("int"), (F.floor((i + 1) * n / parts) - F.floor(i * n / parts)).cast("int")),
+        start=(F.floor(i * n / parts) + 1).cast("int")))
+    return F.when(n == 0, F.array(record(text=F.lit(""), start=F.lit(1)))).otherwise(cuts)
 
 
 def _pieces(k: Column, tau: float) -> Column:
-    """Substrings of a title key as long as the segments of any partner."""
+    """Substrings of a title key as long as the segments of any partner: array of (text, start)."""
     n = F.length(k)
     partner = F.sequence(F.ceil(n * tau - 1e-9).cast("int"), F.floor(n / tau + 1e-9).cast("int"))
 
@@ -172,23 +173,43 @@ def _pieces(k: Column, tau: float) -> Column:
         return F.array(F.floor(m / parts).cast("int"), F.ceil(m / parts).cast("int"))
 
     def windows(w: Column) -> Column:
-        return F.when((w >= 1) & (w <= n), F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substring(k, i, w)))
+        return F.when((w >= 1) & (w <= n), F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: record(text=F.substring(k, i, w), start=i)))
 
     widths = F.array_distinct(F.flatten(F.transform(partner, spans)))
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(
-        F.array_distinct(F.flatten(F.array_compact(F.transform(widths, windows)))))
+    return F.when(n == 0, F.array(record(text=F.lit(""), start=F.lit(1)))).otherwise(
+        F.flatten(F.array_compact(F.transform(widths, windows))))
+
+
+def _best_titles(a: DataFrame, b: DataFrame, keys: list[str], tau: float, accept: float, extra: Column) -> DataFrame:
+    """(keys, _ta, _idb, score): the best of ``b`` (_tb, _kb, _idb) for every title of ``a`` (_ta, _ka) among equal keys.
+
+    If two keys differ by at most k edits and one is cut into k + 1 segments,
+    some segment survives whole in the other, at most k signs away from where it
+    was: an equality of keys and segment, not all pairs of equal keys, and it
+    loses nothing.  A segment common to many titles pairs only those whose
+    lengths and places agree.
+    """
+    x = a.select("*", F.explode(_pieces(F.col("_ka"), tau)).alias("_pa")).select(*keys, "_ta", "_ka", F.col("_pa.text").alias("_s"), F.col("_pa.start").alias("_sa"))
+    y = b.select("*", F.explode(_segments(F.col("_kb"), tau)).alias("_pb")).select(
+        *[F.col(c).alias(f"{c}_b") for c in keys], "_tb", "_kb", "_idb", F.col("_pb.text").alias("_sb"), F.col("_pb.start").alias("_sbat"))
+    la, lb = F.length("_ka"), F.length("_kb")
+    meet = F.col("_s") == F.col("_sb")
+    for c in keys:
+        meet = meet & (F.col(c) == F.col(f"{c}_b"))
+    long_enough = F.least(la, lb) >= F.greatest(la, lb) * tau - 1e-9
+    near = x.join(y, meet & long_enough & (F.abs(F.col("_sa") - F.col("_sbat")) <= F.floor(F.greatest(la, lb) * (1 - tau) + 1e-9)))
+    scored = near.withColumn("score", F.round(similarity(F.col("_ka"), F.col("_kb")) + extra, 6)).filter(F.col("score") >= accept).filter(same_month("_ta", "_tb"))
+    return first_by(scored.select(*keys, "_ta", "_idb", "score"), [*keys, "_ta"], F.struct(-F.col("score"), F.col("_idb")))
 
 
 def link_records(left: DataFrame, right: DataFrame, block: list[str], title_left: str, title_right: str, id_left: str,
                  id_right: str, accept: float, company_bonus: Column | None = None, most_bonus: float = 0.0) -> DataFrame:
-    """Best partner by title similarity inside a block.
-
-    Only titles that can reach the needed similarity meet: if two keys differ by
-    at most k edits and one is cut into k + 1 segments, some segment survives
-    whole in the other, so the join is an equality of block and segment instead
-    of all pairs of a block, and it loses nothing.  Equal titles are compared
-    once.  Titles that name different months never match (J22).
-    ``most_bonus`` is the largest value ``company_bonus`` may add.
+    """Best partner by title similarity inside a block.
+
+    Only titles that can reach the needed similarity meet, see
+    :func:`_best_titles`.  Equal titles are compared once.  Titles that name
+    different months never match (J22).  ``most_bonus`` is the largest value
+    ``company_bonus`` may add.
     """
     tau = accept - most_bonus
     if not 0.5 < tau <= 1:
@@ -199,18 +220,64 @@ def link_records(left: DataFrame, right: DataFrame, block: list[str], title_left
         return keyed.groupBy(*block, f"_t{tag}", f"_k{tag}").agg(F.min(f"_id{tag}").alias(f"_id{tag}"))
 
     a, b = reduced(left, title_left, id_left, "a"), reduced(right, title_right, id_right, "b")
-    near = a.withColumn("_s", F.explode(_pieces(F.col("_ka"), tau))).join(
-        b.withColumn("_s", F.explode(_segments(F.col("_kb"), tau))), [*block, "_s"])
-    pairs = near.select(*block, "_ta", "_ka", "_tb", "_kb", "_idb").distinct().filter(same_month("_ta", "_tb"))
-    sim = similarity(F.col("_ka"), F.col("_kb")) + (company_bonus if company_bonus is not None else F.lit(0.0))
-    scored = pairs.withColumn("score", F.round(sim, 6)).filter(F.col("score") >= accept)
-    best = first_by(scored.select(*block, "_ta", "_idb", "score"), [*block, "_ta"], F.struct(-F.col("score"), F.col("_idb")))
+    best = _best_titles(a, b, block, tau, accept, company_bonus if company_bonus is not None else F.lit(0.0))
     renamed = best.select(*block, F.col("_ta").alias(title_left), F.col("_idb").alias(f"{id_right}_match"), "score")
     return left.join(renamed, [*block, title_left], "left")
 
 
-def agreement_bonus(agree: Column, bonus: float = 0.35, malus: float = -0.5) -> Column:
-    return F.when(agree, F.lit(bonus)).otherwise(F.lit(malus))
+def contained_names(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(name, piece): every ``name`` of ``inner`` spelled inside a ``name`` of ``outer``, itself included.
+
+    At every sign of an outer name only lengths that inner names with this first
+    sign have are cut out, so a long name costs its length times a few.
+    """
+    names = inner.select("name").filter("name <> ''").distinct()
+    lengths = names.groupBy(F.substring("name", 1, 1).alias("_head")).agg(F.collect_set(F.length("name")).alias("_lengths"))
+    at = outer.select("name").filter("name <> ''").distinct().select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_at"))
+    fits = F.filter("_lengths", lambda w: w <= F.length("name") - F.col("_at") + 1)
+    cut = at.withColumn("_head", F.substring(F.col("name"), F.col("_at"), F.lit(1))).join(lengths, "_head").select(
+        "name", F.explode(F.transform(fits, lambda w: F.substring(F.col("name"), F.col("_at"), w))).alias("piece"))
+    return cut.join(names.select(F.col("name").alias("piece")), "piece", "left_semi").select("name", "piece").distinct()
+
+
+def link_by_evidence(left: DataFrame, right: DataFrame, title_left: str, title_right: str, company_left: str, company_right: str,
+                     id_right: str, accept: float = 0.95, bonus: float = 0.35, malus: float = -0.5) -> DataFrame:
+    """Best partner by title similarity, plus ``bonus`` where the companies agree and ``malus`` where not.
+
+    Companies agree if one name without legal form lies inside the other; a
+    blank name agrees with none.  No block is needed: names that lie in others
+    are found among distinct names, and each side is met under the names inside
+    its own, so agreement is an equality too.  A side is cut down to one row per
+    meeting name and title before the join: neither a short name inside many nor
+    a title at many companies is paired with all of them.  Partners elsewhere
+    are searched only if ``accept - malus`` can be reached, by that similarity.
+    ``<id_right>_match`` and ``score`` are null without a partner; ties go to
+    the smaller id; rows keep their columns, repeated rows stay.
+    """
+    if not 0.5 < accept - bonus <= 1 or malus > bonus:
+        raise ValueError("accept - bonus must lie between 0.5 and 1, and malus not above bonus")
+    org = lambda c: normalize_org(c, "detail")
+    a = left.select(org(company_left).alias("_ca"), F.coalesce(F.col(title_left), F.lit("")).alias("_ta"), title_key(title_left).alias("_ka")).distinct()
+    b = right.groupBy(org(company_right).alias("_cb"), F.coalesce(F.col(title_right), F.lit("")).alias("_tb"), title_key(title_right).alias("_kb")).agg(
+        F.min(id_right).alias("_idb"))
+    names_a, names_b = a.select(F.col("_ca").alias("name")), b.select(F.col("_cb").alias("name"))
+    inside_b = contained_names(names_b, names_a).select(F.col("name").alias("_cb"), F.col("piece").alias("_meet"))
+    inside_a = contained_names(names_a, names_b).filter("name <> piece").select(F.col("name").alias("_ca"), F.col("piece").alias("_meet"))
+
+    under = a.filter("_ca <> ''").select(F.lit(1).alias("_way"), F.col("_ca").alias("_meet"), "_ca", "_ta", "_ka").unionByName(
+        a.join(inside_a, "_ca").select(F.lit(2).alias("_way"), "_meet", "_ca", "_ta", "_ka"))
+    other = b.join(inside_b, "_cb").select(F.lit(1).alias("_way"), "_meet", "_tb", "_kb", "_idb").unionByName(
+        b.filter("_cb <> ''").select(F.lit(2).alias("_way"), F.col("_cb").alias("_meet"), "_tb", "_kb", "_idb"))
+    keys = ["_way", "_meet"]
+    agreeing = _best_titles(under.select(*keys, "_ta", "_ka").distinct(), other.groupBy(*keys, "_tb", "_kb").agg(F.min("_idb").alias("_idb")),
+                            keys, accept - bonus, accept, F.lit(bonus))
+    found = under.join(agreeing, [*keys, "_ta"]).select("_ca", "_ta", "_idb", "score")
+    if accept - malus <= 1:
+        elsewhere = _best_titles(a.select("_ta", "_ka").distinct(), b.groupBy("_tb", "_kb").agg(F.min("_idb").alias("_idb")), [], accept - malus, accept, F.lit(malus))
+        found = found.unionByName(a.select("_ca", "_ta").join(elsewhere, "_ta").select("_ca", "_ta", "_idb", "score"))
+    best = first_by(found, ["_ca", "_ta"], F.struct(-F.col("score"), F.col("_idb"))).select("_ca", "_ta", F.col("_idb").alias(f"{id_right}_match"), "score")
+    keyed = left.withColumn("_ca", org(company_left)).withColumn("_ta", F.coalesce(F.col(title_left), F.lit("")))
+    return keyed.join(best, ["_ca", "_ta"], "left").drop("_ca", "_ta")
 
 
 def _prefixes(name: Column) -> Column:
