@@ -135,6 +135,42 @@ def test_chunked_scans_do_not_depend_on_the_chunk(spark):
     want = groups.forward_fill(df, ["k"], "i", "v", F.lit(0)).orderBy("k", "i").collect()
     for size in (1, 3, 10):
         assert groups.forward_fill(df, ["k"], "i", "v", F.floor(F.col("i") / size)).orderBy("k", "i").collect() == want
+    for levels in (0, 1, 2, 3):
+        assert groups.forward_fill(df, ["k"], "i", "v", F.col("i"), levels=levels, fan=3).orderBy("k", "i").collect() == want
+        days = groups.forward_fill(df, ["k"], "i", "v", F.date_add(F.lit("2031-01-01").cast("date"), F.col("i")), "v", levels, 5)
+        assert days.orderBy("k", "i").collect() == want
+        seen = groups.running_count(df, ["k"], "i", F.col("v").isNotNull(), F.floor(F.col("i") / 2), "n", levels, 2)
+        assert sorted((r["k"] or "", r["i"], r["n"]) for r in seen.collect()) == [(k, i, i // 7 + 1) for k in ("", "a") for i in range(50)]
     fails = df.filter("k = 'a'").withColumn("bad", (F.col("i") % 10) < 6)
     runs = groups.outage_runs(fails, "k", "i", F.col("bad"), F.floor(F.col("i") / 4))
     assert sorted(tuple(r)[1:] for r in runs.collect()) == [(s, s + 5, 6) for s in (0, 10, 20, 30, 40)]
+
+
+def test_one_key_with_all_rows_is_scanned_in_small_windows(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 97 == 5, F.col("id")).alias("v"))
+    out = groups.forward_fill(df, ["k"], "i", "v", F.floor(F.col("i") / 20), fan=10, levels=2)
+    assert out.filter(~F.col("v").eqNullSafe(F.when(F.col("i") >= 5, F.floor((F.col("i") - 5) / 97) * 97 + 5))).count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 4  # rows in chunks, chunks, chunks of chunks, and what is left: 10 rows of the key
+
+
+def test_feeds_without_a_schema(spark):
+    docs = [
+        ("a", '{"d":{"list":[{"no":3,"t":" one  two ","deep":{"x":[1,2]},"nil":null},{"no":"x","t":7},{"t":""},null,4]}}'),
+        ("a", '{"d":{"list":['), ("a", None), ("b", "  "), ("b", '{"d":{"list":{}}}'), ("b", '{"d":{"list":[]}}'), ("b", "[1]"), ("b", "broken"),
+    ]
+    raw = spark.createDataFrame(docs, "source string, payload string")
+    spec = feeds.FeedSpec("v", "variant", {"title": feeds.variant_field("t")}, path="$.d.list", known=["t"],
+                          extra={"no": feeds.variant_field("no", "bigint"), "x": feeds.variant_field("deep.x[1]", "int")})
+    got = feeds.normalize_feed(raw, spec).orderBy("pos").collect()
+    assert [(r["pos"], r["title"], r["no"], r["x"], r["rest"]) for r in got] == [
+        (0, "one two", 3, 2, {"no": "3", "deep": '{"x":[1,2]}', "nil": None}), (1, "7", None, None, {"no": "x"})]
+    bad = feeds.feed_rejects(raw, spec)
+    assert sorted((r["source"], -1 if r["pos"] is None else r["pos"], r["reason"], r["rejected"]) for r in bad.collect() if r["rejected"] is not None) == [
+        ("a", -1, "broken", '{"d":{"list":['), ("a", 2, "no title", '{"t":""}'), ("a", 3, "no object", "null"), ("a", 4, "no object", "4"),
+        ("b", -1, "broken", "broken"), ("b", -1, "empty", "  "), ("b", -1, "no records", "[1]"), ("b", -1, "no records", '{"d":{"list":{}}}')]
+    counts = {(r["source"], r["reason"]): (r["n"], r["n_records"]) for r in feeds.reject_counts(bad).collect()}
+    assert counts == {("a", "broken"): (1, 0), ("a", "empty"): (1, 0), ("a", "no title"): (1, 1), ("a", "no object"): (2, 2),
+                      ("b", "broken"): (1, 0), ("b", "empty"): (1, 0), ("b", "no records"): (2, 0)}
+    assert feeds.feed_rejects(raw.limit(0), spec).count() == 0
+    assert "Exchange" not in feeds.feed_rejects(raw, spec)._jdf.queryExecution().executedPlan().toString()

@@ -135,6 +135,18 @@ def parsing() -> dict[str, str]:
         "json_props": """
             SELECT event_type AS source, k, count(*) AS n FROM (SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events)
             WHERE substr(k::VARCHAR, 1, 1) IN ('1','2','3','4','5','6','7','8') GROUP BY 1, 2""",
+        "variant_feed": """
+            WITH w AS (SELECT * FROM lineitem WHERE l_linenumber < 6 AND NOT (l_linenumber = 2 AND l_returnflag = 'A') AND NOT (l_linenumber = 3 AND l_returnflag = 'R'))
+            SELECT l_orderkey, l_linenumber, 0 AS pos, 'part ' || l_partkey AS title, 'https://x.example/' || l_partkey AS href, l_partkey::BIGINT AS number,
+              'line={"n":' || l_linenumber || '};mode=' || l_returnflag AS rest FROM w
+            UNION ALL SELECT l_orderkey, l_linenumber, 1, 'sup ' || l_suppkey, 'https://x.example/S' || l_suppkey, NULL, '' FROM w WHERE l_linenumber <= 4""",
+        "variant_rejects": """
+            WITH d AS (SELECT *, CASE WHEN l_linenumber >= 6 THEN 'empty' WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN 'broken' WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN 'no records' END AS state FROM lineitem),
+            r AS (SELECT l_returnflag AS source, state AS reason, 0 AS rec FROM d WHERE state IS NOT NULL
+              UNION ALL SELECT l_returnflag, 'no title', 1 FROM d WHERE state IS NULL AND l_linenumber > 4
+              UNION ALL SELECT l_returnflag, 'no object', 1 FROM d WHERE state IS NULL AND l_linestatus = 'O')
+            SELECT source, reason, count(*) AS n, sum(rec)::BIGINT AS n_records FROM r GROUP BY ALL""",
+        "variant_props": """SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, '{"k":"' || (props::JSON ->> 'k') || '"}' AS rest FROM events""",
         "feed_counts": """
             SELECT d.source, coalesce(n, 0)::BIGINT AS anchors, CASE WHEN n IS NULL THEN 0 ELSE chars + 1000 END::BIGINT AS text_len, CASE WHEN n IS NULL THEN 'empty feed' END AS error
             FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN (SELECT source, count(*) AS n, sum(length(lang) + length(text)) AS chars FROM documents

@@ -88,6 +88,40 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("source", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _variant_payloads(spark: SparkSession, sf: str) -> tuple[DataFrame, feeds.FeedSpec]:
+    """Payloads without a schema: two kinds of records in one list, some of them no objects, some documents cut off."""
+    x = landed(spark, sf, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    part = F.concat(F.lit('{"no":'), text("l_partkey"), F.lit(',"name":" part  '), text("l_partkey"), F.lit('","mode":"'), F.col("l_returnflag"), F.lit('","line":{"n":'), text("l_linenumber"), F.lit("}}"))
+    supplier = F.concat(F.lit(',{"name":'), F.when(F.col("l_linenumber") > 4, F.lit("null")).otherwise(F.concat(F.lit('"sup '), text("l_suppkey"), F.lit('"'))), F.lit(',"no":"S'), text("l_suppkey"), F.lit('"}'))
+    whole = F.concat(F.lit('{"v":2,"data":{"list":['), part, supplier, F.when(F.col("l_linestatus") == "O", ",5").otherwise(""), F.lit("]}}"))
+    late = F.col("l_linenumber")
+    payload = F.when((late == 2) & (F.col("l_returnflag") == "A"), F.substring(whole, 1, 40)).when((late == 3) & (F.col("l_returnflag") == "R"), '{"data":[]}').when(late < 6, whole)
+    spec = feeds.FeedSpec("variant", "variant", {"title": feeds.variant_field("name"), "href": lambda r: F.concat(F.lit("https://x.example/"), feeds.variant_field("no")(r))},
+                          path="$.data.list", known=["no", "name"], extra={"number": feeds.variant_field("no", "bigint")})
+    return x.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("source"), payload.alias("payload")), spec
+
+
+def variant_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Records read without a schema, unknown keys kept"""
+    raw, spec = _variant_payloads(spark, sf)
+    rest = F.array_join(F.array_sort(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return feeds.normalize_feed(raw, spec).select("l_orderkey", "l_linenumber", "pos", "title", "href", "number", rest.alias("rest"))
+
+
+def variant_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken documents and unusable records counted"""
+    raw, spec = _variant_payloads(spark, sf)
+    return feeds.reject_counts(feeds.feed_rejects(raw, spec))
+
+
+def variant_props(spark: SparkSession, sf: str) -> DataFrame:
+    """One record a document, every key of it kept"""
+    raw = table(spark, sf, "events").select("event_id", F.col("props").alias("payload"))
+    doc = F.try_parse_json(F.col("payload"))
+    return raw.select("event_id", feeds.variant_field("k", "bigint")(doc).alias("k"), F.to_json(F.try_variant_get(doc, "$", "map<string,string>")).alias("rest"))
+
+
 def feed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """A6"""
     d = landed(spark, sf, "documents")
@@ -312,7 +346,7 @@ def duty_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    anchor_candidates, page_stats, html_text_stats, static_pages, url_canonical_key, cards_feed, script_feed, json_props, feed_counts, kinds_join,
+    anchor_candidates, page_stats, html_text_stats, static_pages, url_canonical_key, cards_feed, script_feed, json_props, variant_feed, variant_rejects, variant_props, feed_counts, kinds_join,
     code_labels, ordered_lists, detail_join, keyword_union, registry_fill, registry_table, latest_period, source_registry, group_registry,
     unranked_groups, deadline_roundtrip, posted_roundtrip, experience_roundtrip, year_guess, compact_dates, org_names, title_features,
     size_words, detail_pages, linked_data, duty_evidence)}

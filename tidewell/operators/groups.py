@@ -6,6 +6,8 @@ bounded chunks, so one key may hold any share of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,39 +40,66 @@ def survivors(df: DataFrame, key: str, order: Column, fill: list[str], earliest:
     return out.select(key, "_best.*", *fill, *earliest, *latest, "n_merged")
 
 
-def _chunk_totals(df: DataFrame, keys: list[str], chunk: str, value: Column) -> DataFrame:
-    return df.groupBy(*keys, chunk).agg(value.alias("_in_chunk"))
+FAN = 1000
+"""Chunks that make a chunk of the next level."""
+
+
+def _number(df: DataFrame, chunk: Column) -> Column:
+    """The chunk as a whole number: days of a date, seconds of a time."""
+    kind = df.select(chunk.alias("c")).schema["c"].dataType.typeName()
+    return (F.unix_date(chunk) if kind == "date" else F.floor(chunk) if kind not in ("timestamp", "timestamp_ntz") else F.unix_seconds(chunk.cast("timestamp"))).cast("long")
+
+
+def _before(totals: DataFrame, keys: list[str], levels: int, fan: int, scan: Callable[[Column], Column],
+            fold: Callable[[Column, Column], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, _chunk, _carried): what the chunks of a key before each one come to.
+
+    Chunks are gathered into chunks of ``fan`` and so on for ``levels`` levels,
+    each scanned inside the next larger one only.  ``scan`` folds values in a
+    window, ``fold`` those of a group by their place, ``add`` a value further back with a nearer one.
+    """
+    if not levels:
+        ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumn("_carried", scan(F.col("_in_chunk")).over(ahead)).drop("_in_chunk")
+    raised = totals.withColumn("_up", F.floor(F.col("_chunk") / fan).cast("long"))
+    upper = raised.groupBy(*keys, "_up").agg(fold(F.col("_in_chunk"), F.col("_chunk")).alias("_in_chunk")).withColumnRenamed("_up", "_chunk")
+    above = _before(upper, keys, levels - 1, fan, scan, fold, add).withColumnRenamed("_chunk", "_up")
+    ahead = Window.partitionBy(*keys, "_up").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = raised.withColumn("_near", scan(F.col("_in_chunk")).over(ahead))
+    met = _join_null_safe(inside, above, [*keys, "_up"])
+    return met.withColumn("_carried", add(F.col("_carried"), F.col("_near"))).select(*keys, "_chunk", "_carried")
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: str, value: str, chunk: Column,
-                 out: str | None = None) -> DataFrame:
+                 out: str | None = None, levels: int = 1, fan: int = FAN) -> DataFrame:
     """Carry the last non-null value forward.
 
-    ``chunk`` is any non-decreasing function of ``order`` (a day, a block
-    number).  Rows are scanned chunk by chunk; only one row per chunk is scanned
-    per key, so a hot key is spread over as many tasks as it has chunks.
+    ``chunk`` is any non-decreasing number, date or time derived from ``order``
+    (a day, a block number).  Rows are scanned chunk by chunk, chunks in chunks
+    of ``fan``, for ``levels`` levels: no task holds all rows or all chunks of a
+    hot key, only its rows divided by those of a chunk and ``fan ** levels``.
     """
-    staged = df.withColumn("_chunk", chunk)
-    last_in_chunk = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
-    over_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = _chunk_totals(staged, keys, "_chunk", last_in_chunk).withColumn(
-        "_carried", F.last("_in_chunk", ignorenulls=True).over(over_chunks)).drop("_in_chunk")
+    staged = df.withColumn("_chunk", _number(df, chunk))
+    newest = lambda v, at: F.max_by(v, F.when(v.isNotNull(), at))
+    totals = staged.groupBy(*keys, "_chunk").agg(newest(F.col(value), F.col(order)).alias("_in_chunk"))
+    carried = _before(totals, keys, levels, fan, lambda v: F.last(v, ignorenulls=True), newest, lambda far, near: F.coalesce(near, far))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = staged.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
     joined = _join_null_safe(local, carried, [*keys, "_chunk"])
     return joined.withColumn(out or value, F.coalesce("_local", "_carried")).drop("_chunk", "_local", "_carried")
 
 
-def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, chunk: Column, out: str) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, chunk: Column, out: str, levels: int = 1,
+                  fan: int = FAN) -> DataFrame:
     """Number of flagged rows up to and including this one, chunked like ``forward_fill``."""
-    staged = df.withColumn("_chunk", chunk).withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
-    over_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = _chunk_totals(staged, keys, "_chunk", F.sum("_flag")).withColumn(
-        "_carried", F.coalesce(F.sum("_in_chunk").over(over_chunks), F.lit(0))).drop("_in_chunk")
+    staged = df.withColumn("_chunk", _number(df, chunk)).withColumn("_flag", F.coalesce(flag.cast("long"), F.lit(0)))
+    totals = staged.groupBy(*keys, "_chunk").agg(F.sum("_flag").alias("_in_chunk"))
+    none = F.lit(0).cast("long")
+    carried = _before(totals, keys, levels, fan, F.sum, lambda v, _: F.sum(v), lambda far, near: F.coalesce(far, none) + F.coalesce(near, none))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = staged.withColumn("_local", F.sum("_flag").over(inside))
     joined = _join_null_safe(local, carried, [*keys, "_chunk"])
-    return joined.withColumn(out, F.col("_local") + F.col("_carried")).drop("_chunk", "_local", "_carried", "_flag")
+    return joined.withColumn(out, F.col("_local") + F.coalesce("_carried", none)).drop("_chunk", "_local", "_carried", "_flag")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

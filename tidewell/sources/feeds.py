@@ -24,11 +24,15 @@ class FeedSpec:
 
     ``kind``    ``json``: the payload is JSON of type ``schema``;
                 ``script``: JSON sits in page script, ``pattern`` captures it;
-                ``cards``: ``pattern`` captures each card of a page.
+                ``cards``: ``pattern`` captures each card of a page;
+                ``variant``: the payload is JSON of no stated type, ``path``
+                leads to its list of records.
     ``items``   record list inside the parsed payload (JSON kinds).
     ``fields``  output field -> reader over one record; ``title`` is required.
     ``key``     record number; the first record of a number wins.
     ``is_open`` filter over a record and the run time.
+    ``known``   keys of a variant record that are read; the other ones are kept
+                as text in a map ``rest``.
     ``roles``   list of roles of a record; each role that passes ``role_net``
                 becomes a row, a record without one stays a title-only row.
     """
@@ -47,6 +51,17 @@ class FeedSpec:
     role_name: Read | None = None
     role_net: str | None = None
     extra: dict[str, Read] = field(default_factory=dict)
+    path: str = "$"
+    known: list[str] | None = None
+
+
+def variant_field(path: str, kind: str = "string") -> Read:
+    """Reader of a variant record: the value at ``path`` (below ``$.``), NULL if it is missing or of another kind."""
+    return lambda rec: F.try_variant_get(rec, f"$.{path}", kind)
+
+
+def _variant_rest(rec: Column, known: list[str]) -> Column:
+    return F.map_filter(F.try_variant_get(rec, "$", "map<string,string>"), lambda k, _: ~k.isin(known) if known else F.lit(True))
 
 
 def _records(raw: DataFrame, spec: FeedSpec, payload: str) -> DataFrame:
@@ -56,6 +71,9 @@ def _records(raw: DataFrame, spec: FeedSpec, payload: str) -> DataFrame:
     if spec.kind == "json":
         parsed = raw.select(*keep, F.from_json(payload, spec.schema, {"mode": "PERMISSIVE"}).alias("_doc"))
         return parsed.select(*keep, F.posexplode(spec.items(F.col("_doc"))).alias("pos", "rec"))
+    if spec.kind == "variant":
+        docs = raw.select(*keep, F.try_parse_json(F.col(payload)).alias("_doc"))
+        return docs.select(*keep, F.posexplode(F.try_variant_get("_doc", spec.path, "array<variant>")).alias("pos", "rec"))
     if spec.kind == "script":
         # every JSON block of the page, then the ones that carry the wanted list
         blocks = F.regexp_extract_all(F.col(payload), F.lit(spec.pattern), 1)
@@ -84,6 +102,8 @@ def normalize_feed(raw: DataFrame, spec: FeedSpec, now: Column | None = None, pa
     read = {"company": lambda r: F.lit(None).cast("string"), "href": lambda r: F.lit(None).cast("string"),
             "block": lambda r: F.lit(""), **spec.fields, **spec.extra}
     cols = [fn(rec).alias(name) for name, fn in read.items()]
+    if spec.known is not None:
+        cols.append(_variant_rest(rec, spec.known).alias("rest"))
     if spec.key is not None:
         cols.append(spec.key(rec).cast("string").alias("rec_key"))
     if spec.roles is not None:
@@ -102,6 +122,37 @@ def normalize_feed(raw: DataFrame, spec: FeedSpec, now: Column | None = None, pa
     return out.withColumn("title", squeeze("title")).filter(blank_to_null("title").isNotNull())
 
 
+def feed_rejects(raw: DataFrame, spec: FeedSpec, payload: str = "payload") -> DataFrame:
+    """What :func:`normalize_feed` cannot use of a ``variant`` feed: kept columns, ``pos``, ``reason``, ``rejected``.
+
+    A document (``pos`` NULL) is ``empty``, ``broken`` (no JSON) or has ``no
+    records`` (no list at ``path``; an empty list is none); a record is ``no
+    object`` or has ``no title``.  ``rejected`` is its text as landed, so
+    nothing is lost.  One pass without a shuffle.
+    """
+    if spec.kind != "variant":
+        raise ValueError("only variant feeds tell broken documents from empty ones")
+    keep = [c for c in raw.columns if c != payload]
+    docs = raw.select(*keep, F.col(payload).alias("_text"), F.try_parse_json(F.col(payload)).alias("_doc")).withColumn(
+        "_list", F.try_variant_get("_doc", spec.path, "array<variant>"))
+    state = F.when(F.coalesce(F.trim("_text"), F.lit("")) == "", "empty").when(F.col("_doc").isNull(), "broken").when(F.col("_list").isNull(), "no records")
+
+    def told(i: Column, r: Column) -> Column:
+        title = blank_to_null(squeeze(spec.fields["title"](r)))
+        reason = F.when(F.try_variant_get(r, "$", "map<string,variant>").isNull(), "no object").when(title.isNull(), "no title")
+        return record(pos=i, reason=reason, rejected=F.to_json(r))
+
+    whole = F.array(record(pos=F.lit(None).cast("int"), reason=state, rejected=F.col("_text")))
+    each = F.transform(F.coalesce("_list", F.array().cast("array<variant>")), lambda r, i: told(i, r))
+    found = F.filter(F.concat(whole, each), lambda x: x["reason"].isNotNull())
+    return docs.select(*keep, F.explode(found).alias("_x")).select(*keep, "_x.pos", "_x.reason", "_x.rejected")
+
+
+def reject_counts(rejects: DataFrame, source: str = "source") -> DataFrame:
+    """Rejected documents and records per source and reason."""
+    return rejects.groupBy(source, "reason").agg(F.count(F.lit(1)).alias("n"), F.count("pos").alias("n_records"))
+
+
 def net_filter(candidates: DataFrame, net: str) -> DataFrame:
     """Wide keyword net over title and block."""
     return candidates.filter(matches(F.concat_ws(" ", "title", "block"), net, True))
