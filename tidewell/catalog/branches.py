@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import shorten
-from ..operators import merge, rules, verify
+from ..operators import merge, rules, verify, view
+from ..operators.judge import join_sources, judge
 from ..sources import pages, state
 from .oracle import STATE
 from .postings import landed, order_state, table
 
 RUN = "2031-07-15"
+FIRMS = rules.RuleSet(rule_include="안전", profiles=(rules.Profile("안전", include="안전", construction="건설"),), large_companies=("한빛전자",), mid_companies=("대솔소재",))
 
 
 def _text(c: str) -> Column:
@@ -92,7 +94,40 @@ def detail_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return verify.apply_details(jobs, RUN).select("o_orderkey", "verify", "verified_at", "closed", "v_start", "v_deadline", "v_exp", "location", "company_full")
 
 
-QUERIES = {f.__name__: f for f in (merge_details, posting_filter, list_elements, short_values, profile_cache, detail_verdicts)}
+def judged_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed companies, size filter, affiliates and head-hunters, doubtful search pages"""
+    by = lambda n: _by("o_orderkey", n)
+    kind, firm = by(5), by(3)
+    name = F.col("name")
+    sources = table(spark, sf, "region").select(_text("r_regionkey").alias("name")).select(
+        "name", F.when(name == "0", "portal").when(name == "1", "search").when(name == "4", "company").otherwise("api").alias("type"),
+        F.lit("https://s.example/search?x=1").alias("url"), F.when(name == "0", "Portal Co").when(name == "4", "Own Co").alias("company"),
+        F.lit("groups:x").alias("adapter"), (name == "2").alias("size_filter"), (name == "3").alias("groups_only"))
+    company = F.when(firm == 0, "한빛전자").when(firm == 1, "대솔소재").when(kind == 3, "써치 파트너스").otherwise("Firm")
+    title = (F.when((kind == 0) & (firm == 1), "안전 점검 안내").when((kind == 3) & (firm == 2) & (by(2) == 0), "대기업 안전 담당 채용")
+             .when((kind == 2) & (by(2) == 1), "안전 담당 채용 건설").otherwise("안전 담당 채용"))
+    block = F.concat(F.when(kind == 1, F.concat(company, F.lit(" · "))).when((kind == 4) & (by(2) == 0), "Own Co · ").otherwise(""), F.lit("경력 "), (by(9) + 1).cast("string"), F.lit("년 이상"))
+    rows = landed(spark, sf, "orders").select(
+        "o_orderkey", kind.cast("string").alias("source"), title.alias("title"), F.when((kind == 0) & (firm == 2), "https://www.saramin.co.kr/list").otherwise("https://x.example/1").alias("href"),
+        block.alias("block"), company.alias("company"))
+    aliases = spark.createDataFrame([("한빛전자", "한빛")], "alias string, group string")
+    return judge(join_sources(rows, sources), FIRMS, F.lit(RUN).cast("date"), aliases).select("o_orderkey", "company", "affiliate_of", "size_rank", "check_company", "drop_reason")
+
+
+def export_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """C14: every reason why a stored posting is not published"""
+    by = lambda n: _by("o_orderkey", n)
+    b = by(8)
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(by(16) == 8, "판정 오류 · 회계").when(b == 0, "중복: s-1").otherwise("원문 확인").alias("verify"), F.when(by(3) == 0, "그리팅 A").otherwise("feed").alias("source"),
+        F.when(b == 1, "안전 점검 안내").when(b == 6, "안전 팀 매니저").when(b == 7, "회계 담당 채용").otherwise("안전 담당 채용").alias("title"),
+        F.lit("https://x.example/1").alias("link"), F.lit("s").alias("snippet"), F.when((b == 2) & (by(5) == 0), "정규직·계약직").when(b == 2, "계약직").alias("emp_type"),
+        F.when(b == 3, "고용형태: 기간제").alias("duty_evidence"), F.when(b == 4, "건설현장 가능").alias("duty_flag"), F.when(by(3) == 1, "대한건설").otherwise("Firm").alias("company"),
+        F.when(b == 5, "9년 이상").otherwise("3년 이상").alias("exp"), F.when(by(7) == 0, 2).otherwise(4).alias("size_rank"))
+    return rows.select("o_orderkey", view.export_reason(FIRMS).alias("why"))
+
+
+QUERIES = {f.__name__: f for f in (merge_details, posting_filter, list_elements, short_values, profile_cache, detail_verdicts, judged_kinds, export_kinds)}
 
 
 def sql() -> dict[str, str]:
@@ -135,4 +170,15 @@ def sql() -> dict[str, str]:
               CASE WHEN have THEN CASE o_orderkey % 5 WHEN 0 THEN '2031-07-01' WHEN 1 THEN '2031-08-01' WHEN 2 THEN '상시' WHEN 3 THEN '{RUN}' END END AS v_deadline,
               CASE WHEN have THEN '3년' END AS v_exp, CASE WHEN have THEN 'L' || (o_orderkey % 6) END AS location,
               CASE WHEN have THEN CASE WHEN o_orderkey % 2 = 0 THEN '(주)' || c WHEN foreign_name THEN 'Other Co' END END AS company_full FROM r""",
+        "judged_kinds": """
+            WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 3 AS f, o_orderkey % 2 AS h, o_orderkey % 9 + 1 AS y FROM orders),
+            c AS (SELECT *, CASE WHEN k = 0 THEN 'Portal Co' WHEN k = 4 THEN 'Own Co' WHEN f = 0 THEN '한빛전자' WHEN f = 1 THEN '대솔소재' WHEN k = 2 THEN 'Firm' WHEN k = 3 THEN '써치 파트너스' END AS company FROM o)
+            SELECT o_orderkey, company, CASE WHEN company = '한빛전자' THEN '한빛' END AS affiliate_of, CASE WHEN k = 0 OR company = '한빛전자' THEN 1 WHEN company = '대솔소재' THEN 4 ELSE 5 END AS size_rank,
+              k = 4 AND h = 1 AS check_company,
+              CASE WHEN k = 0 AND f = 1 THEN 'not_posting_text' WHEN k = 0 AND f = 2 THEN 'not_posting_link' WHEN k IN (1, 2) AND f = 2 THEN 'unlisted_company'
+                WHEN k = 3 AND (f = 1 OR f = 2 AND h = 1) THEN 'not_group_affiliate' WHEN y > 7 THEN 'min_years' WHEN k = 2 AND f = 1 AND h = 1 THEN 'off_profile' END AS drop_reason FROM c""",
+        "export_kinds": """
+            WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS b, o_orderkey % 3 AS f, o_orderkey % 5 AS p, o_orderkey % 7 = 0 AS big FROM orders)
+            SELECT o_orderkey, CASE WHEN b = 0 THEN 'hidden' WHEN b = 1 AND f <> 0 THEN 'not_posting' WHEN b = 2 AND p <> 0 THEN 'contract' WHEN b = 3 THEN 'contract_evidence'
+              WHEN b = 4 AND f = 1 THEN 'site_work' WHEN b = 5 THEN 'min_years' WHEN b = 6 THEN 'staff_profile' WHEN b = 7 OR f = 1 AND NOT big THEN 'off_profile' END AS why FROM o""",
     }
