@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -216,3 +217,40 @@ def test_language_features_by_a_plain_count():
         assert row == pytest.approx(plain), text
     assert language_id.features(texts[3:4])[0] == pytest.approx(got[5])  # neighbours in a batch do not matter
     assert [len(b) for b in text_batches(pa.array(["a b"] * 1200), 1 << 19, language_id.BATCH_ROWS)] == [512, 512, 176]
+
+
+def test_toxic_model_by_plain_counts(spark):
+    rnd = random.Random(6)
+    plain = ["river", "stone", "garden", "window", "paper", "bright", "table", "morning"]
+    rows = []
+    for i in range(400):
+        words = rnd.choices(plain, k=rnd.randint(0, 40))
+        if i % 4 == 0:
+            words[3:3] = rnd.choices(["vilest", "scumbag", "vileness"], k=6)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id int, toxic int")
+    model = toxic_segments.fit(docs, labels)
+    used = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    held = {0: {}, 1: {}}
+    for text, y in used:
+        for w in set(text.split()):
+            held[y][w] = held[y].get(w, 0) + 1
+    total = {y: sum(held[y].values()) for y in held}
+    assert {"vilest", "scumbag", "vileness"} <= set(model.terms)
+    for term, (odds, z) in model.terms.items():
+        inside = [w for w in {**held[0], **held[1]} if (w == term if not term.endswith("*") else w.startswith(term[:-1]) and len(w) >= len(term))]
+        n = {y: sum(held[y].get(w, 0) for w in inside) for y in held}
+        prior, every = 0.02 * (n[0] + n[1]), 0.02 * (total[0] + total[1])
+        side = {y: math.log((n[y] + prior) / max(total[y] + every - n[y] - prior, 1)) for y in held}
+        assert odds == pytest.approx(min(max(side[1] - side[0], -6), 8)), term
+        assert z == pytest.approx((side[1] - side[0]) / math.sqrt(1 / (n[1] + prior) + 1 / (n[0] + prior)))
+    scores = {}
+    for text, y in used:
+        scores.setdefault(y, []).append(model.token_scores(toxic_segments.words_of(text), {}))
+    tokens = [round(float(s), 2) for text in scores[0] for s in text] + [8 - model.drift, -model.drift]
+    assert sum(math.exp(model.decay * s) for s in tokens) / len(tokens) == pytest.approx(1, abs=1e-6)
+    tops = [(len(s), max((x for _, _, x in toxic_segments.segments(s)), default=0.0)) for s in scores[0] if len(s)]
+    assert model.constant == pytest.approx(len(tops) / sum(n * math.exp(-model.decay * x) for n, x in tops))
+    found = [(model.evidence([x for _, _, x in toxic_segments.segments(s)], len(s)), y) for y in (0, 1) for s in scores[y]]
+    assert min(model.score(e) for e, y in found if y) > 0.5 > max(model.score(e) for e, y in found if not y)

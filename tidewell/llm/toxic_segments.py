@@ -218,19 +218,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.float64()),
                                                   pa.list_(pa.float64()), pa.list_(pa.int64())))], names=["toxic", "n", "found", "values", "times"])
 
-    got = sample.mapInArrow(measured, "toxic int, n long, found array<double>, values array<double>, times array<long>").collect()
+    # what a text's segments come to stays on the cluster: the driver gets the counts of distinct rounded scores and two numbers a text
+    looked = cut_lineage(sample.mapInArrow(measured, "toxic int, n long, found array<double>, values array<double>, times array<long>"))
+    clean = looked.filter("toxic = 0")
+    seen = clean.select(F.explode(F.arrays_zip("values", "times")).alias("_s")).groupBy("_s.values").agg(F.sum("_s.times").alias("times")).collect()
     counts: dict[float, int] = {8.0 - model.drift: 1, -model.drift: 1}
-    for r in got:
-        if r["toxic"] == 0:
-            for v, n in zip(r["values"], r["times"]):
-                counts[v] = counts.get(v, 0) + n
-    clean = [(r["n"], max(r["found"], default=0.0)) for r in got if r["toxic"] == 0 and r["n"]]
+    for value, times in sorted((r["values"], r["times"]) for r in seen):
+        counts[value] = counts.get(value, 0) + times
     model.decay = _decay(counts)
-    model.constant = len(clean) / max(sum(n * np.exp(-model.decay * s) for n, s in clean), 1e-9) if clean else 1.0
-    y = np.array([r["toxic"] for r in got], float)
+    tops = clean.filter("n > 0").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("n") * F.exp(-model.decay * F.coalesce(F.array_max("found"), F.lit(0.0)))).alias("weight")).first()
+    model.constant = tops["texts"] / max(tops["weight"], 1e-9) if tops["texts"] else 1.0
+    base = F.log(F.greatest(model.constant * F.col("n"), F.lit(1e-300)))
+    evidence = F.aggregate("found", F.lit(0.0), lambda total, found: total + F.greatest(model.decay * found - base, F.lit(0.0)))
+    got = sorted((r["toxic"], r["evidence"]) for r in looked.select("toxic", evidence.alias("evidence")).collect())
+    y = np.array([toxic for toxic, _ in got], float)
     if not len(y) or y.min() == y.max():
         return model
-    x = np.log1p([model.evidence(r["found"], r["n"]) for r in got])
+    x = np.log1p([found for _, found in got])
     weight = np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
     model.bias, model.slope = _logistic(x, y, weight / weight.mean())
     return model
