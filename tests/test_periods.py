@@ -4,9 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidewell.session import scratch_path
 from tidewell.streaming import lifecycle, periods
@@ -66,3 +68,49 @@ def test_stream_of_many_batches_equals_the_table(spark):
     still_open = {r[0] for r in every - done}
     states = spark.read.format("statestore").option("stateVarName", "open").load(out + "/checkpoint")
     assert {r["key"][0] for r in states.select("key").collect()} == still_open
+
+
+class Handle:
+    """Value state and timers of one key, with the calls counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_one_timer_and_one_frame_however_many_periods_a_key_has():
+    handle, processor, hour = Handle(), periods.OpenPeriods(), 3_600_000_000
+    processor.init(handle)
+    seen = np.arange(0, 1000) * 10 * hour
+    frames = list(processor.handleInputRows((7,), iter([pd.DataFrame({"seen": seen, "until": seen + 8 * hour})]), TimerValues(0, 0)))
+    assert not any(len(f) for f in frames) and handle.timers == {8 * hour // 1000} and handle.calls == 1
+
+    def fire(watermark):
+        at = min(handle.timers)
+        frames = [f for f in processor.handleExpiredTimer((7,), TimerValues(0, watermark), ExpiredTimerInfo(at)) if len(f)]
+        handle.timers.discard(at)  # Spark deletes it after the call
+        return frames
+
+    first, = fire(5_005 * hour // 1000)
+    assert list(first["n_seen"]) == [1] * 500 and first["entity"].unique() == [7] and handle.timers == {5_008 * hour // 1000}
+    rest, = fire(20_000 * hour // 1000)
+    assert len(rest) == 500 and handle.value is None and not handle.timers

@@ -51,15 +51,26 @@ def timer_of(closes: int) -> int:
     return -(-closes // 1000)
 
 
+def next_timer(periods: list[Period]) -> int | None:
+    """Timer of the period that closes first."""
+    return min((timer_of(p[3]) for p in periods), default=None)
+
+
 class OpenPeriods(StatefulProcessor):
-    """State of one key: its open periods, several only as long as sightings in between may still come."""
+    """State of one key: its open periods, several only as long as sightings in between may still come.
+
+    Every call on state or timers is a message to the JVM and every frame an
+    Arrow batch, so a key has one timer, at its earliest closing time, and one
+    frame of whatever the watermark has closed when it fires.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._open = handle.getValueState("open", STATE)
 
     def _held(self) -> list[Period]:
-        return list(zip(*self._open.get())) if self._open.exists() else []
+        held = self._open.get()
+        return list(zip(*held)) if held else []
 
     def _keep(self, periods: list[Period]) -> None:
         if periods:
@@ -72,23 +83,24 @@ class OpenPeriods(StatefulProcessor):
         after = before
         for chunk in rows:  # only periods are kept, however many sightings a key has
             after = merged(after + periods_of(chunk["seen"].to_numpy(np.int64), chunk["until"].to_numpy(np.int64)))
-        old, new = ({timer_of(p[3]) for p in ps} for ps in (before, after))
-        for at in old - new:
-            self._handle.deleteTimer(at)
-        for at in new - old:
-            self._handle.registerTimer(at)
+        old, new = next_timer(before), next_timer(after)
+        if old != new:
+            if old is not None:
+                self._handle.deleteTimer(old)
+            self._handle.registerTimer(new)
         self._keep(after)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
-        done = [p for p in held if timer_of(p[3]) <= at]
-        self._keep([p for p in held if timer_of(p[3]) > at])
-        if done:
-            times = [pd.to_datetime([p[i] for p in done], unit="us") for i in (0, 1, 3)]
-            yield pd.DataFrame({"entity": [key[0]] * len(done), "first_seen": times[0], "last_seen": times[1], "n_seen": [p[2] for p in done], "closes_at": times[2]})
-        else:
-            yield pd.DataFrame()
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        done, still = [p for p in held if timer_of(p[3]) <= now], [p for p in held if timer_of(p[3]) > now]
+        if not done:
+            return iter(())
+        self._keep(still)
+        if still:
+            self._handle.registerTimer(next_timer(still))
+        times = [pd.to_datetime([p[i] for p in done], unit="us") for i in (0, 1, 3)]
+        return iter([pd.DataFrame({"entity": [key[0]] * len(done), "first_seen": times[0], "last_seen": times[1], "n_seen": [p[2] for p in done], "closes_at": times[2]})])
 
     def close(self) -> None:
         pass
