@@ -6,9 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from tidewell import session
 from tidewell.catalog import analysis
+from tidewell.functions import terms
 from tidewell.functions.terms import COUNTERS
 from tidewell.operators import score
 from tidewell.operators.rules import RuleSet
@@ -226,3 +230,43 @@ def test_terms_of_one_text_fold_into_one_feature(spark):
         g = -weight * y / (1 + np.exp(y * (x @ w + bias)))
         w, bias = w - 0.2 * (x.T @ g / 5 + w / (2.0 * 5)), bias - 0.2 * g.sum() / 5
     assert max(abs(got[k][1] - w[j]) for j, k in enumerate(keys)) < 1e-3 and abs(model.intercept - bias) < 1e-3
+
+
+def test_weighing_looks_up_windows_as_numbers(monkeypatch):
+    """Against the counters of all terms: blanks, signs of no term, signs beyond 16 bits, pieces of a long text."""
+    rnd = random.Random(5)
+    monkeypatch.setattr(terms, "PIECE", 37)
+    signs = "aab환경é\U0001f600\x1c!x"
+    texts = ["", " ", "\x1c", "a", "a b", "ab  ab\tab　a", "w" * 90 + " ab"]
+    texts += ["".join(rnd.choice(signs + "   ") for _ in range(rnd.randint(0, 200))) for _ in range(60)]
+    for block, keep in ((terms.CHAR, 0.6), (terms.WORD, 0.8), (terms.CHAR, 0.05)):
+        every = sorted({t for x in texts for t in COUNTERS[block](x)})
+        own = [t for t in every if rnd.random() < keep]
+        idf, weight = np.linspace(1, 3, len(own)), np.linspace(-1, 2, len(own))
+        table = terms.Weights(pa.array(own, pa.string()), idf, weight)
+        for coded in (table.coded, False):
+            table.coded = coded
+            for text in texts:
+                x = {t: (1 + math.log(n)) * idf[i] for t, n in COUNTERS[block](text).items() if t in own for i in [own.index(t)]}
+                norm = math.sqrt(sum(v * v for v in x.values()))
+                want = sum(v * weight[own.index(t)] for t, v in x.items()) / norm if norm else 0.0
+                assert abs(terms.weigh(text, {block: table}) - want) < 1e-12
+    assert terms.Weights(pa.array([], pa.string()), np.zeros(0), np.zeros(0)).chars("ab c")[0].size == 0
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    path = str(tmp_path / "one")
+    pq.write_table(pa.table({"id": list(range(40_000)), "text": [f"{i * 7919 % 40_009:064x}" * 3 for i in range(40_000)]}), path, row_group_size=1 << 20)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= 8  # many splits, and one has all rows
+        dealt = session.spread(scan)
+        sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) * 8 <= 2 * 40_000 and sum(sizes) == 40_000
+        assert dealt.select(F.sum("id")).first()[0] == sum(range(40_000))
+        even = dealt.repartition(16)
+        even.write.parquet(str(tmp_path / "even"))
+        assert "Exchange" not in session.spread(spark.read.parquet(str(tmp_path / "even")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
