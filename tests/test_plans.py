@@ -270,3 +270,23 @@ def test_rows_of_one_row_group_are_spread(spark, tmp_path):
         assert "Exchange" not in session.spread(spark.read.parquet(str(tmp_path / "even")))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_weights_of_a_text_without_arrays_of_its_terms(spark):
+    """Unit length per text and block against plain sums; no text's terms are collected into one value."""
+    rows = [(i, f"{w} " * (i % 3 + 1) + v) for i, (w, v) in enumerate([("환경", "ab cd"), ("안전", "ab"), ("환경", "ab ef"), ("zz", ""), ("", "")])]
+    counts = score.term_counts(spark.createDataFrame(rows, "id int, t string"), "id", F.col("t"))
+    idf = score.idf_weights(counts, spark.range(1).select(F.lit(len(rows)).alias("n")))
+    out = score.tfidf(counts, idf, "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Generate explode(_t" not in plan
+    held = {(r["block"], r["term"]): r["idf"] for r in idf.collect()}
+    want = {}
+    for r in counts.collect():
+        if (r["block"], r["term"]) in held:
+            want[r["id"], r["block"], r["term"]] = r["tf"] * held[r["block"], r["term"]]
+    norms = Counter()
+    for (i, b, _), x in want.items():
+        norms[i, b] += x * x
+    got = {(r["id"], r["block"], r["term"]): r["x"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - x / math.sqrt(norms[k[:2]])) < 1e-12 for k, x in want.items())
