@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidewell import session
-from tidewell.catalog import analysis
+from tidewell.catalog import analysis, parsing
 from tidewell.functions import terms
 from tidewell.functions.terms import COUNTERS
 from tidewell.operators import score
@@ -290,3 +290,7 @@ def test_weights_of_a_text_without_arrays_of_its_terms(spark):
         norms[i, b] += x * x
     got = {(r["id"], r["block"], r["term"]): r["x"] for r in out.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - x / math.sqrt(norms[k[:2]])) < 1e-12 for k, x in want.items())
+
+
+def test_titles_of_a_single_file_are_parsed_in_many_tasks(spark):
+    assert parsing.title_features(spark, SF).rdd.getNumPartitions() >= 8

@@ -284,7 +284,7 @@ def org_names(spark: SparkSession, sf: str) -> DataFrame:
 def title_features(spark: SparkSession, sf: str) -> DataFrame:
     """I4, I6, I7, I12, I13, I14, J8, J9"""
     title = F.concat(F.lit("[급구] "), F.col("p_brand"), F.lit(" "), F.col("p_name"), F.lit(" | manager "), F.lower("p_type"), F.lit(" 채용 ("), F.col("p_size").cast("string"), F.lit("월)"))
-    staged = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("company"), title.alias("title"))
+    staged = landed(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("company"), title.alias("title"))
     return staged.select(
         "p_partkey", titles.title_core("title", "company").alias("core"), F.array_join(titles.title_tokens("title", "company"), " ").alias("tokens"),
         F.array_join(titles.title_fields("title"), " ").alias("fields"), F.array_join(titles.base_tokens("title", "company"), " ").alias("base"),
