@@ -120,7 +120,8 @@ def linked_data_detail(pages: DataFrame, run_date: str, html: str = "html") -> D
     items = F.flatten(F.transform(docs, lambda d: F.coalesce(d["@graph"], F.array(plain(d)))))
     first = F.get(F.filter(items, lambda x: x["@type"] == "JobPosting"), F.lit(0))
     j = lambda c, path: F.get_json_object(c, path)
-    staged = pages.select(*keep, html, first.alias("jp")).filter("jp is not null").withColumn("_t", squeeze(html_to_text(html)))
+    # through a generator: a filter on the posting itself would be pushed to the scan and parse every page a second time there
+    staged = pages.select(*keep, html, F.explode(F.array(first)).alias("jp")).filter("jp is not null").withColumn("_t", squeeze(html_to_text(html)))
     jp = F.col("jp")
     types = F.transform(F.from_json(F.when(F.startswith(jp["employmentType"], F.lit("[")), jp["employmentType"])
                                     .otherwise(F.to_json(F.array(jp["employmentType"]))), "array<string>"),
