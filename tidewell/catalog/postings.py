@@ -31,9 +31,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def landed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def landed(spark: SparkSession, sf: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Table whose rows are parsed as texts: enough tasks even for a single file."""
-    return spread(table(spark, sf, name))
+    return spread(table(spark, sf, name), by)
 
 
 def day(c: str) -> F.Column:
@@ -107,7 +107,7 @@ def order_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_batch(spark: SparkSession, sf: str, run: str) -> DataFrame:
     """Every order line as a posting of today's batch: known numbers and new postings."""
-    x = landed(spark, sf, "lineitem")
+    x = landed(spark, sf, "lineitem", ["l_orderkey"])
     key, part = F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
     fresh = F.col("l_discount") > 0.08

@@ -47,16 +47,16 @@ def resolve_ids(batch: DataFrame, state: DataFrame, order: str = "batch_pos") ->
     Copies inside the batch are folded before any join, so the joins meet
     unique keys on both sides.
     """
-    keyed = batch.withColumn("_canon", canon_key("link")).withColumn("_hash", job_id("company", "title"))
-    keyed = keyed.withColumn("_key", F.coalesce("_canon", "_hash"))
+    keyed = batch.withColumn("_canon", canon_key("link")).withColumn("_key", F.coalesce("_canon", job_id("company", "title")))
+    keyed = keyed.withColumn("_numbered", F.col("_canon").isNotNull()).drop("_canon")
     folded = first_by(keyed, ["_key"], F.col(order))
     # rows without a number meet on a key of their own, so they do not pile up on NULL
-    folded = folded.withColumn("_meet", F.coalesce("_canon", F.concat(F.lit("none:"), F.col("_hash"))))
+    folded = folded.withColumn("_meet", F.when(F.col("_numbered"), F.col("_key")).otherwise(F.concat(F.lit("none:"), F.col("_key"))))
     owned = folded.join(canon_owner(state).withColumnRenamed("canon", "_meet"), "_meet", "left")
-    owned = owned.withColumn("id", F.coalesce("owner", "_hash"))
+    owned = owned.withColumn("id", F.coalesce("owner", F.when(F.col("_numbered"), job_id("company", "title")).otherwise(F.col("_key"))))
     pointers = state.select("id", duplicate_pointer(F.col("verify")).alias("_to")).filter("_to is not null")
     hopped = owned.join(pointers, "id", "left").withColumn("id", F.coalesce("_to", "id"))
-    return first_by(hopped.drop("_canon", "_hash", "_key", "_meet", "owner", "_to"), ["id"], F.col(order))
+    return first_by(hopped.drop("_numbered", "_key", "_meet", "owner", "_to"), ["id"], F.col(order))
 
 
 def _batch_side(batch: DataFrame) -> DataFrame:

@@ -57,13 +57,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "tidewell", f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Even tasks for a scan whose rows lie in few of its splits.
 
     A file is split by its bytes but read by its row groups, so a large file of
     few row groups has many splits of which few have rows.  Rows per split come
     from the file footers.  Rows are dealt by the hash of their values: dealt in
-    turn, they would first be sorted in the few tasks that have them.  Only for
+    turn, they would first be sorted in the few tasks that have them.  ``by``
+    names a key of few rows each that stay together, so that later aggregates
+    fold them before their shuffle.  Only for
     plain scans; one whose largest split has at most twice an even share is
     returned as it is.
     """
@@ -74,7 +76,7 @@ def spread(scan: DataFrame) -> DataFrame:
         most, rows = per_split.agg(F.max("n"), F.sum("n")).first()
         if not rows or most * want <= 2 * rows:
             return scan
-    keys = [c.name for c in scan.schema if not isinstance(c.dataType, (MapType, VariantType))]
+    keys = by or [c.name for c in scan.schema if not isinstance(c.dataType, (MapType, VariantType))]
     return scan.repartition(max(want, splits), *keys)
 
 
