@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_narrow
 from .batches import text_batches, text_or_empty
 
 MINIMA, BAND, BITS = 128, 4, 4
@@ -181,7 +181,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
                     pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([packed(minima(s, FINE)) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles", "fine"])
 
-    ids = cut_lineage(wanted.select(F.col("doc_id").alias("_id")).distinct())
+    ids = cut_narrow(wanted.select(F.col("doc_id").alias("_id")).distinct())
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)  # of a checked size; else whole texts are shuffled to find the few that are wanted
     met = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
@@ -234,7 +234,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity
     one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("_na"), F.col("bits").alias("_ba"))
     two = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("_nb"), F.col("bits").alias("_bb"))
     size_fits = 100 * F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb")
-    near = cut_lineage(pairs.join(one, "a").join(two, "b").filter(
+    near = cut_narrow(pairs.join(one, "a").join(two, "b").filter(
         size_fits & (estimate(F.col("_ba"), F.col("_bb")) >= similarity / 100 - SLACK)).select("a", "b", "_na", "_nb"))
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("_na").alias("n")), F.struct(F.col("b").alias("cls"), F.col("_nb").alias("n")))).alias("_e"))
     shingles = ends.select("_e.*").distinct().agg(F.sum("n")).first()[0] or 0
@@ -254,7 +254,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     found = cells.groupBy("_i", "_j").cogroup(needed.groupBy("_k", "_l")).applyInArrow(run, "a long, b long")
-    return cut_lineage(found)
+    return cut_narrow(found)
 
 
 def _groups_apart(left: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _groups_apart(left: DataFrame) -> DataFrame:
     met = left.join(main, "key").select("key", "_main", "cls", "root")
     sizes = met.select("_main", "cls").distinct().groupBy("_main").agg(F.count(F.lit(1)).alias("_g"))
     group = F.when(F.col("_g") <= GROUP, F.col("_main")).otherwise(F.xxhash64("key", "_main"))
-    return cut_lineage(met.join(sizes, "_main").select(group.alias("group"), "cls", "root").distinct())
+    return cut_narrow(met.join(sizes, "_main").select(group.alias("group"), "cls", "root").distinct())
 
 
 def _apart_in_groups(members: DataFrame, signatures: DataFrame, similarity: int) -> DataFrame:
@@ -335,22 +335,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, id_col: s
     """
     rows = cut_lineage(features(docs, n, id_col, text_col))
     # rows of a class are alike in all that is taken first
-    named = cut_lineage(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
+    named = cut_narrow(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
     buckets = named.select("cls", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    members = cut_lineage(buckets.join(shared, "key"))
+    members = cut_narrow(buckets.join(shared, "key"))
     weights = members.groupBy("cls").agg(F.sum(F.col("_m") - 1).alias("weight"))
-    classes = cut_lineage(named.join(weights, "cls").select("cls", F.col("rep").alias("doc_id"), "n_shingles", "bits", "bands", "weight"))
+    classes = cut_narrow(named.join(weights, "cls").select("cls", F.col("rep").alias("doc_id"), "n_shingles", "bits", "bands", "weight"))
     sets = cut_lineage(sets_of(docs, classes, n, id_col, text_col))
 
-    weighed = cut_lineage(members.join(classes.select("cls", "weight"), "cls"))
+    weighed = cut_narrow(members.join(classes.select("cls", "weight"), "cls"))
     links = _confirmed(_pairs_with_pivot(weighed, "weight"), classes, sets, similarity)
     for last in (False, True):
         roots = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
         rooted = weighed.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("_m").alias("_n")).filter("_lo <> _hi AND _n > 2")
-        left = cut_lineage(rooted.join(open_keys.select("key"), "key").select("key", "cls", "root", "weight"))
+        left = cut_narrow(rooted.join(open_keys.select("key"), "key").select("key", "cls", "root", "weight"))
         if left.isEmpty():
             break
         if last:
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, id_col: s
             own = left.select("key", F.col("cls").alias("a"), F.col("root").alias("_ra"))
             pairs = met.join(own, ["key", "a"]).filter("_ra <> _rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             more = _confirmed(pairs, classes, sets, similarity)
-        links = cut_lineage(links.unionByName(more).distinct())
+        links = cut_narrow(links.unionByName(more).distinct())
     roots = connected_components(links, "a", "b").withColumnRenamed("node", "cls")
     found = named.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))

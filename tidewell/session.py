@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
@@ -87,3 +87,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+ROWS_A_TASK = 1 << 16
+"""Narrow rows that are worth a task of their own."""
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in fewer tasks if it has few rows: no more than one per ``ROWS_A_TASK``, but one per core at least.
+
+    Every task of a map stage writes files of its own and is logged, so a small
+    table in the partitions of a large one costs far more than its rows.  For
+    tables that are not read as they were dealt; a large one stays as it is.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """:func:`cut_lineage` for a table of narrow rows, read again in as many tasks as its rows are worth; they are counted as they are written."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return gathered(cut, seen.get["rows"])
