@@ -40,6 +40,17 @@ def test_pieces_equal_the_library(library):
     assert encoder(tokenizer_path(NAME), True).encode(texts) == [len(w) for w in want]
 
 
+def test_words_of_letters_are_looked_up_once(library):
+    """Only parts of words go through the table of parts; a word of letters that a batch has made serves it too."""
+    texts = ["alpha beta gamma, x1 delta. éta", "beta, Zeta beta", "theta\niota (kappa) beta"]
+    engine, seen = PieceEncoder(tokenizer_path(NAME)), set()
+    own = engine._of_pieces
+    engine._of_pieces = lambda pieces, *rest: seen.update(pieces) or own(pieces, *rest)
+    for _ in range(2):
+        assert [np.frombuffer(g, "<u4").tolist() for g in engine.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {" gamma", " delta", " beta", ",", " x"} <= seen and not {" éta", " Zeta", "alpha"} & seen
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers(name):
     counts = encoder(tokenizer_path(name), True).encode(["Hello world", "", "a b"])

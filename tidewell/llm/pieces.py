@@ -138,7 +138,7 @@ class PieceEncoder:
             values = list(map(value, words))
             values[0] = first[words[0]]
             joined.append(sum(values) if self._lengths_only else b"".join(values))
-        for w in self._unsafe_of(missing):
+        for w in self._unsafe_of(missing) if unsafe else ():
             del known[w], fresh[w]  # only ever the first word of a text, where no space stands before it
         self._words.added(fresh)
         return joined
@@ -170,43 +170,56 @@ class PieceEncoder:
             odd = [w for w in words if _ODD.search(w)]
             values = dict(zip(odd, self._library([before + w for w in odd])))
             words = [w for w in words if w not in values]
-        split = self._split
-        cut = [(before + w,) if w.isalpha() else (before + w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else split(before + w) for w in words]
-        found = self._of_pieces({p for pieces in cut for p in pieces}, {c[0] for c in cut if len(c) == 1})
-        if self._lengths_only:
-            values.update((w, found[c[0]] if len(c) == 1 else sum([found[p] for p in c])) for w, c in zip(words, cut))
-        else:
-            values.update((w, found[c[0]] if len(c) == 1 else b"".join([found[p] for p in c])) for w, c in zip(words, cut))
+        # a word of letters is a piece of its own that no table holds: not looked up a second time
+        alone = [w for w in words if w.isalpha()]
+        values.update(zip(alone, self._made([before + w for w in alone])))
+        if len(alone) < len(words):
+            split = self._split
+            words = [w for w in words if not w.isalpha()]
+            cut = [(before + w[:-1], w[-1]) if w[-1:] in _STOPS and w[:-1].isalpha() else split(before + w) for w in words]
+            found = self._of_pieces(set().union(*cut), values if before else {}, {c[0] for c in cut if len(c) == 1})
+            value = found.__getitem__
+            if self._lengths_only:
+                values.update(zip(words, [sum(map(value, c)) for c in cut]))
+            else:
+                values.update(zip(words, [b"".join(map(value, c)) for c in cut]))
         return values
 
-    def _of_pieces(self, pieces: set[str], words: set[str]) -> dict:
-        """Value of each piece.  Whole words are kept by the caller, so only parts of words are kept here."""
+    def _of_pieces(self, pieces: set[str], fresh: dict, words: set[str]) -> dict:
+        """Value of each piece.  Whole words are kept by the caller (``fresh``: not in the table yet), so only parts of words are kept here."""
         parts, known = self._pieces, self._words
         found = {}
         for p in pieces:
             v = parts.young.get(p)
             if v is None and p[0] == " ":  # a word seen alone
                 v = known.young.get(p[1:])
+                if v is None:
+                    v = fresh.get(p[1:])
             if v is not None:
                 found[p] = v
         found.update(parts.take(pieces - found.keys()))
         new = [p for p in pieces if p not in found]
         if new:
-            written = "\0".join(new).encode("utf-8").decode("latin-1").translate(_LETTERS).split("\0")
-            ids = np.array(self._model.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self._token_letters[ids]), np.cumsum([len(w) for w in written])) + 1
-            starts = np.concatenate(([0], ends[:-1]))
-            if self._lengths_only:
-                made = dict(zip(new, (ends - starts).tolist()))
-            else:
-                data = ids.tobytes()
-                made = dict(zip(new, [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
+            made = dict(zip(new, self._made(new)))
             found.update(made)
             kept = {p: v for p, v in made.items() if p not in words}
             parts.young.update(kept)
             parts.added(kept)
         return found
 
+    def _made(self, pieces: list[str]) -> list:
+        """Value of each piece by the library's model."""
+        if not pieces:
+            return []
+        written = "\0".join(pieces).encode("utf-8").decode("latin-1").translate(_LETTERS).split("\0")
+        ids = np.array(self._model.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self._token_letters[ids]), np.cumsum(list(map(len, written)))) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        if self._lengths_only:
+            return (ends - starts).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+
 
 class SentencePieceEncoder:
     """The same for .model files of the sentencepiece library."""
