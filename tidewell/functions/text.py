@@ -27,6 +27,25 @@ def rx(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iduU)" if ignore_case else "(?dU)") + pattern
 
 
+def led(pattern: str) -> str:
+    """The same pattern behind a look at the sign it starts with: one test a place instead of one an alternative.
+
+    Only if every alternative starts with a plain letter, or with a word edge before it.
+    """
+    heads, depth, start = [], 0, 0
+    for i, sign in enumerate(pattern + "|"):
+        if sign in "([":
+            depth += 1
+        elif sign in ")]":
+            depth -= 1
+        elif sign == "|" and not depth:
+            heads.append(pattern[start:i].removeprefix(r"\b")[:2])
+            start = i + 1
+    if any(not h[:1].isalpha() or h[1:] in ("?", "*", "{", "+") for h in heads):
+        return pattern
+    return f"(?=[{''.join(sorted({h[0] for h in heads}))}])(?:{pattern})"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -10,13 +10,13 @@ from ..functions.experience import official_exp
 from ..functions.links import link_kind
 from ..functions.orgs import contains_either, normalize_org
 from ..functions.text import (
-    all_matches, blank_to_null, first_match, grab, html_to_text, let, matches, rx, squeeze, substitute, text_or_blank, unescape,
+    all_matches, blank_to_null, first_match, grab, html_to_text, led, let, matches, rx, squeeze, substitute, text_or_blank, unescape,
 )
 from .groups import budget, first_by
 from .rules import RuleSet
 
 # a duty word that no "(closed)" mark precedes; the cheap look-ahead comes first
-_OPEN_DUTY = f"(?={fixed.DUTY})" + r"(?<!\(\s{0,9}마감\s{0,9}\)\s{0,9}\S{0,8})" + f"(?:{fixed.DUTY})"
+_OPEN_DUTY = f"(?={led(fixed.DUTY)})" + r"(?<!\(\s{0,9}마감\s{0,9}\)\s{0,9}\S{0,8})" + f"(?:{fixed.DUTY})"
 _EDGE = r"^[ \-·•▶■□○◦*:,]+|[ \-·•▶■□○◦*:,]+$"
 
 
@@ -46,14 +46,16 @@ def duty_check(rows: DataFrame, title: str = "title", body: str = "body") -> Dat
         F.replace(F.replace(text_or_blank(body), t, F.lit(" ")), F.regexp_replace(t, rx(r"\s+"), " "), F.lit(" ")))
 
     def keep_sentence(p: Column) -> Column:
-        ended = p.rlike(rx(r"(?:\n|[.。!?]\s)\z"))
-        core = F.when(ended, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
-        furniture = (F.length(core) < 120) & matches(core, fixed.PAGE_BOILERPLATE)
-        return F.when(furniture & ended, F.substring(p, -1, 1)).when(furniture, F.lit("")).otherwise(p)
+        def judged(ended: Column) -> Column:
+            core = F.when(ended, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
+            furniture = (F.length(core) < 120) & matches(core, led(fixed.PAGE_BOILERPLATE))
+            return F.when(furniture, F.when(ended, F.substring(p, -1, 1)).otherwise("")).otherwise(p)
+
+        return let(F.substring(p, -2, 2).rlike(rx(r"(?:\n|[.。!?]\s)\z")), judged)
 
     pieces = F.split(cut, rx(r"(?<=\n)|(?<=[.。!?]\s)"))
     staged = rows.withColumn("_title_hit", title_hit).withColumn("_body", F.array_join(F.transform(pieces, keep_sentence), ""))
-    windows = all_matches("_body", rf"(?={fixed.DUTY_SECTION})(?=([\s\S]{{0,400}}))(?:{fixed.DUTY_SECTION})", 1, True)
+    windows = all_matches("_body", rf"(?={led(fixed.DUTY_SECTION)})(?=([\s\S]{{0,400}}))(?:{fixed.DUTY_SECTION})", 1, True)
     staged = staged.withColumn("_scope", let(windows, lambda w: F.when(F.size(w) > 0, F.array_join(w, "\n")).otherwise(F.col("_body"))))
     lines = F.filter(F.split(F.col("_scope"), rx(r"\n|(?<=[.。])\s")), lambda s: F.length(F.trim(s)) > 2)
     staged = staged.withColumn("_line", F.get(F.filter(lines, lambda s: s.rlike(rx(_OPEN_DUTY, True))), F.lit(0)))
@@ -65,12 +67,15 @@ def duty_check(rows: DataFrame, title: str = "title", body: str = "body") -> Dat
     staged = staged.withColumn("_ev", F.when(F.col("_line").isNotNull(), F.regexp_replace(squeeze(around), rx(_EDGE), "")).otherwise(""))
     staged = staged.withColumn("_flat", F.regexp_replace("_scope", rx(r"\s+"), " ")).withColumn("_near", F.concat(F.col("_ev"), F.lit(" "), t))
 
-    site = all_matches(F.concat(F.col("_flat"), F.lit(" "), t), fixed.SITE_WORK)
+    # read more than once below: whole texts are searched once as columns of their own
+    staged = staged.withColumn("_site", all_matches(F.concat(F.col("_flat"), F.lit(" "), t), led(fixed.SITE_WORK)))
+    staged = staged.withColumn("_closed", F.filter(all_matches("_flat", fixed.CLOSED_PART + r"\s*[^,(\n]{0,20}"), lambda x: matches(x, fixed.DUTY, True)))
+    site, closed = F.col("_site"), F.col("_closed")
     other = F.filter(all_matches("_near", fixed.OTHER_WORK), lambda x: ~matches(x, fixed.SITE_WORK))
     found = F.concat(site, other)
     squeezed = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, rx(r"\s+"), "")))
-    flag = F.array_join(squeezed, ", ")
-    closed = F.filter(all_matches("_flat", fixed.CLOSED_PART + r"\s*[^,(\n]{0,20}"), lambda x: matches(x, fixed.DUTY, True))
+    staged = staged.withColumn("_flags", F.array_join(squeezed, ", "))
+    flag = F.col("_flags")
     closed_text = F.array_join(F.array_distinct(F.transform(closed, lambda x: F.trim(x))), ", ")
     flags = F.when(F.size(closed) > 0, F.concat(F.lit(fixed.CLOSED_PART_FLAG), closed_text,
                                                 F.when(flag != "", F.concat(F.lit(" · "), flag)).otherwise(""))).otherwise(flag)
