@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import bin_completion, range_coder, token_counts
+from tidewell.llm import pieces as pieces_module
 from tidewell.llm.pieces import PieceEncoder, encoder, tokenizer_path
 
 NAME = "byte_bpe_50k.json"
@@ -82,6 +83,20 @@ def test_coder_round_trip_and_damage():
             range_coder.unpack_blocks([block[:at] + bytes([block[at] ^ 1]) + block[at + 1:]], 50257)
 
 
+def test_pieces_are_merged_in_groups(library, monkeypatch):
+    """op5, op2: pieces of a group are parted by a token of their own, so nothing merges over their ends."""
+    engine = PieceEncoder(tokenizer_path(NAME))
+    pieces = [" onbleinges", "Onshon", "es", "On", "'s", ".", "..", "À", " À", "ÀÀ", "é", " a", "12"] * 11
+    want = [np.array(engine._model.encode_batch_fast([[p.encode("utf-8").decode("latin-1").translate(pieces_module._LETTERS)]], is_pretokenized=True,
+                                                     add_special_tokens=False)[0].ids, "<u4").tobytes() for p in pieces]
+    assert engine._between is not None
+    for together in (1, 2, 64, 1000):
+        monkeypatch.setattr(pieces_module, "_TOGETHER", together)
+        assert engine._made(pieces) == want
+    engine._between = None
+    assert engine._made(pieces) == want
+
+
 def test_token_files(spark, library, monkeypatch):
     docs = _docs(spark)
     got = range_coder.token_files(docs).collect()

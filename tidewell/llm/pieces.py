@@ -24,6 +24,10 @@ TABLE_BYTES = 80 << 20
 _GAP = re.compile(r" (?=\S)")
 _ODD = re.compile("[\0\u0250-\U0010ffff]")
 """Letters whose class may depend on the Unicode version: words with them are left to the library whole."""
+_TOGETHER = 64
+"""Pieces that the library's model merges in one go: few enough for its queue to stay small, mostly too long for its own table of words."""
+_BETWEEN = "\u00c0"
+"""Stands between them: the letter of byte 192, which no UTF-8 text has."""
 _STOPS = {".", ",", ";", ":", "!", "?"}
 """A sign that is a piece of its own behind letters."""
 _SPACE_LIKE = {"Zs", "Zl", "Zp", "Cc", "Cf", "Cn", "Co", "Cs"}
@@ -90,6 +94,8 @@ class PieceEncoder:
             for token, i in self._whole.get_vocab(with_added_tokens=False).items():
                 lengths[i] = len(token)
             self._token_letters = lengths
+            own = [i for token, i in self._whole.get_vocab(with_added_tokens=False).items() if _BETWEEN in token]
+            self._between = own[0] if len(own) == 1 and lengths[own[0]] == 1 else None  # no token that a merge with it would make
 
     def _is_byte_level(self) -> bool:
         """Only the plain set-up is taken apart: no normalizer, the standard pattern, no added prefix space."""
@@ -212,14 +218,22 @@ class PieceEncoder:
         if not pieces:
             return []
         written = "\0".join(pieces).encode("utf-8").decode("latin-1").translate(_LETTERS).split("\0")
-        ids = np.array(self._model.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self._token_letters[ids]), np.cumsum(list(map(len, written)))) + 1
-        starts = np.concatenate(([0], ends[:-1]))
+        if self._between is None:
+            ids = self._merged(written)
+            ends = np.searchsorted(np.cumsum(self._token_letters[ids]), np.cumsum(list(map(len, written)))) + 1
+            starts = np.concatenate(([0], ends[:-1]))
+        else:
+            ids = self._merged([_BETWEEN.join(written[i:i + _TOGETHER]) + _BETWEEN for i in range(0, len(written), _TOGETHER)])
+            ends = np.flatnonzero(ids == self._between)
+            starts = np.concatenate(([0], ends[:-1] + 1))
         if self._lengths_only:
             return (ends - starts).tolist()
         data = ids.tobytes()
         return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
 
+    def _merged(self, written: list[str]) -> np.ndarray:
+        return np.array(self._model.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+
 
 class SentencePieceEncoder:
     """The same for .model files of the sentencepiece library."""
